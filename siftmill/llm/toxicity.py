@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BUCKETS = 1 << 17
 DIM = 2
@@ -240,7 +241,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
