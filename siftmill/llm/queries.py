@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import ngram_join, packing, sharding, token_output, toxicity, url_filter
+from siftmill.llm import embedding_dedup, ngram_join, packing, sharding, token_output, toxicity, url_filter
 from siftmill.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_token_output": op4_token_output,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
