@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -218,11 +219,23 @@ def _train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
 def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled documents. ``labelled``: doc_id, toxic.
 
-    Only ids are ordered; the texts of the chosen ids alone reach the driver."""
+    Only ids are ordered; the texts of the chosen ids alone, at most ``sample``
+    of them, meet in one task, which trains and hands the driver the model."""
     chosen = labelled.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy())
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["doc_id", "text"])
+        texts, labels = rows["text"].tolist(), rows["toxic"].to_numpy()
+        del rows
+        model = train(texts, labels)
+        yield pd.DataFrame({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias]})
+
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").repartition(1)
+    made = rows.mapInPandas(learn, "weights binary, bias double").collect()
+    if not made:
+        return train([], np.zeros(0))
+    return Model(np.frombuffer(made[0]["weights"], "<f4").astype(float), made[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
