@@ -29,9 +29,10 @@ from itertools import chain
 from math import ceil, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: Word edits allowed, as a share of an item's words.
 EDITS = 0.2
@@ -195,26 +196,33 @@ class Index:
         return sorted((self.items[k][0], d) for k, d in best.items())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, items
-    (ids found, ascending), edits (of each)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, keep: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, items (ids
+    found, ascending), edits (of each). ``keep``: instead all columns of ``docs``
+    plus _items and _edits."""
     size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     if size > LARGEST:
         raise ValueError(f"the benchmark has {size} characters; split it into parts of at most {LARGEST}")
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").collect()]
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    if not keep:
+        docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.drop("_items", "_edits")
+    at = docs.columns.index("text")
     made: list[Index] = []
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(Index(sent.value, share))
-        for pdf in frames:
+        for batch in batches:
             found = []
-            for at in range(0, len(pdf), 500):
-                found += made[0].search_all(pdf["text"].iloc[at : at + 500].tolist())
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "contaminated": [bool(f) for f in found], "items": [[i for i, _ in f] for f in found], "edits": [[d for _, d in f] for f in found]}
-            )
-
-    thin = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return thin.mapInPandas(run, "doc_id long, contaminated boolean, items array<long>, edits array<int>")
+            for lo in range(0, batch.num_rows, 500):
+                found += made[0].search_all(batch.column(at).slice(lo, 500).to_pylist())
+            new = [pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[d for _, d in f] for f in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_items", "_edits"])
+
+    added = [StructField("_items", ArrayType(LongType())), StructField("_edits", ArrayType(IntegerType()))]
+    found = docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    if keep:
+        return found
+    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"), F.col("_edits").alias("edits"))

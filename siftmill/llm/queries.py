@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import decontaminate, embedding_dedup, ngram_join, packing, sharding, token_output, toxicity, url_filter
+from siftmill.llm import decontaminate, embedding_dedup, html_extract, ngram_join, packing, sharding, token_output, toxicity, url_filter, warc
 from siftmill.llm.shared import table
 
 
@@ -26,12 +28,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica is written with one bit flipped in some records, which
+    the audit has to find: those whose page_id has a crc32 of 5 modulo 997."""
+    return warc.audit(table(spark, sf_dir, "pages"), lambda replica, page_id: replica == 1 and zlib.crc32(str(page_id).encode()) % 997 == 5)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +74,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op4_token_output": op4_token_output,
+    "op5_html_extract": op5_html_extract,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,

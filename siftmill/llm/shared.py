@@ -72,14 +72,14 @@ def write_file(uri: str, data: bytes) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     private = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(private) as out:
+    with fs.open_output_stream(private, compression=None) as out:
         out.write(data)
     fs.move(private, path)
 
 
 def read_file(uri: str) -> bytes:
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

@@ -238,8 +238,10 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(np.frombuffer(made[0]["weights"], "<f4").astype(float), made[0]["bias"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus the column ``score``, the model's probability of toxic."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` plus the column ``into``, the model's probability of toxic; a
+    column of that name is replaced."""
+    docs = docs.drop(into)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     at = docs.columns.index(text)
     known: dict[str, tuple[float, int]] = {}
@@ -252,9 +254,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for lo in range(0, batch.num_rows, 2000):
                 parts.append(_scores(local, pc.fill_null(batch.column(at).slice(lo, 2000), ""), known))
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, into])
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
