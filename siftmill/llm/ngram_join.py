@@ -254,7 +254,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     blocks = blocks.select("family", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    members = text.join(placed, "rep").join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep").dropDuplicates(["rep"])
+    # a merge join at every size: the families' ids grow with the documents, so they are not broadcast
+    members = text.join(placed.hint("merge"), "rep").join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep").dropDuplicates(["rep"])
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))
     spread = members.withColumn("pair", F.explode(others)).select("family", "pair.low", "pair.high", "block", "rep", "copies", "sig", "text")
     spread = spread.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "rep")
