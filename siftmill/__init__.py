@@ -1,0 +1 @@
+"""A PySpark engine for curating, labelling, scoring and evaluating text prompts."""
