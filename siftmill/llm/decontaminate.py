@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from siftmill.llm.shared import hold
+
 #: Word edits allowed, as a share of an item's words.
 EDITS = 0.2
 #: Emitted positions that a round samples, and the share of matches to be found.
@@ -212,6 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, k
     made: list[Index] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontaminate")
         if not made:
             made.append(Index(sent.value, share))
         for batch in batches:

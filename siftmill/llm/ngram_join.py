@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import components, materialize
+from siftmill.llm.shared import components, hold, materialize
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -53,7 +53,7 @@ def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     import xxhash
 
     new = {w for w in words if w not in known}
-    if len(known) + len(new) > 1_000_000:
+    if len(known) + len(new) > 500_000:
         known.clear()
         new = set(words)
     for w in new:
@@ -115,6 +115,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """doc_id, set fingerprint (f1, f2), shingle count, signature and band keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("ngram_join")
         known: dict[str, int] = {}
         for pdf in frames:
             rows = []
@@ -194,6 +195,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 def _compare(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Rows sorted by (family, low, high), the members of one block pair in
     sequence; gives per member its links, and the links of a spanning forest."""
+    hold("ngram_join")
     known: dict[str, int] = {}
     held: list[pd.DataFrame] = []
     key = None

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Called as a task begins in a Python worker: caches that another operator left
+    there are dropped and freed memory goes back to the system."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = drop
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/siftmill/{tag}-{uuid.uuid4().hex}"
 

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from siftmill.llm.shared import hold
+
 #: Distinct pieces that a worker remembers; beyond them it starts afresh.
 MEMORY = 600_000
 
@@ -23,6 +25,7 @@ _LOADED: dict[tuple, "PieceEncoder"] = {}
 
 def encoder(path: str, keeps_space: bool) -> "PieceEncoder":
     """The worker's encoder for a tokenizer file, kept between tasks."""
+    hold("tokenize", _LOADED.clear)
     if (path, keeps_space) not in _LOADED:
         _LOADED[path, keeps_space] = PieceEncoder(path, keeps_space)
     return _LOADED[path, keeps_space]

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from siftmill.llm.shared import hold
+
 BUCKETS = 1 << 17
 DIM = 2
 SIZES = (3, 4, 5)
@@ -225,10 +227,12 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("toxicity")
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["doc_id", "text"])
         texts, labels = rows["text"].tolist(), rows["toxic"].to_numpy()
         del rows
         model = train(texts, labels)
+        hold("toxicity")
         yield pd.DataFrame({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias]})
 
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").repartition(1)
@@ -247,6 +251,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     known: dict[str, tuple[float, int]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         weights, bias = sent.value
         local = Model(weights, bias)
         for batch in batches:
