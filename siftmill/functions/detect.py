@@ -11,6 +11,7 @@ import string
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from siftmill.functions.text import strip_code, strip_punctuation, tokens
 
@@ -24,7 +25,7 @@ SPACING_RUN = 6
 MIXED_TOKENS = 2
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def decodes_to_text(kind: pd.Series, token: pd.Series) -> pd.Series:
     """Whether a base64, base32 or hex token decodes to mostly printable text."""
 
@@ -210,7 +211,7 @@ ROT13 = UPPER + LOWER, UPPER[13:] + UPPER[:13] + LOWER[13:] + LOWER[:13]
 HOMOGLYPHS = "aeopcxyi", "аеорсхуі"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def base32_of(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else base64.b32encode(t.encode()).decode())
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -17,7 +19,7 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
@@ -38,12 +40,21 @@ def words(norm: Column) -> Column:
     return F.filter(F.split(norm, " "), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row: inside a lambda the optimizer would
+    otherwise repeat the value's expression for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(norm: Column, k: int = 5) -> Column:
     """Distinct k-word shingles; a shorter text is one shingle, an empty one none."""
-    w = words(norm)
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+
+    return let(words(norm), of)
 
 
 def base_hash(s: Column) -> Column:

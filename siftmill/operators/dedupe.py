@@ -39,16 +39,6 @@ def coefficients(perms: int = 32, seed: int = 42) -> tuple[list[int], list[int]]
     return [int(x) for x in a], [int(x) for x in b]
 
 
-def signature(sh: Column, perms: int = 32, seed: int = 42) -> Column:
-    """MinHash values min((a h + b) mod 2^31 - 1); the modulus for an empty set.
-
-    Hashes are computed once per row, then looked at once per permutation."""
-    a, b = coefficients(perms, seed)
-    pairs = F.array(*[F.struct(F.lit(x).cast("long").alias("a"), F.lit(y).cast("long").alias("b")) for x, y in zip(a, b)])
-    hashes = F.transform(sh, base_hash)
-    return F.transform(pairs, lambda p: F.coalesce(F.array_min(F.transform(hashes, lambda h: (p["a"] * h + p["b"]) % MODULUS)), F.lit(MODULUS).cast("long")))
-
-
 def bands(sig: Column, perms: int = 32, count: int = 8) -> Column:
     """Array of (band, key)."""
     rows = max(1, perms // count)
@@ -56,8 +46,16 @@ def bands(sig: Column, perms: int = 32, count: int = 8) -> Column:
 
 
 def with_signatures(df: DataFrame, k: int = 5, perms: int = 32, seed: int = 42, norm: str = "norm", key: str = "id") -> DataFrame:
-    rows = df.select(key, shingles(F.col(norm), k).alias("sh"))
-    return rows.withColumn("sig", signature(F.col("sh"), perms, seed))
+    """(key, sh, sig): shingles and MinHash values min((a h + b) mod 2^31 - 1); the
+    modulus for an empty set. ``key`` is unique.
+
+    A shingle is hashed once, and the minima are plain aggregates that combine
+    before the exchange."""
+    sets = df.select(key, shingles(F.col(norm), k).alias("sh"))
+    hashes = sets.select(key, F.explode_outer("sh").alias("g")).select(key, base_hash(F.col("g")).alias("h"))
+    least = [F.coalesce(F.min((F.lit(a).cast("long") * F.col("h") + F.lit(b).cast("long")) % MODULUS), F.lit(MODULUS).cast("long")) for a, b in zip(*coefficients(perms, seed))]
+    sigs = hashes.groupBy(key).agg(*[m.alias(f"m{i}") for i, m in enumerate(least)]).select(key, F.array(*[f"m{i}" for i in range(perms)]).alias("sig"))
+    return sets.join(sigs, key)
 
 
 def candidates(signed: DataFrame, perms: int = 32, count: int = 8, key: str = "id") -> DataFrame:
