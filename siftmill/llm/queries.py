@@ -83,4 +83,45 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {}
+
+
+def _weight_sql(rows: str, rate: str) -> str:
+    """The prior weight of a level by moments, as ``url_filter`` estimates it."""
+    return (
+        "SELECT coalesce(least(greatest(pq / greatest(v - noise, 1e-9::DOUBLE) - 1, 1), 1000), 1)::DOUBLE AS w FROM ("
+        f"SELECT sum(n*pow(bad/n - {rate}, 2))/sum(n) AS v, sum({rate}*(1-{rate}))/sum(n) AS noise, sum(n*{rate}*(1-{rate}))/sum(n) AS pq FROM {rows} WHERE n > 0)"
+    )
+
+
+_URL_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for v, h, p in _URL_RULES]
+
+#: Queries that SQL can express; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op10_url_filter": "WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url,''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,"
+    " regexp_extract(coalesce(url,''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),"
+    " l AS (SELECT doc_id, 1 - min(quality) AS bad FROM labels GROUP BY doc_id),"
+    " p AS (SELECT u.*, l.bad FROM u LEFT JOIN l ON l.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:/|\\.html)?$', 1), '') AS BIGINT)),"
+    " h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM p GROUP BY host),"
+    " d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY domain, suffix), s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY suffix),"
+    " s0 AS (SELECT s.*, (SELECT (sum(bad)+1)/(sum(n)+2) FROM s) AS r FROM s),"
+    f" sw AS ({_weight_sql('s0', 'r')}), s1 AS (SELECT suffix, (bad+w*r)/(n+w) AS sr FROM s0, sw), d0 AS (SELECT d.*, sr AS r FROM d JOIN s1 ON d.suffix = s1.suffix),"
+    f" dw AS ({_weight_sql('d0', 'r')}), d1 AS (SELECT domain, (bad+w*r)/(n+w) AS dr FROM d0, dw), h0 AS (SELECT h.*, dr AS r FROM h JOIN d1 ON h.domain = d1.domain),"
+    f" hw AS ({_weight_sql('h0', 'r')}), h1 AS (SELECT host, (bad+w*r)/(n+w) AS m, n+w AS t FROM h0, hw),"
+    f" k AS (SELECT host, m - {url_filter.Z}::DOUBLE*sqrt(m*(1-m)/(t+1)) AS low FROM h1)"
+    f" SELECT page_id, p.host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for f, r, _ in _FITS).replace('host', 'p.host')} END AS rule,"
+    f" CASE {' '.join(f"WHEN {f} THEN '{v}'" for f, _, v in _FITS).replace('host', 'p.host')} WHEN low >= {url_filter.LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM p LEFT JOIN k ON p.host = k.host",
+    "op6_embedding_dedup": "WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),"
+    " e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) >= 0.9::DOUBLE * sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x))),"
+    " reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.n = e.a WHERE e.b > reach.r),"
+    " c AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n)"
+    " SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON n = vec_id",
+    "op7_ngram_join": "WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '[\\p{L}\\p{N}_]+') AS w FROM documents),"
+    " g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM w),"
+    " x AS (SELECT doc_id, unnest(g) AS s FROM g), n AS (SELECT doc_id, len(g) AS n FROM g),"
+    " c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),"
+    " e AS (SELECT a, b, k = p.n AND k = q.n AS same FROM c JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE k >= 0.8::DOUBLE * (p.n + q.n - k) - 1e-9::DOUBLE),"
+    " reach AS (SELECT doc_id AS n, doc_id AS r FROM documents UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.n = e.a WHERE e.b > reach.r),"
+    " m AS (SELECT n, min(r) AS class_id FROM reach GROUP BY n)"
+    " SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM e WHERE e.a = d.doc_id AND same), d.doc_id)) AS rep_id, class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links FROM documents d JOIN m ON m.n = d.doc_id",
+}
