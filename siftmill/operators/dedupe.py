@@ -79,6 +79,8 @@ def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/siftmill-{uuid.uuid4().hex}")
     return df.checkpoint()
 
