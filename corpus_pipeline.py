@@ -29,7 +29,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     classes = materialize(ngram_join.similarity_classes(docs), "similarity")
     kept = classes.where("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("n_links").alias("_links"))
     # ids are compared null-safely: a null doc_id is an id like any other
-    out = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # a merge join at every size: what is kept grows with the documents
+    out = docs.join(kept.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     if not kept.where("_rows > 1").isEmpty():
         # rows that repeat an id: one of each text stays
         turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
