@@ -7,8 +7,10 @@ words) word edits of it. Windows and items are embedded by CGK random walks
 steps on or stays as a random bit of (step, word) says, so that few edits leave
 most emitted positions equal. Each of ``repeats()`` rounds takes its own walk and
 samples ``SAMPLED`` positions; windows and items that agree in all of them are
-candidates, whose edit distance is then computed exactly, on the words around
-the window, by Sellers' algorithm.
+verified first: their edit distance is computed exactly, on the words around the
+window, by Sellers' algorithm. The rounds favour edits that lie late in an item,
+so they only set the order: stretches that no round meets are verified after
+them, and every item within its edits is found with its least number of edits.
 
 A window is only embedded if it can match at all: k edits cut an item of n words
 into k + 1 runs, so a match shares a run of (n - k) // (k + 1) words, at least
@@ -38,7 +40,8 @@ from siftmill.llm.shared import hold
 
 #: Word edits allowed, as a share of an item's words.
 EDITS = 0.2
-#: Emitted positions that a round samples, and the share of matches to be found.
+#: Emitted positions that a round samples, and the share of matches with evenly
+#: spread edits that the rounds are to meet; the others are met after the rounds.
 SAMPLED, RECALL = 3, 0.999
 #: Characters of benchmark that are broadcast at most.
 LARGEST = 64_000_000
@@ -161,40 +164,60 @@ class Index:
     def search(self, text: str | None) -> list[tuple[int, int]]:
         return self.search_all([text])[0]
 
-    def _windows(self, k: int, codes: np.ndarray, starts: list[int]) -> list[int]:
-        """Starts of windows to embed: near an anchor, with enough of the item's words."""
-        n, edits = self.size[k], self.edits[k]
-        out: set[int] = set()
-        for s in starts:
-            near = codes[max(0, s - edits) : max(0, s + n + edits)]
-            if np.isin(near, self.members[k]).sum() >= n - edits:
-                out.update(range(s - edits, s + edits + 1))
-        return [s for s in out if -n < s < len(codes)]
+    def _stretches(self, k: int, codes: np.ndarray, starts: list[int]) -> list[tuple[int, int, set[int]]]:
+        """Stretches that can hold item k, overlapping ones as one, each with the starts
+        of its windows: near an anchor, with enough of the item's words."""
+        n, edits = int(self.size[k]), int(self.edits[k])
+        out: list[tuple[int, int, set[int]]] = []
+        for s in sorted(starts):
+            low, high = max(0, s - edits), min(len(codes), s + n + edits)
+            if np.isin(codes[low:high], self.members[k]).sum() >= n - edits:
+                windows = set(range(low, max(0, s + edits) + 1))
+                if out and low < out[-1][1]:
+                    low, _, before = out.pop()
+                    windows |= before
+                out.append((low, high, windows))
+        return out
 
     def _verify(self, codes: np.ndarray, wanted: dict[int, list[int]]) -> list[tuple[int, int]]:
-        by_item = {k: got for k, starts in wanted.items() if (got := self._windows(k, codes, starts))}
+        """Exact edits of the items wanted. The rounds say which stretches come first;
+        those that no round meets are verified after them, so none is lost."""
         best: dict[int, int] = {}
-        for k, starts in by_item.items():
-            item_id, item = self.items[k]
-            n, edits = len(item), allowed(len(item), self.share)
-            starts = np.unique(np.clip(starts, 0, None))
+        for k, near in wanted.items():
+            item, n, edits = self.items[k][1], int(self.size[k]), int(self.edits[k])
+            stretches = self._stretches(k, codes, near)
+            if not stretches:
+                continue
+            of = np.concatenate([np.full(len(w), at) for at, (_, _, w) in enumerate(stretches)])
+            starts = np.concatenate([sorted(w) for _, _, w in stretches])
+            inside = starts < len(codes)
+            of, starts = of[inside], starts[inside]
             padded = np.concatenate([codes, np.zeros(n, np.int64)])
             windows = padded[starts[:, None] + np.arange(n)]
             lengths = np.minimum(n, len(codes) - starts)
             left = np.ones(len(starts), bool)
+            open_ = dict.fromkeys(range(len(stretches)))
+
+            def judge(at: int) -> bool:
+                """Verify a stretch; True once nothing better can be found."""
+                low, high, _ = stretches[at]
+                del open_[at]
+                d = edit_distance(item, codes[low:high])
+                if d <= edits:
+                    best[k] = min(d, best.get(k, d))
+                return best.get(k) == 0
+
+            done = False
             for r in range(self.rounds):
                 at = self.samples[r][n]
                 walk = cgk(windows[left], lengths[left], at[-1] + 1, r)[:, at]
-                hit = np.flatnonzero(left)[(walk == self.walks[r][k]).all(1)]
-                left[hit] = False
-                for s in starts[hit].tolist():
-                    if best.get(k, n) == 0:
-                        break
-                    d = edit_distance(item, codes[max(0, s - edits) : s + n + edits])
-                    if d <= edits and d < best.get(k, n + 1):
-                        best[k] = d
-                if best.get(k) == 0 or not left.any():
+                hit = np.unique(of[left][(walk == self.walks[r][k]).all(1)])
+                left &= ~np.isin(of, hit)
+                done = any(judge(h) for h in hit.tolist())
+                if done or not left.any():
                     break
+            if not done:
+                any(judge(rest) for rest in list(open_))
         return sorted((self.items[k][0], d) for k, d in best.items())
 
 

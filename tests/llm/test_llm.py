@@ -90,6 +90,23 @@ def test_decontamination_finds_edited_passages(spark, docs, odd, empty):
     assert decontaminate.contamination(odd, b.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("part", ["first", "last", "every second from the start"])
+def test_decontamination_finds_every_placement_of_edits(part):
+    rnd = random.Random(part)
+    for n in (5, 20, 57, 120):
+        item = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        index = decontaminate.Index([(1, " ".join(item))])
+        k = decontaminate.allowed(n)
+        for _ in range(20):
+            w = list(item)
+            half = range(0, n // 2) if part == "first" else range(n - n // 2, n) if part == "last" else range(0, 2 * k, 2)
+            for at in sorted(rnd.sample(half, k), reverse=True):
+                w[at : at + 1] = rnd.choice([[], ["zz"], ["zz", w[at]]])
+            text = " ".join(["a"] * 30 + w + ["b"] * 30)
+            coded = np.array([index.code.get(x, 0) for x in text.split()])
+            assert index.search(text) == [(1, decontaminate.edit_distance(index.items[0][1], coded))]
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4])
     assert decontaminate.edit_distance(a, np.array([9, 1, 2, 3, 4, 9])) == 0
