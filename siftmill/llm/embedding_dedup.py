@@ -1,11 +1,14 @@
 """Embedding near-duplicates by sorted projection passes (operator 6).
 
 Each pass orders all vectors lexicographically by the signs of ``BITS`` random
-projections and compares every vector with the ``WINDOW`` next ones. The passes
-needed follow from the number of vectors: two vectors at the threshold share a
-projection's sign with probability 1 - acos(t)/pi, and fall into one window about
-when they share the first log2(n / WINDOW) signs. Verified pairs are joined
-across passes into components.
+projections and compares every vector with the ``WINDOW`` next ones. Vectors that
+share the first ``depth(n)`` signs are a run. Verified pairs are joined across
+passes into components. Where vectors lie densely a run is longer than a window;
+its vectors outside the run's largest component are then compared with all of the
+run, block by block, so that all pairs of a run are compared or joined already.
+The passes needed follow: two vectors at the threshold share a projection's sign
+with probability 1 - acos(t)/pi, hence a run with that to the power of its depth,
+however dense the place.
 
 Links are then made whole inside each component, without comparing the members
 of dense groups pair by pair: angles are a metric, so two members whose angles
@@ -27,7 +30,7 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,9 +46,14 @@ OUTER, INNER = 1000, 2000
 _SLACK = 1e-7
 
 
+def depth(n: int) -> int:
+    """Signs that the vectors of a run share; evenly spread, a run fits a window."""
+    return max(0, ceil(log2(max(n, 1) / WINDOW)))
+
+
 def passes(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     agree = 1 - acos(threshold) / pi
-    met = agree ** max(0.0, log2(max(n, 1) / WINDOW))
+    met = agree ** depth(n)
     return 1 if met > recall else ceil(log(1 - recall) / log(1 - met))
 
 
@@ -79,33 +87,89 @@ def _near(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataF
         held = pdf.tail(WINDOW)
 
 
-def _links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Rows in order of (component, low, high): outer rows against inner rows."""
-    keys = ["component", "low", "high"]
+def _blocks(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, of rows in order of ``keys``; a batch may end inside a key."""
     held: list[pd.DataFrame] = []
     key = None
-
-    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(pdf["unit"])
-        outer = np.flatnonzero(pdf["outer"].to_numpy())
-        inner = np.flatnonzero(~pdf["outer"].to_numpy())
-        rep, copies, core = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["core"].to_numpy()
-        near = x[outer] @ x[inner].T >= threshold
-        near &= rep[outer][:, None] != rep[inner][None, :]
-        got = pd.DataFrame({"rep": np.concatenate([rep[outer], rep[inner]]), "links": np.concatenate([near @ copies[inner], np.where(core[inner], copies[outer] @ near, 0)])})
-        return got[got["links"] > 0]
-
     for pdf in frames:
         starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
         for s, e in zip(starts, [*starts[1:], len(pdf)]):
             now = tuple(pdf[keys].iloc[s])
             if held and now != key:
-                yield unit(pd.concat(held, ignore_index=True))
+                yield pd.concat(held, ignore_index=True)
                 held = []
             key = now
             held.append(pdf.iloc[s:e])
     if held:
-        yield unit(pd.concat(held, ignore_index=True))
+        yield pd.concat(held, ignore_index=True)
+
+
+def _across(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Rows in order of (turn, run, low, high): outer rows against inner rows. Gives
+    a spanning forest of the links between components."""
+    for pdf in _blocks(frames, ["turn", "run", "low", "high"]):
+        x = _unit(pdf["unit"])
+        outer = np.flatnonzero(pdf["outer"].to_numpy())
+        inner = np.flatnonzero(~pdf["outer"].to_numpy())
+        names, component = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        product = x[outer] @ x[inner].T
+        near = product >= threshold
+        # these products may differ from the plain one in the last bits
+        i, j = np.nonzero(np.abs(product - threshold) < 1e-12)
+        near[i, j] = np.einsum("ij,ij->i", x[outer[i]], x[inner[j]]) >= threshold
+        near &= component[outer][:, None] != component[inner][None, :]
+        i, j = np.nonzero(near)
+        pairs = np.unique(component[outer[i]] * len(names) + component[inner[j]])
+        made = _forest(len(names), pairs // len(names), pairs % len(names))
+        yield pd.DataFrame([(int(names[a]), int(names[b])) for a, b in made], columns=["a", "b"])
+
+
+def _links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Rows in order of (component, low, high): outer rows against inner rows."""
+    for pdf in _blocks(frames, ["component", "low", "high"]):
+        x = _unit(pdf["unit"])
+        outer = np.flatnonzero(pdf["outer"].to_numpy())
+        inner = np.flatnonzero(~pdf["outer"].to_numpy())
+        rep, copies, core = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["core"].to_numpy()
+        near = x[outer] @ x[inner].T >= threshold
+        near &= rep[outer][:, None] != rep[inner][None, :]
+        got = pd.DataFrame({"rep": np.concatenate([rep[outer], rep[inner]]), "links": np.concatenate([near @ copies[inner], np.where(core[inner], copies[outer] @ near, 0)])})
+        yield got[got["links"] > 0]
+
+
+def _dealt(rows: DataFrame, outer: Column, keys: list[str], cols: list[str]) -> DataFrame:
+    """Every pair of a block of outer rows and a block of all rows of a key, as rows
+    in order of (keys, low, high); ``rows`` has the key's numbers of blocks, lows and highs."""
+    mine_low, mine_high = F.pmod(F.xxhash64("rep"), F.col("lows")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("highs")).cast("int")
+    cols = [*keys, "low", "high", "outer", *cols]
+    outside = rows.where(outer).withColumn("low", mine_low).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("highs") - 1))).withColumn("outer", F.lit(True))
+    inside = rows.withColumn("high", mine_high).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("lows") - 1))).withColumn("outer", F.lit(False))
+    by = [*keys, "low", "high"]
+    return outside.select(cols).unionByName(inside.select(cols)).repartition(*by).sortWithinPartitions(*by)
+
+
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """Blocks of a key of m rows, ``out`` of them outer."""
+    return sizes.withColumn("lows", F.ceil(F.col("out") / OUTER).cast("int")).withColumn("highs", F.ceil(F.col("m") / INNER).cast("int"))
+
+
+def _whole_runs(ranged: DataFrame, groups: DataFrame, deep: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components that share a run longer than a window, or one
+    that lies in more than two ranges."""
+    rows = ranged.withColumn("run", F.shiftright("key", BITS - deep))
+    # a range's rows are compared with those of the next range, but not beyond
+    long = rows.groupBy("turn", "run").agg(F.count("*").alias("m"), (F.max("range") - F.min("range")).alias("over"))
+    long = long.where((F.col("m") > WINDOW) | (F.col("over") > 1)).select("turn", "run")
+    named = groups.select(F.col("node").alias("rep"), "component")
+    placed = rows.select("turn", "run", "rep").join(long, ["turn", "run"]).join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialize(placed, "placed")
+    sizes = placed.groupBy("turn", "run", "component").count()
+    sizes = sizes.groupBy("turn", "run").agg(F.sum("count").cast("long").alias("m"), F.max(F.struct("count", "component")).alias("top"))
+    sizes = _numbered(sizes.withColumn("out", F.col("m") - F.col("top.count")).where("out > 0"))
+    sizes = sizes.select("turn", "run", F.col("top.component").alias("top"), "lows", "highs")
+    loose = placed.join(sizes, ["turn", "run"]).join(rows.select("turn", "rep", "unit"), ["turn", "rep"])
+    dealt = _dealt(loose, F.col("component") != F.col("top"), ["turn", "run"], ["rep", "component", "unit"])
+    return materialize(dealt.mapInPandas(lambda f: _across(f, threshold), "a long, b long"), "across")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 5) -> DataFrame:
@@ -151,7 +215,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     stream = ranged.select("range", *order, "unit", F.lit(False).alias("halo")).unionByName(halo.where("range >= 0"))
     stream = stream.repartition("range").sortWithinPartitions("range", *order)
     edges = materialize(stream.mapInPandas(lambda f: _near(f, threshold), "a long, b long"), "near")
-    members = components(edges).select(F.col("node").alias("rep"), F.col("component")).join(units, "rep")
+    groups = components(edges)
+    across = _whole_runs(ranged, groups, depth(n), threshold)
+    if not across.isEmpty():
+        groups = components(across.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    members = groups.select(F.col("node").alias("rep"), F.col("component")).join(units, "rep")
 
     # mean direction of each component, by partial sums
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,14 +242,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     sizes = members.groupBy("component").agg(
         F.count("*").alias("m"), F.count_if(~F.col("core")).alias("out"), F.coalesce(F.sum(F.when(F.col("core"), F.col("copies"))), F.lit(0)).alias("core_copies")
     )
-    sizes = sizes.withColumn("lows", F.ceil(F.col("out") / OUTER).cast("int")).withColumn("highs", F.ceil(F.col("m") / INNER).cast("int"))
-    loose = members.join(sizes.where("out > 0").select("component", "lows", "highs"), "component")
-    mine_low, mine_high = F.pmod(F.xxhash64("rep"), F.col("lows")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("highs")).cast("int")
-    cols = ["component", "low", "high", "outer", "rep", "copies", "core", "unit"]
-    outer = loose.where("not core").withColumn("low", mine_low).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("highs") - 1))).withColumn("outer", F.lit(True))
-    inner = loose.withColumn("high", mine_high).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("lows") - 1))).withColumn("outer", F.lit(False))
-    units_of = outer.select(cols).unionByName(inner.select(cols)).repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-    counted = units_of.mapInPandas(lambda f: _links(f, threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    loose = members.join(_numbered(sizes.where("out > 0")).select("component", "lows", "highs"), "component")
+    dealt = _dealt(loose, ~F.col("core"), ["component"], ["rep", "copies", "core", "unit"])
+    counted = dealt.mapInPandas(lambda f: _links(f, threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     linked = members.join(sizes.select("component", "core_copies"), "component").join(counted, "rep", "left")
     sure = F.when(F.col("core"), F.col("core_copies") - F.col("copies")).otherwise(0)
     linked = linked.select("rep", "component", (sure + F.coalesce("links", F.lit(0))).alias("links"))

@@ -190,6 +190,26 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_at_the_fringe_of_a_dense_group(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=64))
+    group = unit(centre + 0.29 * unit(rng.normal(size=(3000, 64))))
+    other = unit(rng.normal(size=(6000, 64)))
+    at = rng.choice(3000, 150, replace=False)
+    away = rng.normal(size=(150, 64)) - 3 * centre
+    away = unit(away - (away * group[at]).sum(1, keepdims=True) * group[at])
+    fringe = 0.905 * group[at] + (1 - 0.905**2) ** 0.5 * away
+    fringe = fringe[((fringe @ group.T >= 0.9).sum(1) == 1) & ((fringe @ fringe.T >= 0.9).sum(1) == 1)]
+    assert len(fringe) >= 100
+    x = np.concatenate([group, other, fringe])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    joined = [got[k]["n_links"] == 1 and got[k]["component_id"] == 0 and not got[k]["kept"] for k in range(9000, len(x))]
+    print("joined", sum(joined), "of", len(joined))
+    assert sum(joined) >= 0.97 * len(joined)
+
+
 def test_ngram_join_against_brute_force(spark, docs, odd, empty):
     rnd = random.Random(4)
     words = [f"w{k}" for k in range(500)]
