@@ -19,7 +19,8 @@ others are compared, block by block, with the component's members.
 Defined cases: vectors that are null, empty, zero, of another length than most,
 or hold null or non-finite components link with nothing; equal vectors are
 compared once and link with each other; a null vec_id takes part but represents
-its equals only if all their ids are null; an empty table gives no row; other
+its component only if all ids in it are null; different vectors under one vec_id
+are judged each; an empty table gives no row; other
 columns are ignored.
 """
 
@@ -62,14 +63,14 @@ def _unit(blobs: pd.Series) -> np.ndarray:
 
 
 def _near(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Rows in order of (range, turn, key, rep); the first rows of the next range
+    """Rows in order of (range, turn, key, node); the first rows of the next range
     follow a range's own as ``halo``. Gives a spanning forest of the links found."""
     held: pd.DataFrame | None = None
     for pdf in frames:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         x = _unit(pdf["unit"])
         where = pdf[["range", "turn"]].to_numpy()
-        halo, rep = pdf["halo"].to_numpy(), pdf["rep"].to_numpy()
+        halo, node = pdf["halo"].to_numpy(), pdf["node"].to_numpy()
         first, second = [], []
         for at in range(0, len(x), 256):
             rows, cols = slice(at, min(at + 256, len(x))), slice(at, min(at + 256 + WINDOW, len(x)))
@@ -83,7 +84,7 @@ def _near(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataF
             first.append(i[exact])
             second.append(j[exact])
         made = _forest(len(x), np.concatenate(first), np.concatenate(second)) if first else []
-        yield pd.DataFrame([(int(rep[a]), int(rep[b])) for a, b in made], columns=["a", "b"])
+        yield pd.DataFrame([(int(node[a]), int(node[b])) for a, b in made], columns=["a", "b"])
         held = pdf.tail(WINDOW)
 
 
@@ -130,17 +131,17 @@ def _links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Data
         x = _unit(pdf["unit"])
         outer = np.flatnonzero(pdf["outer"].to_numpy())
         inner = np.flatnonzero(~pdf["outer"].to_numpy())
-        rep, copies, core = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["core"].to_numpy()
+        node, copies, core = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["core"].to_numpy()
         near = x[outer] @ x[inner].T >= threshold
-        near &= rep[outer][:, None] != rep[inner][None, :]
-        got = pd.DataFrame({"rep": np.concatenate([rep[outer], rep[inner]]), "links": np.concatenate([near @ copies[inner], np.where(core[inner], copies[outer] @ near, 0)])})
+        near &= node[outer][:, None] != node[inner][None, :]
+        got = pd.DataFrame({"node": np.concatenate([node[outer], node[inner]]), "links": np.concatenate([near @ copies[inner], np.where(core[inner], copies[outer] @ near, 0)])})
         yield got[got["links"] > 0]
 
 
 def _dealt(rows: DataFrame, outer: Column, keys: list[str], cols: list[str]) -> DataFrame:
     """Every pair of a block of outer rows and a block of all rows of a key, as rows
     in order of (keys, low, high); ``rows`` has the key's numbers of blocks, lows and highs."""
-    mine_low, mine_high = F.pmod(F.xxhash64("rep"), F.col("lows")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("highs")).cast("int")
+    mine_low, mine_high = F.pmod(F.xxhash64("node"), F.col("lows")).cast("int"), F.pmod(F.xxhash64("node"), F.col("highs")).cast("int")
     cols = [*keys, "low", "high", "outer", *cols]
     outside = rows.where(outer).withColumn("low", mine_low).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("highs") - 1))).withColumn("outer", F.lit(True))
     inside = rows.withColumn("high", mine_high).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("lows") - 1))).withColumn("outer", F.lit(False))
@@ -160,15 +161,14 @@ def _whole_runs(ranged: DataFrame, groups: DataFrame, deep: int, threshold: floa
     # a range's rows are compared with those of the next range, but not beyond
     long = rows.groupBy("turn", "run").agg(F.count("*").alias("m"), (F.max("range") - F.min("range")).alias("over"))
     long = long.where((F.col("m") > WINDOW) | (F.col("over") > 1)).select("turn", "run")
-    named = groups.select(F.col("node").alias("rep"), "component")
-    placed = rows.select("turn", "run", "rep").join(long, ["turn", "run"]).join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = rows.select("turn", "run", "node").join(long, ["turn", "run"]).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("turn", "run", "component").count()
     sizes = sizes.groupBy("turn", "run").agg(F.sum("count").cast("long").alias("m"), F.max(F.struct("count", "component")).alias("top"))
     sizes = _numbered(sizes.withColumn("out", F.col("m") - F.col("top.count")).where("out > 0"))
     sizes = sizes.select("turn", "run", F.col("top.component").alias("top"), "lows", "highs")
-    loose = placed.join(sizes, ["turn", "run"]).join(rows.select("turn", "rep", "unit"), ["turn", "rep"])
-    dealt = _dealt(loose, F.col("component") != F.col("top"), ["turn", "run"], ["rep", "component", "unit"])
+    loose = placed.join(sizes, ["turn", "run"]).join(rows.select("turn", "node", "unit"), ["turn", "node"])
+    dealt = _dealt(loose, F.col("component") != F.col("top"), ["turn", "run"], ["node", "component", "unit"])
     return materialize(dealt.mapInPandas(lambda f: _across(f, threshold), "a long, b long"), "across")
 
 
@@ -185,15 +185,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     # + 0.0 makes one zero of the two
     whole = rows.withColumn("v", F.when(good, F.transform("v", lambda c: c + F.lit(0.0))))
     classes = whole.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # numbers of their own, as ids may be null or repeated; fixed by the table
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             x = np.stack(pdf["v"]).astype(float) if len(pdf) else np.zeros((0, dim))
             x /= np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pd.DataFrame({"rep": pdf["rep"], "copies": pdf["copies"], "unit": [r.astype("<f8").tobytes() for r in x]})
+            yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "unit": [r.astype("<f8").tobytes() for r in x]})
 
-    units = materialize(classes.mapInPandas(keyed, "rep long, copies long, unit binary"), "units")
+    units = materialize(classes.select("v", "node", "copies").mapInPandas(keyed, "node long, copies long, unit binary"), "units")
     n = units.count()
     turns = passes(n, threshold)
 
@@ -203,10 +205,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             for turn in range(turns):
                 signs = x @ np.random.default_rng([seed, turn]).normal(size=(dim, BITS)) > 0 if len(x) else np.zeros((0, BITS), bool)
                 key = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                yield pd.DataFrame({"turn": turn, "key": key, "rep": pdf["rep"], "unit": pdf["unit"]})
+                yield pd.DataFrame({"turn": turn, "key": key, "node": pdf["node"], "unit": pdf["unit"]})
 
-    order = ["turn", "key", "rep"]
-    passed = units.mapInPandas(projected, "turn int, key long, rep long, unit binary")
+    order = ["turn", "key", "node"]
+    passed = units.mapInPandas(projected, "turn int, key long, node long, unit binary")
     ranged = materialize(passed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "passes")
     # the first rows of a range also end the range before it
     place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
@@ -219,7 +221,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     across = _whole_runs(ranged, groups, depth(n), threshold)
     if not across.isEmpty():
         groups = components(across.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    members = groups.select(F.col("node").alias("rep"), F.col("component")).join(units, "rep")
+    members = groups.join(units, "node")
 
     # mean direction of each component, by partial sums
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,19 +238,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             x, mean = _unit(pdf["unit"]), np.stack(pdf["mean"]).astype(float) if len(pdf) else np.zeros((0, 1))
             size = np.maximum(np.linalg.norm(mean, axis=1), 1e-300)
             cos = np.einsum("ij,ij->i", x, mean) / size if len(x) else np.zeros(0)
-            yield pdf[["component", "rep", "copies", "unit"]].assign(core=np.arccos(np.clip(cos, -1, 1)) <= acos(threshold) / 2 - _SLACK)
+            yield pdf[["component", "node", "copies", "unit"]].assign(core=np.arccos(np.clip(cos, -1, 1)) <= acos(threshold) / 2 - _SLACK)
 
-    members = materialize(members.join(sums, "component").mapInPandas(angled, "component long, rep long, copies long, unit binary, core boolean"), "angled")
+    members = materialize(members.join(sums, "component").mapInPandas(angled, "component long, node long, copies long, unit binary, core boolean"), "angled")
     sizes = members.groupBy("component").agg(
         F.count("*").alias("m"), F.count_if(~F.col("core")).alias("out"), F.coalesce(F.sum(F.when(F.col("core"), F.col("copies"))), F.lit(0)).alias("core_copies")
     )
     loose = members.join(_numbered(sizes.where("out > 0")).select("component", "lows", "highs"), "component")
-    dealt = _dealt(loose, ~F.col("core"), ["component"], ["rep", "copies", "core", "unit"])
-    counted = dealt.mapInPandas(lambda f: _links(f, threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = members.join(sizes.select("component", "core_copies"), "component").join(counted, "rep", "left")
+    dealt = _dealt(loose, ~F.col("core"), ["component"], ["node", "copies", "core", "unit"])
+    counted = dealt.mapInPandas(lambda f: _links(f, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    linked = members.join(sizes.select("component", "core_copies"), "component").join(counted, "node", "left")
     sure = F.when(F.col("core"), F.col("core_copies") - F.col("copies")).otherwise(0)
-    linked = linked.select("rep", "component", (sure + F.coalesce("links", F.lit(0))).alias("links"))
-    per_class = classes.join(linked, "rep", "left").select("v", "rep", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    linked = linked.select("node", "component", (sure + F.coalesce("links", F.lit(0))).alias("links"))
+    # a component goes by the smallest id of its vectors
+    ids = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("lowest"))
+    linked = linked.join(ids, "component").select("node", "lowest", "links")
+    per_class = classes.join(linked, "node", "left").select("v", "copies", F.least("lowest", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = whole.where("v is not null").select("vec_id", "v").join(per_class, "v")
     out = out.select("vec_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), F.col("component").alias("component_id"))
     out = out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -210,6 +210,15 @@ def test_embedding_links_at_the_fringe_of_a_dense_group(spark):
     assert sum(joined) >= 0.97 * len(joined)
 
 
+def test_embedding_links_of_null_and_repeated_ids(spark):
+    e = np.eye(8)
+    rows = [(5, e[0]), (None, e[0] + 0.1 * e[1]), (None, e[2]), (None, e[2] + 0.1 * e[3]), (7, e[4]), (7, e[5]), (8, e[5] + 0.1 * e[6]), (9, e[4] + 0.1 * e[7])]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
+    want = [(5, 1, 5, True), (None, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+    assert got == sorted(want, key=str)
+
+
 def test_ngram_join_against_brute_force(spark, docs, odd, empty):
     rnd = random.Random(4)
     words = [f"w{k}" for k in range(500)]
