@@ -26,15 +26,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by similarity of 0.8 or more, keep that with the
     smallest doc_id; documents without a word are no one's duplicates."""
-    classes = materialize(ngram_join.similarity_classes(docs), "similarity")
-    kept = classes.where("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("n_links").alias("_links"))
-    # ids are compared null-safely: a null doc_id is an id like any other
+    classes = materialize(ngram_join.similarity_classes(docs, numbered=True), "similarity")
+    # rows are found again by id and text: ids may be null or repeated
+    rows = classes.groupBy("_group", "doc_id", "_hash").agg(F.count("*").alias("_rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_rows")).alias("at")
+    kept = rows.where("_group is not null").groupBy("_group").agg(least).select("at.doc_id", "at._hash", "at._rows")
+    kept = kept.unionByName(rows.where("_group is null").select("doc_id", "_hash", F.lit(1).cast("long").alias("_rows")))
     # a merge join at every size: what is kept grows with the documents
-    out = docs.join(kept.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    out = docs.join(kept.withColumnRenamed("doc_id", "_id").hint("merge"), same)
     if not kept.where("_rows > 1").isEmpty():
-        # rows that repeat an id: one of each text stays
-        turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-        out = out.withColumn("_turn", turn).where("_links = 0 or _turn = 1")
+        turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("text"))
+        out = out.withColumn("_turn", turn).where("_rows = 1 or _turn = 1")
     return out.select(docs.columns)
 
 

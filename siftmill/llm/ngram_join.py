@@ -15,8 +15,8 @@ Bands: 20 of 4 values find a pair at similarity 0.8 with probability
 
 Defined cases: null and empty texts, and texts without a letter or digit, have
 no shingle and link with nothing; a null doc_id takes part but can represent a
-class only if all ids are null; repeated rows and equal texts are one class;
-an empty table gives no row; other columns are ignored.
+class only if all ids are null; different texts under one doc_id are judged each;
+repeated rows and equal texts are one class; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +112,8 @@ def least_matches(threshold: float = THRESHOLD) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, set fingerprint (f1, f2), shingle count, signature and band keys."""
+    """doc_id, hash of the text, set fingerprint (f1, f2), shingle count, signature and
+    band keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold("ngram_join")
@@ -131,11 +132,14 @@ def describe(docs: DataFrame) -> DataFrame:
                 sig = signature(sh)
                 rows.append((int(f1.view(np.int64)), int(f2.view(np.int64)), len(sh), sig.astype("<u4").tobytes(), band_keys(sig).view(np.int64).tolist()))
             out = pd.DataFrame(rows, columns=["f1", "f2", "n_shingles", "sig", "bands"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"])
+            out.insert(1, "hash", pdf["hash"])
             yield out
 
-    thin = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return thin.mapInPandas(run, "doc_id long, f1 long, f2 long, n_shingles long, sig binary, bands array<long>")
+    # ids as strings: a null among them would make pandas round the others
+    thin = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).withColumn("hash", F.xxhash64("text"))
+    found = thin.mapInPandas(run, "doc_id string, hash long, f1 long, f2 long, n_shingles long, sig binary, bands array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _pairs(sig: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +209,7 @@ def _compare(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
         sets = [shingles(t, known) for t in pdf["text"]]
         side, (low, high) = pdf["block"].to_numpy(), key[1:]
         rows, cols = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        reps, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        nodes, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
         edges = []
         for at in range(0, len(rows), 128):  # bounds the pairs looked at together
@@ -213,8 +217,8 @@ def _compare(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             edges += _forest(len(pdf), i, j)
-        out = [(int(reps[a]), int(reps[b]), 0) for a, b in _forest(len(pdf), *map(np.array, zip(*edges)))] if edges else []
-        out += [(int(reps[k]), None, int(links[k])) for k in np.flatnonzero(links)]
+        out = [(int(nodes[a]), int(nodes[b]), 0) for a, b in _forest(len(pdf), *map(np.array, zip(*edges)))] if edges else []
+        out += [(int(nodes[k]), None, int(links[k])) for k in np.flatnonzero(links)]
         return pd.DataFrame(out, columns=["a", "b", "links"]).astype({"b": "Int64"})
 
     for pdf in frames:
@@ -232,10 +236,12 @@ def _compare(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
         yield block(pd.concat(held, ignore_index=True))
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, numbered: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, rep_id (smallest id of
     the documents with the same shingles), class_id (smallest id reachable by
-    links), n_links (other documents at the threshold or above).
+    links), n_links (other documents at the threshold or above). ``numbered``: also
+    _hash (xxhash64 of the text) and _group, a number of the documents joined by
+    links, null without a shingle; ids may be null or repeated, groups are not.
 
     Only families of near-duplicates carry their texts through an exchange. A
     family larger than a block is compared as pairs of blocks, each its own
@@ -243,30 +249,40 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     described = materialize(describe(docs), "described")
     some = described.where("n_shingles > 0")
-    classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
-    classes = materialize(classes, "classes")
-    reps = some.join(classes.select("rep", "copies"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "f1", "f2", "sig", "bands")
-    reps = reps.dropDuplicates(["doc_id"])
-    bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    lowest = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    stars = bands.join(lowest, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    families = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    families = materialize(families.join(classes.select("rep", "copies", "n_shingles"), "rep"), "families")
+    # a class goes by a number of its own, fixed by the table, and by one of its texts
+    at = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
+    classes = some.groupBy("f1", "f2").agg(at.alias("at"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+    classes = classes.select("f1", "f2", F.col("at.doc_id").alias("rep"), F.col("at.hash").alias("rep_hash"), "copies", "n_shingles")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    one = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("rep_hash"))
+    addressed = classes.select("node", "rep", "rep_hash", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    reps = some.join(addressed, one & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("node", "sig", "bands")
+    reps = reps.dropDuplicates(["node"])
+    bands = reps.select("node", F.explode("bands").alias("band"))
+    lowest = bands.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    stars = bands.join(lowest, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    families = components(stars).select("node", F.col("component").alias("family"))
+    families = materialize(families.join(classes.select("node", "rep", "rep_hash", "copies", "n_shingles"), "node"), "families")
     blocks = families.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
     blocks = blocks.select("family", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("hash", F.xxhash64("text"))
     # a merge join at every size: the families' ids grow with the documents, so they are not broadcast
-    members = text.join(placed.hint("merge"), "rep").join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep").dropDuplicates(["rep"])
+    members = text.join(placed.hint("merge"), one).join(reps.select("node", "sig"), "node").dropDuplicates(["node"])
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))
-    spread = members.withColumn("pair", F.explode(others)).select("family", "pair.low", "pair.high", "block", "rep", "copies", "sig", "text")
-    spread = spread.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "rep")
+    spread = members.withColumn("pair", F.explode(others)).select("family", "pair.low", "pair.high", "block", "node", "copies", "sig", "text")
+    spread = spread.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "node")
     found = materialize(spread.mapInPandas(lambda frames: _compare(frames, threshold), "a long, b long, links long"), "links")
-    graph = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    per_class = classes.join(graph, "rep", "left").join(links, "rep", "left")
-    per_class = per_class.select("f1", "f2", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = some.select("doc_id", "f1", "f2").join(per_class, ["f1", "f2"])
-    out = out.select("doc_id", F.col("rep").alias("rep_id"), "class_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"))
-    empty = described.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    graph = components(found.where("b is not null").select("a", "b"))
+    # the documents joined by links go by their smallest id
+    lowest = graph.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("lowest"))
+    graph = graph.join(lowest, "component")
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    per_class = classes.join(graph, "node", "left").join(links, "node", "left")
+    per_class = per_class.select("f1", "f2", "rep", "copies", F.least("lowest", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("_group"))
+    more = ["_hash", "_group"] if numbered else []
+    out = some.select("doc_id", F.col("hash").alias("_hash"), "f1", "f2").join(per_class, ["f1", "f2"])
+    out = out.select("doc_id", F.col("rep").alias("rep_id"), "class_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), *more)
+    empty = described.where("n_shingles = 0").withColumn("_hash", F.col("hash")).withColumn("_group", F.lit(None).cast("long"))
+    empty = empty.select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *more)
     return out.unionByName(empty)

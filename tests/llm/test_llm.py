@@ -242,6 +242,20 @@ def test_ngram_join_against_brute_force(spark, docs, odd, empty):
     assert ngram_join.similarity_classes(empty).count() == 0
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    from corpus_pipeline import keep_one_of_each_group
+
+    near = lambda tag: (" ".join(f"{tag}{k}" for k in range(100)), " ".join(f"{tag}{k}" for k in range(99)))
+    a, b, c = near("a"), near("b"), near("c")
+    rows = [(1, a[0]), (None, a[1]), (None, b[0]), (None, b[1]), (3, c[0]), (7, "a text of its own"), (7, c[1]), (2**60 + 1, "d " + a[0]), (8, None), (8, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, ngram_join.similarity_classes(df).select("doc_id", "class_id", "n_links").collect()), key=str)
+    want = [(1, 1, 2), (None, 1, 2), (None, None, 1), (None, None, 1), (3, 3, 1), (7, 7, 0), (7, 3, 1), (2**60 + 1, 1, 2), (8, 8, 0), (8, 8, 0)]
+    assert got == sorted(want, key=str)
+    kept = [tuple(r) for r in keep_one_of_each_group(spark, df, SF).collect()]
+    assert len(kept) == 6 and {(1, a[0]), (3, c[0]), (7, "a text of its own"), (8, None)} < set(kept)
+
+
 def test_large_family_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 10)
     words = [f"w{k}" for k in range(200)]
