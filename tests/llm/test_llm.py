@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -256,6 +257,17 @@ def test_ngram_join_of_null_and_repeated_ids(spark):
     assert len(kept) == 6 and {(1, a[0]), (3, c[0]), (7, "a text of its own"), (8, None)} < set(kept)
 
 
+def test_pruning_drops_few_true_links():
+    floor = ngram_join.least_matches()
+    step = np.array([comb(ngram_join.STEP, k) * 0.8**k * 0.2 ** (ngram_join.STEP - k) for k in range(ngram_join.STEP + 1)])
+    alive, lost = np.ones(1), 0.0
+    for n in range(ngram_join.STEP, ngram_join.HASHES + 1, ngram_join.STEP):
+        alive = np.convolve(alive, step)
+        lost += alive[: floor[n]].sum()
+        alive[: floor[n]] = 0
+    assert lost <= 1e-6
+
+
 def test_large_family_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 10)
     words = [f"w{k}" for k in range(200)]
