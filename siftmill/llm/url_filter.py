@@ -9,6 +9,11 @@ minus ``Z`` standard deviations of the beta posterior) is at least ``LIMIT``.
 Unlabelled hosts carry their parents' rate and so can be blocked by a domain's
 or suffix's record, never by their own absence.
 
+A host's suffix is its last label and its registered domain its last two, without
+a list of public suffixes: hosts under co.uk or com.au, say, share one "domain"
+though their registrants differ, and an unlabelled one can take its verdict from
+strangers.
+
 A rule (host, path, verdict) fits its host and all subdomains when the page's
 path starts with the rule's; the longest rule wins, over the method too.
 
