@@ -1,6 +1,7 @@
 """Main-text extraction by a linear-chain CRF over DOM leaf blocks (operator 5).
 
-A page is read leniently (unclosed, misnested and cut-off markup included) into
+A page is read leniently (unclosed, misnested and cut-off markup included, with HTML's
+implied end tags, and in time that grows with its length) into
 leaf blocks: stretches of text between block-level tags, with the tags and
 attribute words of their open ancestors. Scripts, styles and comments never
 become text. Each block is main text or not; a linear-chain conditional random
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,10 +37,28 @@ BLOCK_TAGS = frozenset(
 SILENT_TAGS = frozenset("script style template noscript textarea svg math iframe object head title".split())
 RAW_TAGS = frozenset("script style textarea title iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Tags that end an open element of the same kind.
-CLOSES_SAME = frozenset("p li dt dd tr td th option".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z][^<>]*\Z).*\Z", re.S)
+#: HTML's implied end tags. Elements that a start tag ends when one of
+#: them is open below no other block than those it looks through.
+_CELLS, _HEADINGS = frozenset(["td", "th"]), frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+ENDS = {
+    "li": (frozenset(["li"]), frozenset(["p", "div", "address"])),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["p", "div", "address"])),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["p", "div", "address"])),
+    "td": (_CELLS, frozenset(["p"])),
+    "th": (_CELLS, frozenset(["p"])),
+    "tr": (frozenset(["tr"]), _CELLS | {"p"}),
+    "option": (frozenset(["option"]), frozenset()),
+} | {h: (_HEADINGS, frozenset()) for h in _HEADINGS}
+#: Elements whose content readers do not see only if they are closed, and those that a block's start ends.
+CLOSED_ONLY = frozenset("svg math object noscript template".split())
+FOREIGN = frozenset(["svg", "math"])
+#: What a head may hold.
+IN_HEAD = frozenset("head title base link meta style script noscript template html".split())
+#: Open blocks, innermost first, that a leaf block's features are taken from.
+DEEPEST = 128
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -58,84 +78,163 @@ def _attribute_words(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({w for g in got for w in _WORDS.findall(" ".join(g).lower())})) if got else ()
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, white space folded, empty ones left out."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    state = {"links": 0, "linked": 0}
-    page = page or ""
-
-    def flush() -> None:
-        if parts:
-            text = "".join(parts)
+class _Reader:
+    """The open elements of a page, its leaf blocks, and what is known of its ends."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.counts: Counter[str] = Counter()  # open elements by name
+        self.at_blocks: list[int] = []  # places of blocks in the stack
+        self.parts: list[str] = []
+        self.linked = 0
+        self.silent = 0
+        self.last_close: dict[str, int] = {}
+        self.budget = 4 * len(page)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = "".join(self.parts)
             if "&" in text:
                 text = html_lib.unescape(text)
             text = _SPACE.sub(" ", text).strip()
             if text:
-                out.append(Block(text, tuple(s for s in stack if s[0] in BLOCK_TAGS), state["linked"]))
-            parts.clear()
-        state["linked"] = 0
-
-    at, silent = 0, 0
-    while True:
-        found = _TOKEN.search(page, at)
-        end = found.start() if found else len(page)
-        if end > at and not silent:
-            parts.append(page[at:end])
-            if state["links"]:
-                state["linked"] += end - at
-        if not found:
-            break
-        at = found.end()
-        name = found.group(2)
-        if name is None:
-            continue
-        name = name.lower()
-        closing, attributes = found.group(1), found.group(3)
-        if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if name in BLOCK_TAGS:
-                flush()
-            if depth >= 0:
-                for tag, _ in stack[depth:]:
-                    silent -= tag in SILENT_TAGS
-                    state["links"] -= tag == "a"
-                del stack[depth:]
-            continue
+                self.out.append(Block(text, tuple(self.stack[k] for k in self.at_blocks[-DEEPEST:]), self.linked))
+            self.parts.clear()
+        self.linked = 0
+
+    def text(self, start: int, end: int) -> None:
+        if end <= start:
+            return
+        if self.counts["head"] and not self.page[start:end].isspace():
+            self.end("head")
+        if not self.silent:
+            self.parts.append(self.page[start:end])
+            if self.counts["a"]:
+                self.linked += end - start
+
+    def start(self, name: str, attributes: str, at: int) -> None:
         if name in BLOCK_TAGS:
-            flush()
-        if name == "br" or name == "hr":
-            if not silent:
-                parts.append(" ")
-            continue
-        if name in VOID_TAGS or attributes.rstrip().endswith("/"):
-            continue
-        if name in CLOSES_SAME:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for tag, _ in stack[k:]:
-                        silent -= tag in SILENT_TAGS
-                        state["links"] -= tag == "a"
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS and not (name == "p" and stack[k][0] == "p"):
-                    break
-        if name in RAW_TAGS:
-            close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            self.flush()
+            if name not in IN_HEAD and self.counts["head"]:
+                self.end("head")
+            for foreign in FOREIGN:
+                if self.counts[foreign]:
+                    self.end(foreign)
+            if self.nearest() == "p":
+                self.cut(self.at_blocks[-1])
+        if name in ENDS:
+            ended, through = ENDS[name]
+            if any(self.counts[e] for e in ended):
+                for k in reversed(self.at_blocks):
+                    if self.stack[k][0] in ended:
+                        self.cut(k)
+                        break
+                    if self.stack[k][0] not in through:
+                        break
+        if name in ("br", "hr"):
+            if not self.silent:
+                self.parts.append(" ")
+            return
+        if name in VOID_TAGS or (attributes.rstrip().endswith("/") and name not in BLOCK_TAGS):
+            return
+        hides = name in SILENT_TAGS and (name not in CLOSED_ONLY or self.closes(name, at))
+        if name in SILENT_TAGS and not hides:
+            name = "-"  # its text is read, as that of an unknown inline element
+        self.stack.append((name, _attribute_words(attributes)))
+        self.counts[name] += 1
+        self.silent += hides
+        if name in BLOCK_TAGS:
+            self.at_blocks.append(len(self.stack) - 1)
+
+    def closes(self, name: str, at: int) -> bool:
+        """Whether an element of this name ends somewhere behind a place."""
+        if name not in self.last_close:
+            self.last_close[name] = max((m.start() for m in re.finditer(f"</{name}\\b", self.page, re.I)), default=-1)
+        return self.last_close[name] >= at
+
+    def nearest(self) -> str:
+        return self.stack[self.at_blocks[-1]][0] if self.at_blocks else ""
+
+    def end(self, name: str) -> None:
+        if self.counts[name]:
+            self.cut(next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == name))
+
+    def cut(self, k: int) -> None:
+        """Close the element at a place of the stack and all in it."""
+        for name, _ in self.stack[k:]:
+            self.counts[name] -= 1
+            self.silent -= name in SILENT_TAGS
+        del self.stack[k:]
+        while self.at_blocks and self.at_blocks[-1] >= k:
+            self.at_blocks.pop()
+
+    def tag_end(self, at: int) -> int:
+        """The place of a tag's ">", outside quotes; -1 if it has none. Quotes that are
+        not closed are read as plain characters, and all are once re-reading has cost
+        as much as a few readings of the page."""
+        if self.budget > 0:
+            stop = _REST.match(self.page, at).end()
+            if stop < len(self.page) and self.page[stop] == ">":
+                return stop
+            self.budget -= len(self.page) - at
+        return self.page.find(">", at)
+
+
+def blocks(page: str | None) -> list[Block]:
+    """Leaf blocks of a page in order, white space folded, empty ones left out."""
+    page = page or ""
+    reader = _Reader(page)
+    at = shown = 0  # where to look for the next tag, and the end of what was read
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            stop = len(page) if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            stop = len(page) if end < 0 else end + 1
+        else:
+            named = _NAME.match(page, at)
+            if named is None:
+                at += 1
+                continue
+            end = reader.tag_end(named.end())
+            if end < 0:
+                if page.find("<", at + 1) < 0:  # a tag that the page's end cuts off
+                    reader.text(shown, at)
+                    shown = len(page)
+                break
+            stop = end + 1
+        reader.text(shown, at)
+        opened = at
+        at = shown = stop
+        if page[opened + 1] in "!?":
             continue
-        stack.append((name, _attribute_words(attributes)))
-        silent += name in SILENT_TAGS
-        state["links"] += name == "a"
-    flush()
-    return out
+        name = named.group(1).lower()
+        if page[opened + 1] == "/":
+            if name in BLOCK_TAGS:
+                reader.flush()
+            reader.end(name)
+        elif name in RAW_TAGS:
+            if name in BLOCK_TAGS:
+                reader.flush()
+            close = re.compile(f"</{name}\\s*>", re.I).search(page, at) if reader.closes(name, at) else None
+            if close or name != "title":
+                at = shown = close.end() if close else len(page)
+        else:
+            reader.start(name, page[named.end() : end], stop)
+    reader.text(shown, len(page))
+    reader.flush()
+    return reader.out
 
 
 @lru_cache(100_000)
 def _path_features(path: tuple) -> tuple[str, ...]:
     tags = [t for t, _ in path if t not in ("html", "body")]
     got = {"tag:" + t for t in tags} | {"word:" + w for _, words in path for w in words}
+    got.add("tail:" + ">".join(tags[-3:]))
+    got.add("last:" + ">".join(tags[-2:]))
     return (*sorted(got), "leaf:" + (tags[-1] if tags else "-"), "depth:" + str(min(len(tags), 6)))
 
 
@@ -348,7 +447,9 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[str, list[bool]]]:
             aside()
         tag = rnd.choice(["article"] * 6 + ["main", "div class='content'", "div id='post'", "section class='article body'", "main class='story'", "div class='entry text'"])
         say(f"<{tag}>")
-        if rnd.random() < 0.85:
+        if tag != "div class='content'" and rnd.random() < 0.2:  # the article's own head
+            say(f"<header><h1>{title}</h1></header>", True)
+        elif rnd.random() < 0.85:
             say(f"<h1>{title}</h1>", True)
         for _ in range(rnd.randint(1, 14)):
             shape = rnd.random()
@@ -359,8 +460,9 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[str, list[bool]]]:
             elif shape < 0.82:
                 say(f"<{rnd.choice(['h2', 'h3'])}>{sentence(1, 6)}</h2></h3>", True)
             elif shape < 0.87:
-                n_items = rnd.randint(1, 4)
-                say("<ul>" + "".join(f"<li>{sentence(2, 12)}</li>" for _ in range(n_items)) + "</ul>", *[True] * n_items)
+                n_items, kind = rnd.randint(1, 4), rnd.choice(["ul", "ol"])
+                end = rnd.choice(["</li>", "</li>", ""])
+                say(f"<{kind}>" + "".join(f"<li>{sentence(2, 12)}{end}" for _ in range(n_items)) + f"</{kind}>", *[True] * n_items)
             elif shape < 0.9:
                 say(f"<blockquote>{prose()}</blockquote>", True)
             elif shape < 0.93:
@@ -373,6 +475,9 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[str, list[bool]]]:
                 say(f'<p>{prose()} <a href="#">{words(2)}</a> {prose()}</p>', True)
             else:
                 aside()
+        if rnd.random() < 0.12:  # a list that ends the article
+            n_items, kind = rnd.randint(1, 5), rnd.choice(["ul", "ol", "ol"])
+            say(f"<{kind}>" + "".join(f"<li>{sentence(2, 12)}</li>" for _ in range(n_items)) + f"</{kind}>", *[True] * n_items)
         say(f"</{tag.split()[0]}>") if rnd.random() < 0.93 else None
         for _ in range(rnd.randint(0, 3)):
             aside()
