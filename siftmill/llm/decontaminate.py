@@ -5,27 +5,29 @@ document when some item-sized window lies within ``EDITS`` (a share of the item'
 words) word edits of it. Windows and items are embedded by CGK random walks
 (Chakraborty, Goldenberg and Koucky, 2016): a walk reads a word, emits it and
 steps on or stays as a random bit of (step, word) says, so that few edits leave
-most emitted positions equal. Each of ``repeats()`` rounds takes its own walk and
-samples ``SAMPLED`` positions; windows and items that agree in all of them are
-verified first: their edit distance is computed exactly, on the words around the
-window, by Sellers' algorithm. The rounds favour edits that lie late in an item,
-so they only set the order: stretches that no round meets are verified after
-them, and every item within its edits is found with its least number of edits.
-
-A window is only embedded if it can match at all: k edits cut an item of n words
-into k + 1 runs, so a match shares a run of (n - k) // (k + 1) words, at least
-``anchor`` words, at nearly the item's own offset. Documents are read once with
-no exchange; what is broadcast is the benchmark, whose size is checked.
-
-Defined cases: null and empty texts match nothing; items without a word are
-never found; an item shorter than a window's anchor must occur in full; repeated
-rows are judged each; equal items are reported each; an empty benchmark finds
-nothing; other columns are ignored.
+most emitted positions equal. Each of ``repeats(n)`` rounds takes its own walk, in
+turn from the front and from the back, and samples ``SAMPLED`` of its first n
+positions; the sampled words are the key of a bucket. Windows meet all items of
+their size in their buckets, and for each pair met the edit distance is computed
+exactly, on the words around the window, by Sellers' algorithm.
+
+A window is only embedded if it can match at all, by two tests that lose nothing:
+k edits cut an item of n words into k + 1 runs, so a match shares a run of
+(n - k) // (k + 1) words, at least ``anchor`` words, with an item of its size at
+nearly the item's own offset; and it holds all but k of that item's words.
+Documents are read once for each part of the benchmark of at most ``PART`` bytes,
+with no exchange; what is broadcast is one part.
+
+Defined cases: null and empty texts match nothing; items without an id or without
+a word are never found; an item shorter than a window's anchor must occur in full;
+repeated rows are judged each; equal items are reported each; an empty benchmark
+finds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 from math import ceil, log
@@ -36,15 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from siftmill.llm.shared import hold
+from siftmill.llm.shared import hold, materialize
 
 #: Word edits allowed, as a share of an item's words.
 EDITS = 0.2
-#: Emitted positions that a round samples, and the share of matches with evenly
-#: spread edits that the rounds are to meet; the others are met after the rounds.
-SAMPLED, RECALL = 3, 0.999
-#: Characters of benchmark that are broadcast at most.
-LARGEST = 64_000_000
+#: Emitted positions that a round samples, and the share of matches with the most
+#: edits that the rounds are to meet.
+SAMPLED, RECALL = 2, 0.9999
+#: Bytes of benchmark text that are broadcast at once.
+PART = 32_000_000
+#: Windows embedded together.
+WINDOWS = 50_000
 _WORD = re.compile(r"\w+")
 
 
@@ -52,10 +56,10 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def repeats(share: float = EDITS, sampled: int = SAMPLED, recall: float = RECALL) -> int:
-    """Rounds that meet a pair whose walks agree in (1 - share)**2 of the emitted
-    positions, which is what walks of pairs at the limit do or better in the median."""
-    met = (1 - share) ** (2 * sampled)
+def repeats(n: int, recall: float = RECALL) -> int:
+    """Rounds for items of n words. One round meets a match with edits on every fifth
+    word, the worst placement tried, with probability of about 2 / sqrt(n)."""
+    met = min(0.5, 2 / n**0.5)
     return ceil(log(1 - recall) / log(1 - met))
 
 
@@ -112,7 +116,6 @@ class Index:
             got = np.array([self.code.setdefault(w, len(self.code) + 1) for w in words(text)], np.int64)
             if len(got):
                 self.items.append((item_id, got))
-        self.rounds = repeats(share)
         self.size = np.array([len(g) for _, g in self.items], np.int64)
         self.edits = np.array([allowed(len(g), share) for _, g in self.items], np.int64)
         self.members = [np.unique(g) for _, g in self.items]
@@ -122,15 +125,36 @@ class Index:
             run = int(max(1, min((len(got) - self.edits[k]) // (self.edits[k] + 1), 4)))
             found.setdefault(run, []).extend((int(key), k, at) for at, key in enumerate(_runs(got, run)))
         self.anchors = {run: np.array(sorted(rows), np.int64).T for run, rows in found.items()}
-        rng = np.random.default_rng(11)
-        self.samples: list[dict[int, np.ndarray]] = []
-        self.walks: list[dict[int, tuple]] = []
-        lens = sorted({len(g) for _, g in self.items})
-        for r in range(self.rounds):
-            # samples fall where a walk of the item's length surely still reads words
-            at = {n: np.sort(rng.choice(max(SAMPLED, n), SAMPLED, replace=False)) for n in lens}
-            self.samples.append(at)
-            self.walks.append({k: tuple(cgk(g[None], np.array([len(g)]), at[len(g)][-1] + 1, r)[0, at[len(g)]]) for k, (_, g) in enumerate(self.items)})
+        # buckets: per round, sorted keys of the items that it is for
+        self.widest = int(self.size.max(initial=1))
+        padded = np.zeros((len(self.items), self.widest), np.int64)
+        for k, (_, got) in enumerate(self.items):
+            padded[k, : len(got)] = got
+        self.rounds = np.array([repeats(n) for n in range(1, self.widest + 1)])
+        self.buckets = []
+        for r in range(int(self.rounds[self.size - 1].max(initial=0))):
+            mine = np.flatnonzero(self.rounds[self.size - 1] > r)
+            keys = self.keys(padded[mine], self.size[mine], r)
+            order = np.argsort(keys, kind="stable")
+            self.buckets.append((keys[order], mine[order]))
+
+    def keys(self, codes: np.ndarray, sizes: np.ndarray, r: int) -> np.ndarray:
+        """Bucket keys of full windows (rows of ``codes``, padded) in a round: a hash of the
+        sampled words, the window's size and the round."""
+        if r % 2:
+            back = np.maximum(sizes[:, None] - 1 - np.arange(codes.shape[1]), 0)
+            codes = np.where(np.arange(codes.shape[1]) < sizes[:, None], np.take_along_axis(codes, back, 1), 0)
+        sampled = np.zeros((len(codes), SAMPLED), np.int64)
+        for n in np.unique(sizes):
+            places = np.random.default_rng([11, r, int(n)]).choice(int(n), min(SAMPLED, int(n)), replace=False)
+            sampled[sizes == n] = np.sort(np.resize(places, SAMPLED))
+        walk = cgk(codes, sizes, int(sampled.max(initial=0)) + 1, r)
+        out = sizes * np.int64(1_000_003) + r
+        with np.errstate(over="ignore"):
+            for j in range(SAMPLED):
+                out = (out ^ walk[np.arange(len(codes)), sampled[:, j]]) * np.int64(0x5851F42D4C957F2D)
+                out ^= out >> np.int64(31)
+        return out
 
     def search_all(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """(item id, edits) of every item found, for each text."""
@@ -140,115 +164,117 @@ class Index:
         ends = np.cumsum(lens)
         codes = np.fromiter(chain.from_iterable(coded), np.int64, int(lens.sum()))
         del coded
-        wanted: list[dict[int, list[int]]] = [{} for _ in texts]
+        doc, start, size = self._windows(codes, ends, lens)
+        best: list[dict[int, int]] = [{} for _ in texts]
+        for d, k, low, high in self._met(codes, ends, lens, doc, start, size):
+            text = codes[low:high]
+            if np.isin(text, self.members[k]).sum() >= self.size[k] - self.edits[k] and best[d].get(k) != 0:
+                edits = edit_distance(self.items[k][1], text)
+                if edits <= self.edits[k]:
+                    best[d][k] = min(edits, best[d].get(k, edits))
+        return [sorted((self.items[k][0], e) for k, e in found.items()) for found in best]
+
+    def _windows(self, codes: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that can match some item of their size: document, start, size."""
         known = np.concatenate([[0], np.cumsum(codes > 0)])
+        seen: set[tuple[int, int, int]] = set()
         for run, (keys, item, offset) in self.anchors.items():
             if len(codes) < run:
                 continue
             at = np.flatnonzero(known[run:] - known[:-run] == run)  # runs without a word outside the benchmark
-            seen = _runs(codes, run)[at]
-            low, high = np.searchsorted(keys, seen, "left"), np.searchsorted(keys, seen, "right")
+            runs = _runs(codes, run)[at]
+            low, high = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
             times = high - low
             at, low = np.repeat(at, times), np.repeat(low, times)
             pick = low + np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
             k, start = item[pick], at - offset[pick]
             doc = np.searchsorted(ends, at, "right")
-            begin = ends[doc] - lens[doc]
+            begin, n, edits = ends[doc] - lens[doc], self.size[k], self.edits[k]
             # a match has all but `edits` of the item's words within reach of the window
-            reach = np.clip(start - self.edits[k], begin, ends[doc]), np.clip(start + self.size[k] + self.edits[k], begin, ends[doc])
-            ok = known[reach[1]] - known[reach[0]] >= self.size[k] - self.edits[k]
-            for d, i, s in set(zip(doc[ok].tolist(), k[ok].tolist(), (start - begin)[ok].tolist())):
-                wanted[d].setdefault(i, []).append(s)
-        return [self._verify(codes[ends[d] - lens[d] : ends[d]], found) if found else [] for d, found in enumerate(wanted)]
+            low, high = np.clip(start - edits, begin, ends[doc]), np.clip(start + n + edits, begin, ends[doc])
+            ok = known[high] - known[low] >= n - edits
+            for d, i, s, a, e in set(zip(doc[ok].tolist(), k[ok].tolist(), start[ok].tolist(), low[ok].tolist(), high[ok].tolist())):
+                if np.isin(codes[a:e], self.members[i]).sum() >= self.size[i] - self.edits[i]:
+                    reach = int(self.edits[i])
+                    seen.update((d, w, int(self.size[i])) for w in range(a, max(a, s + reach) + 1))
+        got = np.array(sorted(seen), np.int64).reshape(-1, 3)
+        return got[:, 0], got[:, 1], got[:, 2]
+
+    def _met(self, codes: np.ndarray, ends: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Stretches (document, item, low, high) around the windows that share a bucket
+        with an item, overlapping ones of a pair as one."""
+        found: list[np.ndarray] = []
+        for at in range(0, len(doc), WINDOWS):
+            d, s, n = doc[at : at + WINDOWS], start[at : at + WINDOWS], size[at : at + WINDOWS]
+            # words beyond a document's end, and beyond a window's own size, are no words
+            place = s[:, None] + np.arange(int(n.max()))
+            inside = (place < ends[d][:, None]) & (np.arange(place.shape[1]) < n[:, None])
+            windows = np.where(inside, codes[np.minimum(place, len(codes) - 1)], 0)
+            for r, (keys, item) in enumerate(self.buckets):
+                asked = np.flatnonzero(self.rounds[n - 1] > r)
+                mine = self.keys(windows[asked], n[asked], r)
+                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                times = high - low
+                pick = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                found.append(np.stack([np.repeat(at + asked, times), item[pick]]))
+        pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+        w, k = pairs
+        pad = self.edits[k]
+        low, high = np.maximum(start[w] - pad, (ends - lens)[doc[w]]), np.minimum(start[w] + size[w] + pad, ends[doc[w]])
+        out: list[tuple[int, int, int, int]] = []
+        for d, i, a, e in sorted(zip(doc[w].tolist(), k.tolist(), low.tolist(), high.tolist())):
+            if out and out[-1][:2] == (d, i) and a <= out[-1][3]:
+                out[-1] = (d, i, out[-1][2], max(e, out[-1][3]))
+            else:
+                out.append((d, i, a, e))
+        return out
 
     def search(self, text: str | None) -> list[tuple[int, int]]:
         return self.search_all([text])[0]
 
-    def _stretches(self, k: int, codes: np.ndarray, starts: list[int]) -> list[tuple[int, int, set[int]]]:
-        """Stretches that can hold item k, overlapping ones as one, each with the starts
-        of its windows: near an anchor, with enough of the item's words."""
-        n, edits = int(self.size[k]), int(self.edits[k])
-        out: list[tuple[int, int, set[int]]] = []
-        for s in sorted(starts):
-            low, high = max(0, s - edits), min(len(codes), s + n + edits)
-            if np.isin(codes[low:high], self.members[k]).sum() >= n - edits:
-                windows = set(range(low, max(0, s + edits) + 1))
-                if out and low < out[-1][1]:
-                    low, _, before = out.pop()
-                    windows |= before
-                out.append((low, high, windows))
-        return out
 
-    def _verify(self, codes: np.ndarray, wanted: dict[int, list[int]]) -> list[tuple[int, int]]:
-        """Exact edits of the items wanted. The rounds say which stretches come first;
-        those that no round meets are verified after them, so none is lost."""
-        best: dict[int, int] = {}
-        for k, near in wanted.items():
-            item, n, edits = self.items[k][1], int(self.size[k]), int(self.edits[k])
-            stretches = self._stretches(k, codes, near)
-            if not stretches:
-                continue
-            of = np.concatenate([np.full(len(w), at) for at, (_, _, w) in enumerate(stretches)])
-            starts = np.concatenate([sorted(w) for _, _, w in stretches])
-            inside = starts < len(codes)
-            of, starts = of[inside], starts[inside]
-            padded = np.concatenate([codes, np.zeros(n, np.int64)])
-            windows = padded[starts[:, None] + np.arange(n)]
-            lengths = np.minimum(n, len(codes) - starts)
-            left = np.ones(len(starts), bool)
-            open_ = dict.fromkeys(range(len(stretches)))
-
-            def judge(at: int) -> bool:
-                """Verify a stretch; True once nothing better can be found."""
-                low, high, _ = stretches[at]
-                del open_[at]
-                d = edit_distance(item, codes[low:high])
-                if d <= edits:
-                    best[k] = min(d, best.get(k, d))
-                return best.get(k) == 0
-
-            done = False
-            for r in range(self.rounds):
-                at = self.samples[r][n]
-                walk = cgk(windows[left], lengths[left], at[-1] + 1, r)[:, at]
-                hit = np.unique(of[left][(walk == self.walks[r][k]).all(1)])
-                left &= ~np.isin(of, hit)
-                done = any(judge(h) for h in hit.tolist())
-                if done or not left.any():
-                    break
-            if not done:
-                any(judge(rest) for rest in list(open_))
-        return sorted((self.items[k][0], d) for k, d in best.items())
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, keep: bool = False) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, items (ids
-    found, ascending), edits (of each). ``keep``: instead all columns of ``docs``
-    plus _items and _edits."""
-    size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size > LARGEST:
-        raise ValueError(f"the benchmark has {size} characters; split it into parts of at most {LARGEST}")
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").collect()]
+_MADE: dict[str, Index] = {}
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, keep: bool = False, into: tuple[str, str] = ("items", "edits")) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, and ``into``: items
+    (ids found, ascending), edits (of each). ``keep``: instead all columns of ``docs``
+    plus ``into``, whose names must be free there."""
+    docs = docs if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    named = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    size = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, ceil(size / PART))
+    named = named.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    for part in range(parts):
+        items = [(r["item_id"], r["text"]) for r in named.where(F.col("part") == part).orderBy("item_id", "text").collect()]
+        docs = _searched(docs, items, share, into, part > 0)
+        if part < parts - 1:  # a worker holds the index of one part
+            docs = materialize(docs, "decontaminate")
+    if keep:
+        return docs
+    return docs.select("doc_id", (F.size(into[0]) > 0).alias("contaminated"), *into)
+
+
+def _searched(docs: DataFrame, items: list[tuple[int, str | None]], share: float, into: tuple[str, str], more: bool) -> DataFrame:
+    """``docs`` plus the columns ``into``; ``more``: they are there and are added to."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
-    if not keep:
-        docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.drop("_items", "_edits")
-    at = docs.columns.index("text")
-    made: list[Index] = []
+    at, name = docs.columns.index("text"), uuid.uuid4().hex
+    width = len(docs.columns) - 2 * more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("decontaminate")
-        if not made:
-            made.append(Index(sent.value, share))
+        hold("decontaminate", _MADE.clear)
+        if name not in _MADE:
+            _MADE.clear()
+            _MADE[name] = Index(sent.value, share)
         for batch in batches:
             found = []
-            for lo in range(0, batch.num_rows, 500):
-                found += made[0].search_all(batch.column(at).slice(lo, 500).to_pylist())
+            for lo in range(0, batch.num_rows, 2000):
+                found += _MADE[name].search_all(batch.column(at).slice(lo, 2000).to_pylist())
+            if more:
+                before = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())
+                found = [sorted([*zip(*old), *new]) for old, new in zip(before, found)]
             new = [pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[d for _, d in f] for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_items", "_edits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *into])
 
-    added = [StructField("_items", ArrayType(LongType())), StructField("_edits", ArrayType(IntegerType()))]
-    found = docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
-    if keep:
-        return found
-    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"), F.col("_edits").alias("edits"))
+    added = [StructField(into[0], ArrayType(LongType())), StructField(into[1], ArrayType(IntegerType()))]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:width], *added]))

@@ -6,7 +6,8 @@ combination of at most ``DEPTH`` grid lengths that fills the window is a column
 of a matrix, and non-negative least squares gives how often to use each. The
 counts are rounded down, combinations are filled with documents, and what they
 do not use (with the few ids by which a combination overflows, cut off its last
-piece) is packed greedily in one run. Only a block's last sequence needs padding.
+piece) is packed greedily in one run. Only a block's last sequence is not full; those
+of all blocks are run together at the end.
 
 Defined cases: null or empty text is one end id; a null doc_id is kept as null;
 repeated rows are packed each; an empty table gives no row; other columns are
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.llm.shared import materialize
 from siftmill.llm.tokenize import encoder
 
 WINDOW = 2048
@@ -34,6 +36,7 @@ GRID, DEPTH = 64, 4
 #: A block ends at so many documents or ids.
 BLOCK_DOCS, BLOCK_IDS = 8192, 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -142,8 +145,10 @@ def pack(lengths: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int,
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    One pass with no exchange: a task's sequences hold its own documents, so the
-    padding is at most one window per block of thousands of documents.
+    One pass over the documents with no exchange. Each block leaves one sequence
+    that is not full; the pieces of those, with their ids, are then run together
+    in groups of ``BLOCK_IDS``, so that padding does not grow with the number of
+    tasks: it is one sequence a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +158,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -
 
         def block() -> pa.RecordBatch:
             nonlocal base
-            ids = np.concatenate(parts).astype("<u4")
+            ids = np.concatenate(parts).astype("<u4", copy=False)
             lens = np.concatenate(sizes)
             begin = np.cumsum(lens) - lens
             pieces = np.array(sorted(pack(lens, window)), np.int64)
             item, start, length, sequence, offset = pieces.T
-            crc = [zlib.crc32(ids[a : a + n]) for a, n in zip((begin[item] + start).tolist(), length.tolist())]
+            spans = [(a, a + n) for a, n in zip((begin[item] + start).tolist(), length.tolist())]
+            crc = [zlib.crc32(ids[a:e]) for a, e in spans]
+            # what is not full goes on with its ids
+            open_ = (np.bincount(sequence, length) < window)[sequence]
+            rest = [ids[a:e].tobytes() if o else None for (a, e), o in zip(spans, open_.tolist())]
             doc_ids = pa.concat_arrays(names).take(pa.array(item))
-            made = [doc_ids, start, length, np.array(crc, np.int64), lens[item], sequence + base, offset]
+            made = [doc_ids, start, length, np.array(crc, np.int64), lens[item], sequence + base, offset, pa.array(rest, pa.binary())]
             base += int(sequence.max()) + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x for x in made], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x for x in made], names=[*NAMES, "ids"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -180,4 +189,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -
         if names:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # behind the sequences of every task of the pass before
+        sequence, room = (1 << 62) + (TaskContext.get().partitionId() << 36), window
+        for batch in batches:
+            rows = []
+            for doc_id, start, length, _, doc_tokens, _, _, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                at = 0
+                while at < length:
+                    take = min(length - at, room)
+                    rows.append((doc_id, start + at, take, zlib.crc32(ids[4 * at : 4 * (at + take)]), doc_tokens, sequence, window - room))
+                    at, room = at + take, room - take
+                    if not room:
+                        sequence, room = sequence + 1, window
+            columns = [list(c) for c in zip(*rows)] or [[] for _ in NAMES]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
+
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids binary")
+    made = materialize(made, "pieces")
+    left = made.where("ids is not null")
+    groups = -(-(left.agg(F.sum("length").alias("n")).first()["n"] or 0) // BLOCK_IDS)
+    again = left.repartition(max(1, groups)).sortWithinPartitions("sequence_id", "offset").mapInArrow(together, SCHEMA)
+    return made.where("ids is null").drop("ids").unionByName(again)

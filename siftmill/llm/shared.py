@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,15 +83,22 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Write a whole file under a private name, then rename it: a repeated or
-    speculative task replaces the file by an equal one and readers see all or nothing."""
+def write_file(uri: str, data: bytes | Iterable[bytes]) -> None:
+    """Write a whole file under a private name, then rename it: readers see all or
+    nothing. A file that is there already, written by a repeated or speculative task,
+    has equal bytes; stores that do not rename over it leave it in place."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     private = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(private, compression=None) as out:
-        out.write(data)
-    fs.move(private, path)
+        for part in [data] if isinstance(data, bytes) else data:
+            out.write(part)
+    try:
+        fs.move(private, path)
+    except OSError:
+        if fs.get_file_info(path).type.name != "File":
+            raise
+        fs.delete_file(private)
 
 
 def read_file(uri: str) -> bytes:
@@ -100,6 +107,14 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def read_range(uri: str, start: int, length: int) -> bytes:
+    """So many bytes of a file from a place in it; fewer where it ends."""
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as f:
+        f.seek(start)
+        return f.read(length)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component
     being the smallest node reachable. Only nodes that have an edge are returned.

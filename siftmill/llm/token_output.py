@@ -7,16 +7,18 @@ shards follow each other in that order too. ``index-NNNNNN.mph`` maps the keys o
 one hash bucket to (shard, offset, length). It holds a minimal perfect hash of
 levels of bit arrays (Limasset et al., 2017): a key's slot is the rank of the
 first bit it owns alone, found in a constant expected number of probes. A stored
-32-bit fingerprint per slot turns away keys that were never indexed.
+32-bit fingerprint per slot turns away keys that were never indexed. ``table.json``
+has the folder's totals and the number of hash buckets.
 
 Defined cases: null text is an empty document (its end id alone); a null doc_id
 is a key of its own and sorts first; rows that repeat a doc_id are all kept,
-ordered by their text, and keyed by (doc_id, copy number); an empty table gives
+ordered by a hash of their text, and keyed by (doc_id, copy number); an empty table gives
 no file and no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,13 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import materialize, new_path, read_file, write_file
+from siftmill.llm.shared import materialize, new_path, read_file, read_range, write_file
 from siftmill.llm.tokenize import encoder
 
 END_ID = 1
 #: Keys of an index file, about.
 BUCKET = 50_000
+#: Ids read at once from a shard, about.
+STRETCH = 4_000_000
 _HEAD = 8
+_TABLE = "table.json"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +55,8 @@ class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys with fingerprints."""
 
     GAMMA, SEED_OF_PRINT = 2.0, 10_007
+    #: Bits of a block of a level, and its bytes with the rank of its first bit.
+    BLOCK, STRIDE = 512, 68
 
     def __init__(self, levels: list[np.ndarray], prints: np.ndarray):
         self.levels, self.prints = levels, prints
@@ -101,23 +108,76 @@ class PerfectHash:
         return np.where(ok, slot, -1)
 
     def to_bytes(self) -> bytes:
-        parts = [struct.pack("<II", len(self.levels), len(self.prints))]
-        for bits in self.levels:
-            parts += [struct.pack("<I", len(bits)), np.packbits(bits).tobytes()]
+        """Level and key counts, the levels' sizes, per level blocks of a rank and ``BLOCK``
+        bits, then the fingerprints: every part of a probe lies at a computable place."""
+        parts = [struct.pack("<II", len(self.levels), len(self.prints)), np.array([len(b) for b in self.levels], "<u4").tobytes()]
+        for bits, ranks in zip(self.levels, self.ranks):
+            blocks = -(-len(bits) // self.BLOCK)
+            packed = np.packbits(np.pad(bits, (0, blocks * self.BLOCK - len(bits))), bitorder="little").reshape(blocks, -1)
+            before = ranks[: -1 : self.BLOCK].astype("<u4").view(np.uint8).reshape(blocks, 4)
+            parts.append(np.hstack([before, packed]).tobytes())
         return b"".join([*parts, self.prints.astype("<u4").tobytes()])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple["PerfectHash", int]:
         n_levels, n = struct.unpack_from("<II", data)
-        at, levels = 8, []
-        for _ in range(n_levels):
-            (size,) = struct.unpack_from("<I", data, at)
-            packed = np.frombuffer(data, np.uint8, (size + 7) // 8, at + 4)
-            levels.append(np.unpackbits(packed)[:size].astype(bool))
-            at += 4 + len(packed)
+        at, levels = 8 + 4 * n_levels, []
+        for size in np.frombuffer(data, "<u4", n_levels, 8).tolist():
+            blocks = -(-size // cls.BLOCK)
+            packed = np.frombuffer(data, np.uint8, blocks * cls.STRIDE, at).reshape(blocks, cls.STRIDE)[:, 4:]
+            levels.append(np.unpackbits(packed, bitorder="little")[:size].astype(bool))
+            at += blocks * cls.STRIDE
         return cls(levels, np.frombuffer(data, "<u4", n, at)), at + 4 * n
 
 
+class Table:
+    """Keyed access to a folder of ids from any one process. A key costs a few reads of
+    fixed size: the bits it probes (a constant number expected), its fingerprint, its
+    entry, and its ids; only the folder's totals and index heads are kept."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.buckets = json.loads(read_file(f"{folder}/{_TABLE}"))["buckets"]
+        self.heads: dict[int, tuple[int, list[int]]] = {}
+
+    def entry(self, doc_id: int | None, copy: int = 0) -> tuple[int, int, int] | None:
+        """(shard, offset, length) of a key; None where it is not in the index."""
+        key = key_of(doc_id, copy)
+        bucket = key.view(np.int64).item() % self.buckets
+        path = f"{self.folder}/index-{bucket:06d}.mph"
+        if bucket not in self.heads:
+            try:
+                n_levels, n = struct.unpack("<II", read_range(path, 0, 8))
+            except FileNotFoundError:  # no key fell into this bucket
+                return None
+            self.heads[bucket] = n, np.frombuffer(read_range(path, 8, 4 * n_levels), "<u4").tolist()
+        n, sizes = self.heads[bucket]
+        at, slot = 8 + 4 * len(sizes), -1
+        asked = np.array([key])
+        for level, size in enumerate(sizes):
+            if slot < 0:
+                bit = int(_mix(asked, level)[0] % np.uint64(size))
+                block, within = divmod(bit, PerfectHash.BLOCK)
+                got = read_range(path, at + block * PerfectHash.STRIDE, PerfectHash.STRIDE)
+                bits = np.unpackbits(np.frombuffer(got, np.uint8, offset=4), bitorder="little")
+                if bits[within]:
+                    slot = struct.unpack_from("<I", got)[0] + int(bits[:within].sum())
+            at += -(-size // PerfectHash.BLOCK) * PerfectHash.STRIDE
+        if slot < 0 or struct.unpack("<I", read_range(path, at + 4 * slot, 4))[0] != int(PerfectHash._print(asked)[0]):
+            return None
+        shard, length, offset = struct.unpack("<IIQ", read_range(path, at + 4 * n + 16 * slot, 16))
+        return shard, offset, length
+
+    def ids(self, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
+        found = self.entry(doc_id, copy)
+        if found is None:
+            return None
+        shard, offset, length = found
+        path = f"{self.folder}/shard-{shard:06d}.ids"
+        width = read_range(path, 0, _HEAD)[5]
+        return np.frombuffer(read_range(path, _HEAD + width * offset, width * length), f"<u{width}")
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, keeps_space: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the shards. Returns the manifest
     (doc_id, copy, shard, offset, n_tokens), offsets in ids within the shard."""
@@ -142,10 +202,38 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, keeps_space:
         if parts:
             write_file(f"{folder}/shard-{shard:06d}.ids", b"SMIDS" + bytes([int(width[2]), 0, 0]) + b"".join(p.tobytes() for p in parts))
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    made = ordered.mapInArrow(write, "doc_id long, copy int, shard int, offset long, n_tokens long")
-    return materialize(made, "manifest")
+    # ranges split on the text too, so that a repeated doc_id does not make one large
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    made = materialize(ordered.mapInArrow(write, "doc_id long, copy int, shard int, offset long, n_tokens long"), "manifest")
+    return _joined(made, folder)
+
+
+def _joined(made: DataFrame, folder: str) -> DataFrame:
+    """The manifest with ``start``, and copies numbered on where a doc_id goes on in the
+    next shard. What the driver gathers is one row per shard."""
+    ends = made.groupBy("shard").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.min_by("doc_id", "offset").alias("first"), F.max_by(F.struct("doc_id", "copy"), "offset").alias("last")
+    )
+    known, base, rows, carry = [], 0, 0, None
+    for r in ends.orderBy("shard").collect():
+        more = carry[1] if carry and carry[0] == r["first"] else 0
+        known.append((r["shard"], base, r["first"], more))
+        carry = r["last"]["doc_id"], r["last"]["copy"] + 1 + (more if r["first"] == r["last"]["doc_id"] else 0)
+        base, rows = base + r["n"], rows + r["rows"]
+    write_file(f"{folder}/{_TABLE}", json.dumps({"rows": rows, "ids": base, "buckets": max(1, -(-rows // BUCKET))}).encode())
+    shards = made.sparkSession.createDataFrame(known, "shard int, base long, first long, more int")
+    out = made.join(F.broadcast(shards), "shard")
+    copy = F.col("copy") + F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("more")).otherwise(0)
+    return out.select("doc_id", copy.cast("int").alias("copy"), "shard", "offset", (F.col("base") + F.col("offset")).alias("start"), "n_tokens")
+
+
+def key_of(doc_id: int | None, copy: int) -> np.uint64:
+    """The key of a document, as ``_keyed`` gives it."""
+    import xxhash
+
+    named = xxhash.xxh64_intdigest("null" if doc_id is None else str(doc_id), 42)
+    return np.uint64(xxhash.xxh64_intdigest(struct.pack("<i", copy), named))
 
 
 def _keyed(df: DataFrame, buckets: int) -> DataFrame:
@@ -173,49 +261,49 @@ def write_index(manifest: DataFrame, folder: str, buckets: int) -> DataFrame:
 
 
 def find(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """Look keys (doc_id, copy) up in the index: shard, offset and length, null where absent."""
+    """Look keys (doc_id, copy; ``start`` goes along) up in the index: shard, offset and
+    length. Keys that were never indexed give no row."""
 
     def look(pdf):
         data = read_file(f"{folder}/index-{int(pdf['bucket'].iloc[0]):06d}.mph")
         hashed, at = PerfectHash.from_bytes(data)
         rows = np.frombuffer(data, [("shard", "<u4"), ("length", "<u4"), ("offset", "<u8")], offset=at)
         slot = hashed.find(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        out = pdf[["doc_id", "copy"]].copy()
+        out = pdf[["doc_id", "copy", "start"]].copy()
         for name in ("shard", "offset", "length"):
             out[name] = rows[name][slot].astype(np.int64)
         return out[slot >= 0]
 
-    keyed = _keyed(keys, buckets).select("doc_id", "copy", "key", "bucket")
-    return keyed.groupBy("bucket").applyInPandas(look, "doc_id long, copy int, shard long, offset long, length long")
+    keyed = _keyed(keys, buckets).select("doc_id", "copy", "start", "key", "bucket")
+    return keyed.groupBy("bucket").applyInPandas(look, "doc_id long, copy int, start long, shard long, offset long, length long")
 
 
-def read_back(found: DataFrame, folder: str, bases: dict[int, int]) -> DataFrame:
-    """Read the ids of found keys from the shards and digest them."""
+def read_back(found: DataFrame, folder: str) -> DataFrame:
+    """Read the ids of found keys (with ``start``) from the shards and digest them, a
+    bounded stretch of a shard at a time."""
 
     def read(pdf):
-        data = read_file(f"{folder}/shard-{int(pdf['shard'].iloc[0]):06d}.ids")
-        ids = np.frombuffer(data, f"<u{data[5]}", offset=_HEAD)
-        out = pdf[["doc_id", "copy"]].copy()
-        out["start"] = pdf["offset"] + bases[int(pdf["shard"].iloc[0])]
-        out["n_tokens"] = pdf["length"]
-        out["ids_crc32"] = [zlib.crc32(ids[o : o + n].astype("<u4").tobytes()) for o, n in zip(pdf["offset"], pdf["length"])]
-        return out
+        path = f"{folder}/shard-{int(pdf['shard'].iloc[0]):06d}.ids"
+        width = read_range(path, 0, _HEAD)[5]
+        pdf = pdf.sort_values("offset")
+        offset, length = pdf["offset"].to_numpy(), pdf["length"].to_numpy()
+        stretch = (offset - offset[0]) // STRETCH
+        crc = []
+        for k in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(stretch)) + 1):
+            low, high = offset[k[0]], (offset[k] + length[k]).max()
+            ids = np.frombuffer(read_range(path, _HEAD + width * low, width * (high - low)), f"<u{width}").astype("<u4")
+            crc += [zlib.crc32(ids[o : o + n]) for o, n in zip(offset[k] - low, length[k])]
+        return pdf[["doc_id", "copy", "start"]].assign(n_tokens=length, ids_crc32=crc)
 
     return found.groupBy("shard").applyInPandas(read, "doc_id long, copy int, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None, keeps_space: bool = False) -> DataFrame:
     """Write ``docs`` as id files with their index and read every document back by
-    its key: (doc_id, copy, start, n_tokens, ids_crc32). What the driver gathers
-    is one total per shard."""
+    its key: (doc_id, copy, start, n_tokens, ids_crc32). ``Table`` reads single keys
+    of the folder."""
     folder = folder or new_path(docs.sparkSession, "ids")
     manifest = write_shards(docs, tokenizer_path, folder, keeps_space)
-    totals = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).orderBy("shard").collect()
-    bases, rows, at = {}, 0, 0
-    for row in totals:
-        bases[row["shard"]] = at
-        at += row["n"]
-        rows += row["rows"]
-    buckets = max(1, -(-rows // BUCKET))
+    buckets = json.loads(read_file(f"{folder}/{_TABLE}"))["buckets"]
     write_index(manifest, folder, buckets)
-    return read_back(find(manifest.select("doc_id", "copy"), folder, buckets), folder, bases)
+    return read_back(find(manifest.select("doc_id", "copy", "start"), folder, buckets), folder)

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -36,19 +36,21 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from siftmill.llm.shared import hold
 
 BUCKETS = 1 << 17
-DIM = 2
+DIM = 4
 SIZES = (3, 4, 5)
 STEPS, RATE, DECAY = 36, 0.5, 0.1
 #: A bucket needs occurrences in this share of the documents to have a vector.
 RARE = 0.004
 #: Words whose n-grams, and entries of a sparse matrix that, are looked at together.
-CHUNK, BLOCK = 100_000, 4_000_000
+CHUNK, BLOCK = 40_000, 400_000
 #: One document of so many in the sample is kept to place the threshold.
 HOLD = 12
 #: A missed toxic document costs as much as so many wrong alarms there.
 MISS = 3
 #: Labelled documents to fit on at most, chosen by a hash of their id.
 SAMPLE = 12_000
+#: Pairs of a document and a word of it to fit on at most.
+ENTRIES = 10_000_000
 #: Distinct pieces that a scoring worker remembers.
 MEMORY = 400_000
 _WORD = re.compile(r"\w+")
@@ -98,106 +100,170 @@ class Model:
         return np.array(out)
 
 
-def _matmul(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """A sparse matrix in coordinate form times a dense one."""
-    out = np.zeros((n, x.shape[1]))
-    for at in range(0, len(rows), BLOCK):
-        here = slice(at, at + BLOCK)
-        for k in range(x.shape[1]):
-            out[:, k] += np.bincount(rows[here], values[here] * x[cols[here], k], n)
-    return out
+class _Sparse:
+    """A sparse matrix by rows. Products are summed over at most ``BLOCK`` entries at a
+    time, so that beside the entries only blocks and results take memory."""
+
+    def __init__(self, ends: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int):
+        """``ends``: where each row's entries end in ``cols``; ``values``: of each entry, or of each row."""
+        self.start = np.concatenate([[0], ends]).astype(np.int64)
+        self.cols, self.values, self.n_cols = cols, values, n_cols
+        self.by_row = len(values) != len(cols) or len(values) == len(ends)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        n = len(self.start) - 1
+        sides = np.ascontiguousarray(x.T, np.float32)
+        out = np.zeros((len(sides), n), np.float32)
+        row = 0
+        while row < n:
+            last = max(row + 1, int(np.searchsorted(self.start, self.start[row] + BLOCK, "right")) - 1)
+            low, high = self.start[row], self.start[last]
+            if high > low:
+                some = row + np.flatnonzero(self.start[row:last] < self.start[row + 1 : last + 1])
+                cols, first = self.cols[low:high], self.start[some] - low
+                for k, side in enumerate(sides):
+                    part = np.take(side, cols)
+                    if not self.by_row:
+                        part *= self.values[low:high]
+                    out[k, some] = np.add.reduceat(part, first)
+            row = last
+        if self.by_row:
+            out *= self.values
+        return out.T
+
+    def transposed(self) -> "_Sparse":
+        order = np.argsort(self.cols, kind="stable").astype(np.int32)
+        rows = np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))[order]
+        values = self.values[rows] if self.by_row else self.values[order]
+        made = _Sparse(np.cumsum(np.bincount(self.cols, minlength=self.n_cols)), rows, values, len(self.start) - 1)
+        made.by_row = False
+        return made
+
+
+class Bags:
+    """Documents as counts of words, added one text at a time; a text is not kept."""
+
+    def __init__(self) -> None:
+        self.vocabulary: dict[str, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.shares: list[np.ndarray] = []
+        self.entries = 0
+
+    def add(self, text: str | None) -> None:
+        number = self.vocabulary
+        got = Counter(_WORD.findall((text or "").lower()))
+        total = got.total()
+        self.ids.append(np.fromiter((number.setdefault(w, len(number)) for w in got), np.int32, len(got)))
+        self.shares.append(np.fromiter(got.values(), np.float32, len(got)) / max(total, 1))
+        self.entries += len(got)
+
+    def words(self, docs: np.ndarray) -> _Sparse:
+        """Documents by words, each entry the word's share of its document."""
+        picked = [self.ids[k] for k in docs]
+        none = [np.zeros(0, np.int32)]
+        return _Sparse(np.cumsum([len(i) for i in picked]), np.concatenate(picked or none), np.concatenate([self.shares[k] for k in docs] or none).astype(np.float32), len(self.vocabulary))
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Buckets of all words in order, some at a time: (first word, entries per word, buckets)."""
+        words = list(self.vocabulary)
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            rows, cols = features(part)
+            order = np.argsort(rows, kind="stable")
+            yield at, np.bincount(rows, minlength=len(part)), cols[order].astype(np.int32)
 
 
 def train(texts: list[str | None], labels: np.ndarray) -> Model:
-    """Fit on most of the texts, then move the bias so that a margin of 0 makes
+    bags = Bags()
+    for text in texts:
+        bags.add(text)
+    return fit_bags(bags, labels)
+
+
+def fit_bags(bags: Bags, labels: np.ndarray) -> Model:
+    """Fit on most of the documents, then move the bias so that a margin of 0 makes
     the least costly errors on the others (the middle of the best range)."""
     labels = np.asarray(labels, float)
     held = np.arange(len(labels)) % HOLD == 0
     rest, kept = labels[~held], labels[held]
     if len(labels) < 10 * HOLD or rest.min() == rest.max() or kept.min() == kept.max():
-        return _train(texts, labels)
-    model = _train([t for t, h in zip(texts, held) if not h], rest)
-    margin = _margins(model, [t for t, h in zip(texts, held) if h])
+        return _train(bags, np.arange(len(labels)), labels)
+    model = _train(bags, np.flatnonzero(~held), rest)
+    per_word = np.zeros((len(bags.vocabulary), 1), np.float32)
+    for at, n, cols in bags.grams():
+        ends = np.cumsum(n)
+        per_word[at : at + len(n), 0] = np.add.reduceat(model.weights[cols], ends - n) / n
+    margin = (bags.words(np.flatnonzero(held)) @ per_word)[:, 0] + model.bias
     order = np.argsort(margin)
     # errors when everything from place i on counts as toxic
     wrong = MISS * np.concatenate([[0], np.cumsum(kept[order] == 1)]) + np.concatenate([np.cumsum((kept[order] == 0)[::-1])[::-1], [0]])
     best = np.flatnonzero(wrong == wrong.min())
     ends = np.concatenate([[margin.min() - 1], margin[order], [margin.max() + 1]])
     cut = (ends[best[0]] + ends[best[-1] + 1]) / 2
-    return Model(model.weights, model.bias - cut)
-
+    return Model(model.weights, float(model.bias - cut))
 
-def _margins(model: Model, texts: list[str | None]) -> np.ndarray:
-    return np.concatenate([model.margin(texts[at : at + 500]) for at in range(0, len(texts), 500)])
 
-
-def _train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fit bucket vectors and softmax jointly on whole texts; labels 0 or 1."""
-    labels = np.asarray(labels, float)
+def _train(bags: Bags, docs: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """Fit bucket vectors and softmax jointly; labels 0 or 1 of the given documents."""
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(BUCKETS), 30.0 * (2 * share - 1))
-    vocabulary: dict[str, int] = {}
-    doc_rows, doc_cols, doc_vals = [], [], []
-    for i, text in enumerate(texts):
-        got = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall((text or "").lower())]
-        if got:
-            ids, times = np.unique(got, return_counts=True)
-            doc_rows.append(np.full(len(ids), i))
-            doc_cols.append(ids)
-            doc_vals.append(times / len(got))
-    if not vocabulary:
-        return Model(np.zeros(BUCKETS), float(np.log(labels.mean() / (1 - labels.mean()))))
-    dr, dc = (np.concatenate(x).astype(np.int32) for x in (doc_rows, doc_cols))
-    dv = np.concatenate(doc_vals).astype(np.float32)
+    alone = Model(np.zeros(BUCKETS), float(np.log(labels.mean() / (1 - labels.mean()))))
+    if not bags.vocabulary:
+        return alone
+    by_doc = bags.words(docs)
     # a bucket seen in few documents tells them apart without telling what they are
-    words, seen = list(vocabulary), np.zeros(BUCKETS)
-    in_docs = np.bincount(dc, minlength=len(words))
-    for at in range(0, len(words), CHUNK):
-        rows, cols = features(words[at : at + CHUNK])
-        seen += np.bincount(cols, in_docs[at + rows], BUCKETS)
-    common = seen >= max(3, RARE * len(texts))
-    parts = []
-    for at in range(0, len(words), CHUNK):
-        rows, cols = features(words[at : at + CHUNK])
-        value = 1.0 / np.bincount(rows)[rows]
-        ok = common[cols]
-        parts.append(((at + rows[ok]).astype(np.int32), cols[ok].astype(np.int32), value[ok].astype(np.float32)))
-    wr, wc, wv = map(np.concatenate, zip(*parts))
-    del parts, vocabulary, words
-    used, wc = np.unique(wc, return_inverse=True)
-    wc = wc.astype(np.int32)
+    in_docs = np.bincount(by_doc.cols, minlength=len(bags.vocabulary)).astype(np.float32)
+    seen = np.zeros(BUCKETS)
+    for at, n, cols in bags.grams():
+        seen += np.bincount(cols, np.repeat(in_docs[at : at + len(n)], n), BUCKETS)
+    used = np.flatnonzero(seen >= max(3, RARE * len(docs)))
     if not len(used):
-        return Model(np.zeros(BUCKETS), float(np.log(labels.mean() / (1 - labels.mean()))))
-    n_docs, n_words, n_used = len(texts), len(in_docs), len(used)
+        return alone
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    ends, columns, parts = [], [], []
+    for _, n, cols in bags.grams():
+        got = place[cols]
+        ok = got >= 0
+        owner = np.repeat(np.arange(len(n)), n)[ok]
+        ends.append(np.bincount(owner, minlength=len(n)))
+        columns.append(got[ok])
+        parts.append((1 / n).astype(np.float32))
+    by_word = _Sparse(np.cumsum(np.concatenate(ends)), np.concatenate(columns), np.concatenate(parts), len(used))
+    del columns, ends
+    by_doc_t, by_word_t = by_doc.transposed(), by_word.transposed()
+    n_docs = len(docs)
     rng = np.random.default_rng(seed)
 
     def to_docs(x: np.ndarray) -> np.ndarray:
         """Bags of documents from numbers of buckets, around their mean."""
-        out = _matmul(dr, dc, dv, _matmul(wr, wc, wv, x, n_words), n_docs)
+        out = by_doc @ (by_word @ x)
         return out - out.mean(0)
 
     def to_buckets(x: np.ndarray) -> np.ndarray:
         """The transpose of ``to_docs``."""
-        return _matmul(wc, wr, wv, _matmul(dc, dr, dv, x - x.mean(0), n_words), n_used)
+        return by_word_t @ (by_doc_t @ (x - x.mean(0)).astype(np.float32))
 
     # spread of each bucket's share over documents, by random signs (Hutchinson's estimate of a diagonal)
-    sd = np.sqrt((to_buckets(rng.choice([-1.0, 1.0], (n_docs, 12))) ** 2).mean(1) / n_docs)
-    scale = 1 / np.maximum(sd, np.median(sd) * 0.1)
-    e = np.zeros((n_used, DIM))
-    u = rng.choice([-1.0, 1.0], (DIM, 2)) * [[0.5, -0.5]]
-    b = np.zeros(2)
+    signs = rng.choice([-1.0, 1.0], (n_docs, 12)).astype(np.float32)
+    sd = np.sqrt((to_buckets(signs) ** 2).mean(1) / n_docs)
+    scale = (1 / np.maximum(sd, np.median(sd) * 0.1)).astype(np.float32)
+    e = np.zeros((len(used), DIM), np.float32)
+    u = (rng.normal(size=(DIM, 2)) * 0.5).astype(np.float32)
+    u[:, 1] = -u[:, 0]
+    u *= np.float32(np.sqrt(0.5) / np.linalg.norm(u[:, 0]))  # one speed at every width
+    b = np.zeros(2, np.float32)
     target = np.stack([1 - labels, labels], 1)
-    cost = np.full(n_docs, 1 / n_docs)
     rate, best, last = RATE, np.inf, None
     speed = [np.zeros_like(e), np.zeros_like(u), np.zeros_like(b)]
     for _ in range(STEPS):
-        bags = to_docs(e * scale[:, None])
-        z = bags @ u + b
+        bags_ = to_docs(e * scale[:, None])
+        z = (bags_ @ u + b).astype(float)
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        loss = -(cost * np.log(np.maximum((p * target).sum(1), 1e-300))).sum() + DECAY / 2 * (e**2).sum()
+        loss = -np.log(np.maximum((p * target).sum(1), 1e-300)).mean() + DECAY / 2 * float((e.astype(float) ** 2).sum())
         if loss > best and last is not None:  # a step too far: go back and take smaller ones
             rate /= 2
             e, u, b = (x.copy() for x in last)
@@ -205,38 +271,48 @@ def _train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
             best = np.inf
             continue
         best, last = loss, (e.copy(), u.copy(), b.copy())
-        dz = (p - target) * cost[:, None]
-        grads = (to_buckets(dz @ u.T) * scale[:, None] + DECAY * e, bags.T @ dz, dz.sum(0))
+        dz = ((p - target) / n_docs).astype(np.float32)
+        grads = (to_buckets(dz @ u.T) * scale[:, None] + DECAY * e, bags_.T @ dz, dz.sum(0))
         for k, (x, g) in enumerate(zip((e, u, b), grads)):
             speed[k] = 0.8 * speed[k] + g
-            x -= rate * speed[k]
+            x -= np.float32(rate) * speed[k]
         rate *= 1.1
     e, u, b = last
-    side = u[:, 1] - u[:, 0]
     weights = np.zeros(BUCKETS)
-    weights[used] = (e * scale[:, None]) @ side
-    return Model(weights, float(b[1] - b[0] - (_matmul(dr, dc, dv, _matmul(wr, wc, wv, (weights[used])[:, None], n_words), n_docs)).mean()))
+    weights[used] = (e * scale[:, None]) @ (u[:, 1] - u[:, 0])
+    mean = float((by_doc @ (by_word @ weights[used][:, None].astype(np.float32))).mean())
+    return Model(weights, float(b[1] - b[0]) - mean)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """Train on at most ``sample`` labelled documents. ``labelled``: doc_id, toxic.
 
-    Only ids are ordered; the texts of the chosen ids alone, at most ``sample``
-    of them, meet in one task, which trains and hands the driver the model."""
+    Only ids are ordered; the chosen documents alone meet in one task, which counts
+    the words of one text after another, up to ``entries`` (document, word) pairs in
+    all, trains, and hands the driver the model. Of rows that repeat a doc_id one is
+    learnt from."""
     chosen = labelled.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["doc_id", "text"])
-        texts, labels = rows["text"].tolist(), rows["toxic"].to_numpy()
-        del rows
-        model = train(texts, labels)
+        bags, labels, before = Bags(), [], None
+        for batch in batches:
+            ids, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k, (doc_id, label) in enumerate(zip(ids, toxic)):
+                if (labels and doc_id == before) or bags.entries >= entries:
+                    continue
+                bags.add(batch.column(2)[k].as_py())
+                labels.append(label)
+                before = doc_id
+        model = fit_bags(bags, np.array(labels, float))
         hold("toxicity")
-        yield pd.DataFrame({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias]})
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").repartition(1)
-    made = rows.mapInPandas(learn, "weights binary, bias double").collect()
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    # not in order of ids, which would hold out and cut off neighbours
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    made = rows.mapInArrow(learn, "weights binary, bias double").collect()
     if not made:
         return train([], np.zeros(0))
     return Model(np.frombuffer(made[0]["weights"], "<f4").astype(float), made[0]["bias"])

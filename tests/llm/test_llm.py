@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and odd inputs."""
 
 import random
+import time
 import zlib
 from math import comb
 
@@ -10,6 +11,7 @@ import pytest
 import public_tokenizers
 from conftest import SF
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siftmill.llm import decontaminate, embedding_dedup, html_extract, ngram_join, packing, queries, sharding, token_output, tokenize, toxicity, url_filter, warc
 from siftmill.llm.shared import components, new_path
@@ -35,11 +37,16 @@ def docs(spark):
 
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_piecewise_encoding_is_exact(docs, name, spaced):
-    enc = tokenize.encoder(public_tokenizers.path(name), spaced)
-    texts = [*list(docs.values())[:150], "", None, " a  b", "a \n b", "\n\nx\n", "  ", "a\tb \t c", "\xa0 x", "don't 's", "x\n", "\ny", "<|endoftext|> z", "ΣΑΣ ΣΑΣ\n\n\nB"]
-    ids, starts = enc.encode(pa.array(texts), 1)
-    for k, t in enumerate(texts):
-        assert ids[starts[k] : starts[k + 1]].tolist() == [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+    enc = tokenize.PieceEncoder(public_tokenizers.path(name), spaced, memory=2000)
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    rnd = random.Random(6)
+    mixed = ["".join(rnd.choice(["a", "Bc", " ", " ", ".", ",", "'s", "\n", "é", "<|endoftext|>", "1", "\t", "—", "ß", "(", "İ"]) for _ in range(rnd.randint(0, 25))) for _ in range(800)]
+    texts = [*list(docs.values())[:150], "", None, " a  b", "a \n b", "\n\nx\n", "  ", "a\tb \t c", "\xa0 x", "don't 's", "x\n", "\ny", "<|endoftext|> z", "ΣΑΣ ΣΑΣ\n\n\nB", "x <|startoftext|>.", *mixed]
+    assert enc.direct
+    for at in range(0, len(texts), 60):  # several blocks, so that the memory fills up and is tidied
+        ids, starts = enc.encode(pa.array(texts[at : at + 60], pa.string()), 1)
+        for k, t in enumerate(texts[at : at + 60]):
+            assert ids[starts[k] : starts[k + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 1]
 
 
 def test_toxicity_learns_and_generalises_to_misspellings(spark, odd, empty):
@@ -62,6 +69,40 @@ def test_toxicity_learns_and_generalises_to_misspellings(spark, odd, empty):
     assert toxicity.train(["a"], np.array([1])).margin([None])[0] > 0
     labelled = spark.createDataFrame([(0, 1), (3, 0), (4, None)], "doc_id long, toxic int")
     assert toxicity.fit(odd, labelled).weights.shape == (toxicity.BUCKETS,)
+    mixed = [*texts[:80], None, "", "...", "ÄÖ  x\ty", bad]
+    rows = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(mixed)), SCHEMA), model).collect()}
+    assert np.allclose([rows[k] for k in range(len(mixed))], 1 / (1 + np.exp(-model.margin(mixed))), atol=1e-5)
+
+
+def test_toxicity_sparse_products():
+    rng = np.random.default_rng(3)
+    dense = rng.random((40, 13)) * (rng.random((40, 13)) < 0.2)
+    rows, cols = np.nonzero(dense)
+    made = toxicity._Sparse(np.cumsum(np.bincount(rows, minlength=40)), cols.astype(np.int32), dense[rows, cols].astype(np.float32), 13)
+    x, y = rng.normal(size=(13, 3)), rng.normal(size=(40, 3))
+    assert np.allclose(made @ x, dense @ x, atol=1e-5) and np.allclose(made.transposed() @ y, dense.T @ y, atol=1e-5)
+    shares = rng.random(40).astype(np.float32)
+    per_row = toxicity._Sparse(made.start[1:], made.cols, shares, 13)
+    plain = (dense > 0) * shares[:, None]
+    assert np.allclose(per_row @ x, plain @ x, atol=1e-5) and np.allclose(per_row.transposed() @ y, plain.T @ y, atol=1e-5)
+
+
+def test_toxicity_learns_one_row_of_a_repeated_id_and_stays_in_bounds(spark):
+    rows = [(k % 40, ("vileword " if k % 40 < 20 else "kindly ") * 3) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model, once = toxicity.fit(docs, labels), toxicity.fit(docs.dropDuplicates(["doc_id"]), labels)
+    assert np.allclose(model.weights, once.weights) and model.margin(["vileword"])[0] > model.margin(["kindly"])[0]
+    assert toxicity.fit(docs, labels, entries=1).weights.any() == np.False_
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Figures on rows that were not learnt from, of a table with few toxic ones."""
+    scored = queries.op1_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    got = scored.join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r["toxic"]: r["p"] for r in got}
+    assert share[1] > 0.6 and share[0] < 0.08, share
 
 
 def test_decontamination_finds_edited_passages(spark, docs, odd, empty):
@@ -155,6 +196,22 @@ def test_token_output_reads_back_every_document(spark, docs, odd, empty):
     assert twice.count() == 2 * len(ODD) and twice.where("copy = 1").count() == len(ODD)
 
 
+def test_single_keys_and_a_doc_id_of_many_rows(spark):
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "one-id")
+    rows = [(7, f"row {k} of many") for k in range(400)] + [(None, f"lost {k}") for k in range(50)] + [(9, "last")]
+    got = token_output.token_output(spark.createDataFrame(rows, SCHEMA).repartition(5), path, folder).collect()
+    assert len({(r["doc_id"], r["copy"]) for r in got}) == len(rows) == len(got)
+    assert sorted(r["copy"] for r in got if r["doc_id"] == 7) == list(range(400))
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    table = token_output.Table(folder)
+    for r in got[::7]:
+        assert _digest(table.ids(r["doc_id"], r["copy"])) == r["ids_crc32"]
+    assert table.ids(8) is None and table.ids(7, 400) is None
+
+
 def test_html_extraction(spark):
     pages = html_extract.labelled_pages(300, seed=9)
     tagger = html_extract.train(html_extract.labelled_pages(500))
@@ -168,6 +225,59 @@ def test_html_extraction(spark):
     assert html_extract.extract(rows.limit(0), tagger).count() == 0
 
 
+STORY = "<p>First long paragraph of the story here.</p><p>Second paragraph of the story, too.</p>"
+TOLD = "First long paragraph of the story here.\nSecond paragraph of the story, too."
+#: Pages written and labelled by hand: html and its main text.
+BY_HAND = [
+    (f"<html><head><title>x</title><meta charset=utf-8><body><article><h1>A title.</h1>{STORY}</article>", f"A title.\n{TOLD}"),
+    (f"<html><head><title>x</title><article><h1>A title.</h1>{STORY}</article>", f"A title.\n{TOLD}"),
+    (f"<body><div><svg><path d='x'></div><article>{STORY}</article>", TOLD),
+    (f"<body><svg><g><article>{STORY}</article>", TOLD),
+    (f"<body><svg><text>not this</text></svg><article>{STORY}</article>", TOLD),
+    (f"<body><header><a href=/>Home</a></header><main><header><h1>Story title</h1></header>{STORY}</main><footer>&copy; some.site</footer>", f"Story title\n{TOLD}"),
+    (f"<body><article>{STORY}<ol><li>Item one is this.</li><li>Item two is that.</li></ol></article>", f"{TOLD}\nItem one is this.\nItem two is that."),
+    ("<article><p>Some text is here now.<ul><li>one thing of it<li>two things of it</ul></article>", "Some text is here now.\none thing of it\ntwo things of it"),
+    (f"<nav><ul><li><a href=/a>Here</a><li><a href=/b>There</a></ul></nav><div class=content>{STORY}</div><div class=sidebar><p>Read this other thing.</p></div>", TOLD),
+    (f"<main class=story><h1>Plain &amp; short.</h1>{STORY}</main><section id=comments><h3>Replies</h3><p>I do not agree at all.</p><p>Nor do I.</p></section>", f"Plain & short.\n{TOLD}"),
+    (f"<div class=cookie-banner><p>We use cookies on this site.</p><button>Fine</button></div><article>{STORY}</article><form><label>Your mail</label><input></form>", TOLD),
+    (f"<article>{STORY}<div class=ad>Buy this thing now.</div><p>Third paragraph, after the advert.</p></article>", f"{TOLD}\nThird paragraph, after the advert."),
+]
+
+
+def test_html_pages_labelled_by_hand():
+    tagger = html_extract.train(html_extract.labelled_pages())
+    right = made = wanted = 0
+    for page, text in BY_HAND:
+        got, want = tagger.extract(page).split("\n"), text.split("\n")
+        right += len(set(got) & set(want))
+        made, wanted = made + len(got), wanted + len(want)
+    f1 = 2 * right / (made + wanted)
+    assert f1 >= 0.95, f1
+    for page, text in BY_HAND[:8]:
+        assert tagger.extract(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<div>", "<a '\">", "<svg>", "<li><div>", "<b>", "<a x=\"", "</p>", "<p><b>x"])
+def test_html_reading_is_linear(part):
+    def seconds(n):
+        began = time.process_time()
+        html_extract.blocks(part * n + "text")
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(64_000) < 0.05 + 8 * 1.7 * max(seconds(8_000), 0.005)
+    assert seconds(1_000_000 // len(part)) < 6
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, None, None, 1), (None, "u", "", 2), (2, "u", "plain text outside of any tag, as it is.", 3), (2, "u", "<article><p>" + "word " * 200_000 + "</p></article>", 4), (3, "u", "<!-- never closed", 5), (4, "u", "a <", 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long").repartition(2)
+    got = html_extract.extract(pages).collect()
+    assert len(got) == len(rows) and html_extract.extract(pages.where("false")).count() == 0
+    by = {(r["page_id"], r["n_chars"]) for r in got}
+    assert (2, 999_999) in by and (1, 0) in by and (None, 0) in by and (3, 0) in by
+
+
 def _brute_links(x, t=0.9):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= t
@@ -303,6 +413,16 @@ def test_nnls_and_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("parts", [4, 211])
+def test_packing_pads_little_however_many_tasks(spark, parts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(parts)
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    row = rows.agg(F.countDistinct("sequence_id").alias("s"), F.sum("length").alias("n")).first()
+    assert row["n"] / (row["s"] * packing.WINDOW) > 0.98
+    again = rows.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t")
+    assert again.count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 40, 41, 997])
 def test_permutation_is_one_to_one(spark, n):
     got = [r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n, 5)).collect()]
