@@ -93,6 +93,7 @@ def _weight_sql(rows: str, rate: str) -> str:
     )
 
 
+_SUFFIXES = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
 _URL_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for v, h, p in _URL_RULES]
 
@@ -102,11 +103,14 @@ ORACLE: dict[str, str] = {
     " regexp_extract(coalesce(url,''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),"
     " l AS (SELECT doc_id, 1 - min(quality) AS bad FROM labels GROUP BY doc_id),"
     " p AS (SELECT u.*, l.bad FROM u LEFT JOIN l ON l.doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:/|\\.html)?$', 1), '') AS BIGINT)),"
-    " h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM p GROUP BY host),"
+    " b AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM p),"
+    " t AS (SELECT *, regexp_matches(bare, '^([0-9]+([.][0-9]+){3}|\\[.*\\])$') AS address, array_to_string(labels[-2:], '.') AS two FROM b),"
+    f" h AS (SELECT host, CASE WHEN address THEN bare WHEN two IN ({_SUFFIXES}) THEN array_to_string(labels[-3:], '.') ELSE two END AS domain,"
+    f" CASE WHEN address THEN '' WHEN two IN ({_SUFFIXES}) THEN two ELSE labels[-1] END AS suffix, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM t GROUP BY ALL),"
     " d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY domain, suffix), s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY suffix),"
     " s0 AS (SELECT s.*, (SELECT (sum(bad)+1)/(sum(n)+2) FROM s) AS r FROM s),"
     f" sw AS ({_weight_sql('s0', 'r')}), s1 AS (SELECT suffix, (bad+w*r)/(n+w) AS sr FROM s0, sw), d0 AS (SELECT d.*, sr AS r FROM d JOIN s1 ON d.suffix = s1.suffix),"
-    f" dw AS ({_weight_sql('d0', 'r')}), d1 AS (SELECT domain, (bad+w*r)/(n+w) AS dr FROM d0, dw), h0 AS (SELECT h.*, dr AS r FROM h JOIN d1 ON h.domain = d1.domain),"
+    f" dw AS ({_weight_sql('d0', 'r')}), d1 AS (SELECT domain, suffix, (bad+w*r)/(n+w) AS dr FROM d0, dw), h0 AS (SELECT h.*, dr AS r FROM h JOIN d1 ON h.domain = d1.domain AND h.suffix = d1.suffix),"
     f" hw AS ({_weight_sql('h0', 'r')}), h1 AS (SELECT host, (bad+w*r)/(n+w) AS m, n+w AS t FROM h0, hw),"
     f" k AS (SELECT host, m - {url_filter.Z}::DOUBLE*sqrt(m*(1-m)/(t+1)) AS low FROM h1)"
     f" SELECT page_id, p.host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for f, r, _ in _FITS).replace('host', 'p.host')} END AS rule,"

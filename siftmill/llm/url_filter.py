@@ -9,17 +9,18 @@ minus ``Z`` standard deviations of the beta posterior) is at least ``LIMIT``.
 Unlabelled hosts carry their parents' rate and so can be blocked by a domain's
 or suffix's record, never by their own absence.
 
-A host's suffix is its last label and its registered domain its last two, without
-a list of public suffixes: hosts under co.uk or com.au, say, share one "domain"
-though their registrants differ, and an unlabelled one can take its verdict from
-strangers.
+A host's suffix is its last label, or its last two where the table ``SUFFIXES`` has
+them, and its registered domain has one label more. The table holds common public
+suffixes of two labels, not all: hosts under others share one "domain". Ports do not
+count; an IP address is its own domain, under a suffix of its own kind.
 
 A rule (host, path, verdict) fits its host and all subdomains when the page's
 path starts with the rule's; the longest rule wins, over the method too.
 
 Defined cases: a null url or one without "://" has empty host and path and is
 judged like an unlabelled host without a suffix; repeated rows are judged each;
-an empty table gives no row; null outcomes are not counted; other columns stay.
+an empty table gives no row; null outcomes are not counted; other columns stay,
+columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.llm.shared import materialize
+
 #: The rules of the contract.
 RULES = [
     ("allow", "com", "/"),
@@ -35,8 +38,17 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: Public suffixes of two labels.
+SUFFIXES = (
+    "co.uk org.uk ac.uk gov.uk me.uk ltd.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz net.nz ac.nz co.jp or.jp ne.jp ac.jp go.jp co.kr or.kr"
+    " com.cn net.cn org.cn gov.cn edu.cn com.tw org.tw com.hk org.hk com.sg com.my co.in net.in org.in ac.in co.id or.id co.th in.th com.ph com.vn"
+    " com.br net.br org.br gov.br com.ar com.mx com.co com.pe com.ve com.uy com.tr org.tr gov.tr com.ua co.il org.il ac.il co.za org.za com.eg com.sa"
+    " com.ng co.ke com.pk com.bd com.pl net.pl org.pl com.ru co.at or.at com.pt com.es com.gr"
+).split()
 Z = 1.645
 LIMIT = 0.5
+#: Hosts that are broadcast at most, and the share of all pages (1 in so many) that makes a host hot.
+FEW, HOT = 50_000, 1000
 
 
 def url_host(url: Column) -> Column:
@@ -49,12 +61,24 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(host, r":[0-9]*$", "")
+
+
+def _is_address(host: Column) -> Column:
+    return _bare(host).rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    bare = _bare(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(_is_address(host), "").when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    bare = _bare(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(_is_address(host), bare).when(two.isin(*SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -66,52 +90,57 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def _shrunk(counts: DataFrame, level: str, parent_rate: str) -> DataFrame:
-    """Posterior mean and prior weight of a level from (n, bad) and the parent's rate."""
-    p = F.col("bad") / F.col("n")
+def _shrunk(counts: DataFrame, level: str, parent_rate: str) -> tuple[DataFrame, float]:
+    """A level's posterior rates from (n, bad) and the parent's rate, and the prior's weight."""
+    p, r = F.col("bad") / F.col("n"), F.col(parent_rate)
     # method of moments: between-group variance around the parents' rates
-    spread = counts.where("n > 0").agg(
-        (F.sum(F.col("n") * F.pow(p - F.col(parent_rate), 2)) / F.sum("n")).alias("v"),
-        (F.sum(F.col(parent_rate) * (1 - F.col(parent_rate))) / F.sum("n")).alias("noise"),
-        (F.sum(F.col("n") * F.col(parent_rate) * (1 - F.col(parent_rate))) / F.sum("n")).alias("pq"),
-    )
-    between = F.greatest(F.col("v") - F.col("noise"), F.lit(1e-9))
-    weight = spread.select(F.coalesce(F.least(F.greatest(F.col("pq") / between - 1, F.lit(1.0)), F.lit(1000.0)), F.lit(1.0)).alias("weight"))
-    weighed = counts.withColumn(f"{level}_weight", weight.scalar())
-    w = F.col(f"{level}_weight")
-    return weighed.withColumn(f"{level}_rate", (F.col("bad") + w * F.col(parent_rate)) / (F.col("n") + w))
+    spread = counts.where("n > 0").agg((F.sum(F.col("n") * F.pow(p - r, 2)) / F.sum("n")).alias("v"), (F.sum(r * (1 - r)) / F.sum("n")).alias("noise"), (F.sum(F.col("n") * r * (1 - r)) / F.sum("n")).alias("pq"))
+    row = spread.first()
+    weight = 1.0 if row["v"] is None else min(max(row["pq"] / max(row["v"] - row["noise"], 1e-9) - 1, 1.0), 1000.0)
+    w = F.lit(weight)
+    return counts.withColumn(f"{level}_rate", (F.col("bad") + w * r) / (F.col("n") + w)), weight
 
 
 def reputations(pages: DataFrame) -> DataFrame:
-    """Per host of ``pages`` (host, bad nullable): n, bad, posterior mean and bound.
+    """Per host of ``pages`` (host, bad nullable): pages, n (labelled), bad, posterior mean and bound.
 
-    Pages are counted per host before anything else is joined, so a host with a
-    third of all pages is one row from then on."""
-    hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    Pages are counted per host once, with partial counts before the exchange, and written;
+    all levels are read from that table. The driver gathers four numbers a level."""
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_rate"))
-    s = _shrunk(suffixes.withColumn("all_rate", overall.scalar()), "suffix", "all_rate").select("suffix", "suffix_rate")
-    d = _shrunk(domains.join(s, "suffix"), "domain", "suffix_rate").select("domain", "domain_rate")
-    h = _shrunk(hosts.join(d, "domain"), "host", "domain_rate")
-    alpha = F.col("bad") + F.col("host_weight") * F.col("domain_rate")
-    total = F.col("n") + F.col("host_weight")
-    mean = alpha / total
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    overall = ((whole["bad"] or 0) + 1) / ((whole["n"] or 0) + 2)
+    s, _ = _shrunk(suffixes.withColumn("all_rate", F.lit(overall)), "suffix", "all_rate")
+    domains = materialize(domains.join(s.select("suffix", "suffix_rate"), "suffix"), "domains")
+    d, _ = _shrunk(domains, "domain", "suffix_rate")
+    known = hosts.join(d.select("domain", "suffix", "domain_rate"), ["domain", "suffix"])
+    h, weight = _shrunk(known, "host", "domain_rate")
+    mean, total = F.col("host_rate"), F.col("n") + F.lit(weight)
     bound = mean - F.lit(Z) * F.sqrt(mean * (1 - mean) / (total + 1))
-    return h.select("host", "n", "bad", mean.alias("bad_rate"), bound.alias("bad_rate_low"))
+    return materialize(h.select("host", "pages", "n", "bad", mean.alias("bad_rate"), bound.alias("bad_rate_low")), "reputations")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` (url, bad nullable 0/1) plus host, path, rule, bad_rate,
-    bad_rate_low and verdict."""
+    bad_rate_low and verdict; columns of these names are replaced.
+
+    The hosts' rates are broadcast when they are ``FEW`` at most. Beyond that the hosts
+    with over 1 / ``HOT`` of all pages, fewer than ``HOT`` by count, are broadcast, and
+    only the pages of the others are exchanged."""
+    pages = pages.drop("host", "path", "rule", "bad_rate", "bad_rate_low", "verdict")
     rows = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     known = reputations(rows.select("host", "bad"))
-    ruled = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    rates = known.select("host", "bad_rate", "bad_rate_low")
+    size = known.agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).first()
+    if size["hosts"] <= FEW:
+        joined = rows.join(F.broadcast(rates), "host", "left")
+    else:
+        hot = F.col("pages") * HOT > size["pages"]
+        often, seldom = known.where(hot).select("host", "bad_rate", "bad_rate_low"), known.where(~hot).select("host", "bad_rate", "bad_rate_low")
+        joined = rows.join(F.broadcast(often), "host").unionByName(rows.join(F.broadcast(often), "host", "left_anti").join(seldom, "host", "left"))
+    ruled = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_rate_low") >= LIMIT, "block").otherwise("allow")
-    return (
-        ruled.join(known.select("host", "bad_rate", "bad_rate_low"), "host", "left")
-        .withColumn("rule", F.col("_rule.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_rule.verdict"), by_method))
-        .drop("_rule")
-    )
+    columns = [*pages.columns, "host", "path"]
+    return joined.select(*columns, ruled["rule"].alias("rule"), "bad_rate", "bad_rate_low", F.coalesce(ruled["verdict"], by_method).alias("verdict"))
