@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.llm import decontaminate, ngram_join, packing, toxicity
-from siftmill.llm.shared import materialize, table
+from siftmill.llm.shared import free_name, materialize, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose toxicity score is below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, into="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    into = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, into=into).where(F.col(into) < 0.5).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,23 +29,25 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     smallest doc_id; documents without a word are no one's duplicates."""
     classes = materialize(ngram_join.similarity_classes(docs, numbered=True), "similarity")
     # rows are found again by id and text: ids may be null or repeated
-    rows = classes.groupBy("_group", "doc_id", "_hash").agg(F.count("*").alias("_rows"))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_rows")).alias("at")
-    kept = rows.where("_group is not null").groupBy("_group").agg(least).select("at.doc_id", "at._hash", "at._rows")
-    kept = kept.unionByName(rows.where("_group is null").select("doc_id", "_hash", F.lit(1).cast("long").alias("_rows")))
+    key, text_hash, times, turn = (free_name(docs, n) for n in ("kept_id", "kept_hash", "kept_rows", "kept_turn"))
+    rows = classes.groupBy("_group", F.col("doc_id").alias(key), F.col("_hash").alias(text_hash)).agg(F.count("*").alias(times))
+    least = F.min(F.struct(F.col(key).isNull(), key, text_hash, times)).alias("at")
+    kept = rows.where("_group is not null").groupBy("_group").agg(least).select(f"at.{key}", f"at.{text_hash}", f"at.{times}")
+    kept = kept.unionByName(rows.where("_group is null").select(key, text_hash, F.lit(1).cast("long").alias(times)))
     # a merge join at every size: what is kept grows with the documents
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    out = docs.join(kept.withColumnRenamed("doc_id", "_id").hint("merge"), same)
-    if not kept.where("_rows > 1").isEmpty():
-        turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("text"))
-        out = out.withColumn("_turn", turn).where("_rows = 1 or _turn = 1")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_hash))
+    out = docs.join(kept.hint("merge"), same)
+    if not kept.where(F.col(times) > 1).isEmpty():
+        one = F.row_number().over(Window.partitionBy(key, text_hash).orderBy("text"))
+        out = out.withColumn(turn, one).where((F.col(times) == 1) | (F.col(turn) == 1))
     return out.select(docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which no benchmark item is found."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=True)
-    return found.where("size(_items) = 0").select(docs.columns)
+    into = free_name(docs, "found_items"), free_name(docs, "found_edits")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=True, into=into)
+    return found.where(F.size(into[0]) == 0).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
