@@ -2,8 +2,8 @@
 
 A text is cut at spaces (and line ends), where both supported pre-tokenizers
 always start a new token, and punctuation is cut off a piece's end, where they
-do so too. What remains is encoded once per worker and remembered; a memory that
-fills up keeps what was used again since it last did, so that a worker does not
+do so too. What remains is encoded once per task and remembered; a memory that
+fills up keeps what was used again since it last did, so that a long task does not
 start cold. Words of Latin letters are one pre-token and go straight to the
 library's BPE model; everything else goes through the library's whole encoder.
 Texts whose white space runs together or that hold a special token's string,
@@ -89,6 +89,11 @@ class PieceEncoder:
         self.again = np.zeros(1 << 16, bool)  # used after the block that taught it
         self.count = 1
 
+    def rest(self) -> None:
+        """At a task's end: an idle worker keeps the tokenizer, not the pieces."""
+        self._forget()
+        hold("tokenize", _LOADED.clear)
+
     def _tidy(self) -> None:
         """Keep what was used again since the memory was last full."""
         keep = np.flatnonzero(self.again[: self.count])
