@@ -188,6 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -
                     names, parts, sizes, total = [], [], [], 0
         if names:
             yield block()
+        enc.rest()
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # behind the sequences of every task of the pass before
