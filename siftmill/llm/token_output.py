@@ -199,6 +199,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, keeps_space:
                 names=["doc_id", "copy", "shard", "offset", "n_tokens"],
             )
             at += len(ids)
+        enc.rest()
         if parts:
             write_file(f"{folder}/shard-{shard:06d}.ids", b"SMIDS" + bytes([int(width[2]), 0, 0]) + b"".join(p.tobytes() for p in parts))
 
