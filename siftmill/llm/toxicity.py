@@ -131,13 +131,22 @@ class _Sparse:
             out *= self.values
         return out.T
 
-    def transposed(self) -> "_Sparse":
-        order = np.argsort(self.cols, kind="stable").astype(np.int32)
-        rows = np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))[order]
-        values = self.values[rows] if self.by_row else self.values[order]
-        made = _Sparse(np.cumsum(np.bincount(self.cols, minlength=self.n_cols)), rows, values, len(self.start) - 1)
-        made.by_row = False
-        return made
+    def back(self, x: np.ndarray) -> np.ndarray:
+        """The product of the transposed matrix."""
+        out = np.zeros((x.shape[1], self.n_cols), np.float32)
+        n, row = len(self.start) - 1, 0
+        while row < n:
+            last = max(row + 1, int(np.searchsorted(self.start, self.start[row] + BLOCK, "right")) - 1)
+            low, high = self.start[row], self.start[last]
+            times, cols = np.diff(self.start[row : last + 1]), self.cols[low:high]
+            for k in range(x.shape[1]):
+                side = x[row:last, k] * self.values[row:last] if self.by_row else x[row:last, k]
+                part = np.repeat(side, times)
+                if not self.by_row:
+                    part = part * self.values[low:high]
+                out[k] += np.bincount(cols, part, self.n_cols)
+            row = last
+        return out.T
 
 
 class Bags:
@@ -232,7 +241,6 @@ def _train(bags: Bags, docs: np.ndarray, labels: np.ndarray, seed: int = 7) -> M
         parts.append((1 / n).astype(np.float32))
     by_word = _Sparse(np.cumsum(np.concatenate(ends)), np.concatenate(columns), np.concatenate(parts), len(used))
     del columns, ends
-    by_doc_t, by_word_t = by_doc.transposed(), by_word.transposed()
     n_docs = len(docs)
     rng = np.random.default_rng(seed)
 
@@ -243,7 +251,7 @@ def _train(bags: Bags, docs: np.ndarray, labels: np.ndarray, seed: int = 7) -> M
 
     def to_buckets(x: np.ndarray) -> np.ndarray:
         """The transpose of ``to_docs``."""
-        return by_word_t @ (by_doc_t @ (x - x.mean(0)).astype(np.float32))
+        return by_word.back(by_doc.back((x - x.mean(0)).astype(np.float32)))
 
     # spread of each bucket's share over documents, by random signs (Hutchinson's estimate of a diagonal)
     signs = rng.choice([-1.0, 1.0], (n_docs, 12)).astype(np.float32)
