@@ -80,11 +80,11 @@ def test_toxicity_sparse_products():
     rows, cols = np.nonzero(dense)
     made = toxicity._Sparse(np.cumsum(np.bincount(rows, minlength=40)), cols.astype(np.int32), dense[rows, cols].astype(np.float32), 13)
     x, y = rng.normal(size=(13, 3)), rng.normal(size=(40, 3))
-    assert np.allclose(made @ x, dense @ x, atol=1e-5) and np.allclose(made.transposed() @ y, dense.T @ y, atol=1e-5)
+    assert np.allclose(made @ x, dense @ x, atol=1e-5) and np.allclose(made.back(y), dense.T @ y, atol=1e-5)
     shares = rng.random(40).astype(np.float32)
     per_row = toxicity._Sparse(made.start[1:], made.cols, shares, 13)
     plain = (dense > 0) * shares[:, None]
-    assert np.allclose(per_row @ x, plain @ x, atol=1e-5) and np.allclose(per_row.transposed() @ y, plain.T @ y, atol=1e-5)
+    assert np.allclose(per_row @ x, plain @ x, atol=1e-5) and np.allclose(per_row.back(y), plain.T @ y, atol=1e-5)
 
 
 def test_toxicity_learns_one_row_of_a_repeated_id_and_stays_in_bounds(spark):
@@ -149,6 +149,37 @@ def test_decontamination_finds_every_placement_of_edits(part):
             assert index.search(text) == [(1, decontaminate.edit_distance(index.items[0][1], coded))]
 
 
+@pytest.mark.parametrize("part", ["anywhere", "evenly", "first half"])
+def test_decontamination_recall_against_a_full_scan(part):
+    """Items with as many edits as are allowed, against Sellers' scan of the whole text."""
+    rnd = random.Random(part)
+    items = [[f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([6, 12, 25, 40, 60, 110]))] for _ in range(60)]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    texts, hits, wanted = [], 0, 0
+    for k, item in enumerate(items * 4):
+        w, n = list(item), decontaminate.allowed(len(item))
+        places = {"anywhere": rnd.sample(range(len(w)), n), "evenly": [len(w) * j // max(n, 1) for j in range(n)], "first half": rnd.sample(range(len(w) // 2 + 1), n)}[part]
+        for at in sorted(places, reverse=True):
+            w[at : at + 1] = rnd.choice([[], ["zz"], [f"w{rnd.randrange(3000)}"], ["zz", w[at]]])
+        texts.append(" ".join([f"w{rnd.randrange(4000)}" for _ in range(40)] + w + [f"w{rnd.randrange(4000)}" for _ in range(40)]))
+    for text, found in zip(texts, index.search_all(texts)):
+        coded = np.array([index.code.get(x, 0) for x in text.split()])
+        full = {(k, d) for k, item in index.items if (d := decontaminate.edit_distance(item, coded)) <= decontaminate.allowed(len(item))}
+        assert {k for k, _ in found} <= {k for k, _ in full}
+        hits, wanted = hits + len(full & set(found)), wanted + len(full)
+    assert wanted >= 240 and hits >= 0.995 * wanted, (hits, wanted)
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    docs, bench = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    docs = docs.withColumn("_items", F.lit("mine")).withColumn("edits", F.lit(7))
+    once = decontaminate.contamination(docs, bench, keep=True, into=("_found", "_of")).collect()
+    monkeypatch.setattr(decontaminate, "PART", 10_000)
+    again = decontaminate.contamination(docs, bench, keep=True, into=("_found", "_of")).collect()
+    assert sorted(once, key=str) == sorted(again, key=str) and any(r["_found"] for r in once)
+    assert {(r["_items"], r["edits"]) for r in once} == {("mine", 7)}
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4])
     assert decontaminate.edit_distance(a, np.array([9, 1, 2, 3, 4, 9])) == 0
@@ -449,6 +480,24 @@ def test_url_rules_and_reputation(spark):
     assert got[900]["verdict"] == "block" and got[300]["verdict"] == "allow" and len(got) == len(rows)
 
 
+def test_registered_domains_and_clashing_names(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.example.com:80": ("example.com", "com"), "10.0.0.1:8080": ("10.0.0.1", ""), "[::1]": ("[::1]", ""), "com": ("com", "com"), "": ("", ""), "co.uk": ("co.uk", "co.uk")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s"))
+    assert {r["host"]: (r["d"], r["s"]) for r in rows.collect()} == hosts
+    pages = spark.createDataFrame([("http://a.co.uk/x", 1, 0.5, "r", "h"), (None, None, 0.5, "r", "h"), ("http://b.co.uk/x", None, 0.5, "r", "h")], "url string, bad int, bad_rate double, rule string, _rule string")
+    got = url_filter.judge(pages)
+    assert sorted(got.columns) == sorted(["url", "bad", "_rule", "host", "path", "rule", "bad_rate", "bad_rate_low", "verdict"])
+    assert got.count() == 3 and url_filter.judge(pages.where("false")).count() == 0
+
+
+def test_url_verdicts_by_either_join(spark, monkeypatch):
+    pages = spark.createDataFrame([(f"http://h{k % 7}.example.org/{k}", k % 3 % 2 if k % 5 else None) for k in range(400)], "url string, bad int")
+    once = sorted(url_filter.judge(pages).collect(), key=str)
+    monkeypatch.setattr(url_filter, "FEW", 0)
+    monkeypatch.setattr(url_filter, "HOT", 7)
+    assert sorted(url_filter.judge(pages).collect(), key=str) == once and len(once) == 400
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = dict(components(edges).distinct().collect())
