@@ -121,14 +121,17 @@ def language_bucket(text: Column, least: int = 2, most_foreign: float = 0.3) ->
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     foreign = F.length(F.regexp_replace(text, r"[^\p{L}]|[\x{0}-\x{24F}]", ""))
     seen = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-zA-Z\x{C0}-\x{24F}]+)"), 1))
-    hits = {lang: F.size(F.array_intersect(seen, F.array(*map(F.lit, words_)))) for lang, words_ in STOPWORDS.items()}
-    top = F.greatest(*hits.values())
-    best = F.lit(None).cast("string")
-    for lang in reversed(hits):
-        best = F.when(hits[lang] == top, F.lit(lang)).otherwise(best)
-    return (
-        F.when(F.coalesce(letters, F.lit(0)) == 0, "unknown")
-        .when(foreign / letters > most_foreign, "non_latin_script")
-        .when(top >= least, best)
-        .otherwise("en_or_other")
-    )
+    # each regular expression runs once a text, and each intersection once
+    counts = let(seen, lambda w: F.struct(*[F.size(F.array_intersect(w, F.array(*map(F.lit, words_)))).alias(lang) for lang, words_ in STOPWORDS.items()]))
+
+    def named(hits: Column) -> Column:
+        top = F.greatest(*[hits[lang] for lang in STOPWORDS])
+        best = F.lit(None).cast("string")
+        for lang in reversed(STOPWORDS):
+            best = F.when(hits[lang] == top, F.lit(lang)).otherwise(best)
+        return F.when(top >= least, best).otherwise("en_or_other")
+
+    def bucket(n: Column) -> Column:
+        return F.when(F.coalesce(n["all"], F.lit(0)) == 0, "unknown").when(n["foreign"] / n["all"] > most_foreign, "non_latin_script").otherwise(let(counts, named))
+
+    return let(F.struct(letters.alias("all"), foreign.alias("foreign")), bucket)

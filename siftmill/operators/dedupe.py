@@ -51,11 +51,14 @@ def with_signatures(df: DataFrame, k: int = 5, perms: int = 32, seed: int = 42,
 
     A shingle is hashed once, and the minima are plain aggregates that combine
     before the exchange."""
-    sets = df.select(key, shingles(F.col(norm), k).alias("sh"))
-    hashes = sets.select(key, F.explode_outer("sh").alias("g")).select(key, base_hash(F.col("g")).alias("h"))
+    return df.select(key, shingles(F.col(norm), k).alias("sh")).join(signatures(df, k, perms, seed, norm, key), key)
+
+
+def signatures(df: DataFrame, k: int = 5, perms: int = 32, seed: int = 42, norm: str = "norm", key: str = "id") -> DataFrame:
+    """(key, sig) alone: the shingles are not exchanged."""
+    hashes = df.select(key, F.explode_outer(shingles(F.col(norm), k)).alias("g")).select(key, base_hash(F.col("g")).alias("h"))
     least = [F.coalesce(F.min((F.lit(a).cast("long") * F.col("h") + F.lit(b).cast("long")) % MODULUS), F.lit(MODULUS).cast("long")) for a, b in zip(*coefficients(perms, seed))]
-    sigs = hashes.groupBy(key).agg(*[m.alias(f"m{i}") for i, m in enumerate(least)]).select(key, F.array(*[f"m{i}" for i in range(perms)]).alias("sig"))
-    return sets.join(sigs, key)
+    return hashes.groupBy(key).agg(*[m.alias(f"m{i}") for i, m in enumerate(least)]).select(key, F.array(*[f"m{i}" for i in range(perms)]).alias("sig"))
 
 
 def candidates(signed: DataFrame, perms: int = 32, count: int = 8, key: str = "id") -> DataFrame:
@@ -105,10 +108,12 @@ def near_duplicate_groups(df: DataFrame, k: int = 5, perms: int = 32, count: int
     """``df`` plus dup_group: the smallest id of the component of verified pairs.
     Rows of equal shingles are one node, so a group of copies costs one row."""
     signed = with_signatures(df, k, perms, seed, norm, key)
-    signed = signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh"), "\x1f")))
+    signed = _cut(signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh"), "\x1f"))))
     firsts = signed.groupBy("same").agg(F.min(key).alias("first"))
     nodes = _cut(signed.join(firsts, "same").where(F.col(key) == F.col("first")).select(F.col("first").alias("n"), "sh", "sig"))
-    found = pairs(nodes, candidates(nodes, perms, count, "n"), threshold, "n")
-    groups = components(found, nodes, "n")
-    members = signed.select(key, "same").join(firsts, "same").join(groups, F.col("first") == F.col("n")).select(key, "dup_group")
+    found = _cut(pairs(nodes, candidates(nodes, perms, count, "n"), threshold, "n").select("a", "b"))
+    # most nodes have no edge, and are their own groups
+    linked = found.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    groups = components(found, linked, "n")
+    members = signed.select(key, "same").join(firsts, "same").join(groups, F.col("first") == F.col("n"), "left").select(key, F.coalesce("dup_group", "first").alias("dup_group"))
     return df.join(members, key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.functions.scoring import wilson
-from siftmill.functions.text import has_tag, split_tags
+from siftmill.functions.text import has_tag, let, split_tags
 
 #: Bin edges of ten equal bins as IEEE doubles.
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -138,10 +138,7 @@ def operating_points(df: DataFrame, recalls: list[float], fprs: list[float]) ->
 
 def bin_of(p: Column) -> Column:
     """Index of the literal bin edges; 1.0 falls into the last bin."""
-    out = F.lit(0)
-    for i in range(1, 10):
-        out = out + (p >= F.lit(EDGES[i])).cast("int")
-    return out
+    return let(p, lambda x: sum(((x >= F.lit(e)).cast("int") for e in EDGES[1:10]), F.lit(0)))
 
 
 def reliability(df: DataFrame) -> DataFrame:
@@ -216,15 +213,35 @@ def routing(df: DataFrame, t: float) -> DataFrame:
     )
 
 
+def kth(df: DataFrame, value: str, k: int, cells: int = 4096) -> float | None:
+    """The k-th smallest value (from 1) of a column, ties counted; None if there is none. Counts
+    in equal cells between two bounds are gathered, then those of the cell that holds it,
+    until it holds one value: no task orders the rows, and the driver gets ``cells`` rows."""
+    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    while True:
+        ends = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).first()
+        if not 1 <= k <= ends["n"]:
+            return None
+        low, high = ends["a"], ends["b"]
+        if low == high:
+            return low
+        cell = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / cells)), F.lit(cells - 1))
+        counts = sorted((r["c"], r["n"], r["a"], r["b"]) for r in rows.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect())
+        for _, n, a, b in counts:
+            if k <= n:
+                break
+            k -= n
+        if a == b:
+            return a
+        rows = rows.where((F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b)))
+
+
 def matched_rate(ref: DataFrame, other: DataFrame, t: float) -> DataFrame:
     """Compare two models at the same number of escalations: k, the other's cut, agreement,
     recall and benign deltas."""
     joined = ref.select("id", "gold", F.col("p_safe").alias("pa")).join(other.select("id", F.col("p_safe").alias("pb")), "id")
-    k = joined.agg(F.count_if(F.col("pa") < F.lit(float(t))).alias("k"))
-    place = F.row_number().over(Window.orderBy("pb", "id"))
-    rows = joined.withColumn("k", k.scalar()).withColumn("place", place)
-    cut = rows.where("place = k").agg(F.max("pb").alias("cut"))
-    rows = rows.withColumn("cut", cut.scalar()).withColumn("ea", F.col("pa") < F.lit(float(t))).withColumn("eb", F.coalesce(F.col("pb") <= F.col("cut"), F.lit(False)))
+    k = joined.agg(F.count_if(F.col("pa") < F.lit(float(t))).alias("k")).first()["k"]
+    rows = joined.withColumn("k", F.lit(k)).withColumn("cut", F.lit(kth(joined, "pb", k)).cast("double")).withColumn("ea", F.col("pa") < F.lit(float(t))).withColumn("eb", F.coalesce(F.col("pb") <= F.col("cut"), F.lit(False)))
 
     def delta(g: str) -> Column:
         n = F.nullif(F.count_if(F.col("gold") == g), F.lit(0))
@@ -233,8 +250,21 @@ def matched_rate(ref: DataFrame, other: DataFrame, t: float) -> DataFrame:
     return rows.agg(F.max("k").alias("k"), F.max("cut").alias("cut"), F.count("*").alias("n"), (F.count_if(F.col("ea") == F.col("eb")) / F.count("*")).alias("agreement"), delta("dangerous").alias("recall_delta"), delta("benign").alias("benign_delta"))
 
 
+#: The least agreement and the largest loss of average precision of an export.
+LEAST_AGREEMENT, MOST_AP_DROP = 0.97, 0.01
+
+
 def passes(agreement: float, ap_drop: float) -> bool:
-    return agreement >= 0.97 and ap_drop <= 0.01
+    return agreement >= LEAST_AGREEMENT and ap_drop <= MOST_AP_DROP
+
+
+def parity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two models' logits (id, logits: safe, dangerous, unsure) on the same rows: n, the greatest
+    difference of a logit, and the share of rows with the same largest one."""
+    both = a.select("id", F.col("logits").alias("x")).join(b.select("id", F.col("logits").alias("y")), "id")
+    apart = F.array_max(F.zip_with("x", "y", lambda x, y: F.abs(x - y)))
+    same = F.array_position("x", F.array_max("x")) == F.array_position("y", F.array_max("y"))
+    return both.agg(F.count("*").alias("n"), F.max(apart).alias("max_logit_difference"), F.avg(same.cast("int")).alias("argmax_agreement"))
 
 
 def confusion(a: DataFrame, labels: list[str], one: str = "gold_1", two: str = "gold_2") -> DataFrame:

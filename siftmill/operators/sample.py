@@ -75,28 +75,51 @@ def fill(groups: DataFrame, target: Column, seed: int, into: str, group: str = "
     return groups.withColumn(into, before < target)
 
 
-def split_groups(groups: DataFrame, ood: list[str], sizes: dict[str, int], seed: int = 42, group: str = "dup_group") -> DataFrame:
+def split_groups(groups: DataFrame, ood: list[str], sizes: dict[str, int], seed: int = 42, group: str = "dup_group", scarce: str = "hn_seed", scarce_share: float = 0.6) -> DataFrame:
     """(group, split): held-out sources by stratum, then validation and test by
     stratum in hash order, everything else train. Groups never straddle.
 
     Quotas are each stratum's share of the target. A stratum's groups are laid in hash order;
     the first rows go to val_pool, the next to test_pool. Held-out groups beyond
-    the target get no split, as their sources must not be trained on."""
-    g = groups.withColumn("stratum", stratum_key()).withColumn("is_ood", F.col("source").isin(ood))
-    part = Window.partitionBy("is_ood")
-    stratum = Window.partitionBy("is_ood", "stratum")
-    order = stratum.orderBy(hash_order(seed, F.col(group)), group).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("share", F.sum("n").over(stratum) / F.sum("n").over(part)).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    val, test, held = (F.lit(float(sizes[k])) * F.col("share") for k in ("val", "test", "ood"))
-    split = (
-        F.when(F.col("is_ood"), F.when(F.col("before") < held, "test_ood_pool"))
-        .when(F.col("before") < val, "val_pool")
-        .when(F.col("before") < val + test, "test_pool")
-        .otherwise("train")
-    )
+    the target get no split, as their sources must not be trained on. Groups of the
+    ``scarce`` source go first: a share of their rows to val_pool and test_pool, in the
+    ratio of the targets, which count against those of the other sources."""
+    kind = F.when(F.col("source").isin(ood), "ood").when(F.col("source") == scarce, "scarce").otherwise("rest")
+    g = groups.withColumn("stratum", stratum_key()).withColumn("kind", kind)
+    # totals by partial counts, one row a stratum; no task holds a kind
+    strata = g.groupBy("kind", "stratum").agg(F.sum("n").alias("rows"))
+    kinds = strata.groupBy("kind").agg(F.sum("rows").alias("all"))
+    totals = {r["kind"]: r["all"] for r in kinds.collect()}
+    shares = strata.join(F.broadcast(kinds), "kind").select("kind", "stratum", (F.col("rows") / F.col("all")).alias("share"))
+    order = Window.partitionBy("kind", "stratum").orderBy(hash_order(seed, F.col(group)), group).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.join(shares, ["kind", "stratum"]).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+
+    def laid(val: float, test: float) -> Column:
+        val, test = F.lit(float(val)) * F.col("share"), F.lit(float(test)) * F.col("share")
+        return F.when(F.col("before") < val, "val_pool").when(F.col("before") < val + test, "test_pool").otherwise("train")
+
+    pool = totals.get("scarce", 0) * scarce_share
+    val_share = sizes["val"] / ((sizes["val"] + sizes["test"]) or 1)
+    first = laid(pool * val_share, pool * (1 - val_share))
+    used = {}
+    if pool:
+        used = {r["split"]: r["n"] for r in g.where("kind = 'scarce'").groupBy(first.alias("split")).agg(F.sum("n").alias("n")).collect()}
+    rest = laid(max(0, sizes["val"] - used.get("val_pool", 0)), max(0, sizes["test"] - used.get("test_pool", 0)))
+    held = F.when(F.col("before") < F.lit(float(sizes["ood"])) * F.col("share"), "test_ood_pool")
+    split = F.when(F.col("kind") == "ood", held).when(F.col("kind") == "scarce", first).otherwise(rest)
     return g.select(group, "n", "stratum", split.alias("split"))
 
 
+def with_split(df: DataFrame, assigned: DataFrame, group: str = "dup_group") -> DataFrame:
+    """Rows with the split of their group; rows of a group without one are dropped."""
+    return df.join(assigned.where("split is not null").select(group, "split"), group)
+
+
+def of_split(labels: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The labels whose id is among ``ids``."""
+    return labels.join(ids.select(key), key, "left_semi")
+
+
 def top_up(assigned: DataFrame, sizes: dict[str, int], seed: int = 42, group: str = "dup_group") -> DataFrame:
     """Move train groups, in hash order, to whichever of val and test lacks more rows
     until both reach their targets. A running deficit decides, so only as many

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions import detect, scoring, text
-from siftmill.operators import calibrate, dedupe, gold, lexicon, metrics, sample, suggest, teacher
+from siftmill.operators import calibrate, dedupe, evaluation, gold, lexicon, metrics, sample, suggest, teacher, training
 from siftmill.plans import views as V
 from siftmill.plans.views import with_views
 from siftmill.schema import gold_agreement, pool_problems
@@ -122,8 +122,8 @@ def _exact(s, d):
 
 @query(f"{_DEDUPED} SELECT doc_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY p) AS sig FROM sig GROUP BY doc_id")
 def q_minhash_signature(s, d):
-    rows = dedupe.with_signatures(_exact(s, d), key="doc_id").where(F.size("sh") > 0)
-    return rows.select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+    rows = _exact(s, d).where("norm <> ''")
+    return dedupe.signatures(rows, key="doc_id").select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 @query(f"{_DEDUPED}{_BANDS} SELECT a, b FROM cand")
@@ -616,3 +616,116 @@ def q_ml_stage_a(s, d):
     from pyspark.ml.functions import array_to_vector
 
     return model.transform(e.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))).select("vec_id", F.col("prediction").cast("int").alias("predicted"))
+
+
+def _models(s, d):
+    """Predictions of two models on three splits, with a threshold of each model."""
+    p = V.preds(s, d).withColumn("split", F.when(F.col("id") % 3 == 0, "val").when(F.col("id") % 3 == 1, "test").otherwise("test_ood"))
+    other = p.withColumn("p_safe", F.round(F.col("p_safe") * F.lit(0.9) + F.lit(0.1) * (F.col("id") % 7) / F.lit(7.0), 9)).withColumn("p_dangerous", F.round(F.lit(1.0) - F.col("p_safe"), 9))
+    both = p.withColumn("model", F.lit("keyword")).unionByName(other.withColumn("model", F.lit("stage_a_pc")))
+    return both, s.createDataFrame([("keyword", 0.6), ("stage_a_pc", 0.55)], "model string, threshold double")
+
+
+_SP = "*, CASE id%3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'test_ood' END AS split"
+_MODELS = (
+    f"mp AS (SELECT {_SP}, 'keyword' AS model, 0.6::DOUBLE AS t FROM preds UNION ALL SELECT * REPLACE (round(1-p_safe,9) AS p_dangerous) FROM (SELECT * REPLACE (round(p_safe*0.9::DOUBLE + 0.1::DOUBLE*(id%7)/7,9) AS p_safe), CASE id%3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'test_ood' END AS split, 'stage_a_pc' AS model, 0.55::DOUBLE AS t FROM preds)),"
+    f" ra AS (SELECT model, split, max(t) AS threshold, count(*) AS n, count(*) FILTER (gold='dangerous') AS n_dangerous, count(*) FILTER (gold='benign') AS n_benign, count(*) FILTER (gold='ambiguous') AS n_ambiguous, "
+    + ", ".join(f"count(*) FILTER ({w} AND (p_safe < t OR force_escalate)) / nullif(count(*) FILTER ({w}),0) AS {m}" for m, w in _MASKS.items())
+    + " FROM mp GROUP BY model, split),"
+    " tw AS (SELECT model, split, 1-p_safe AS s, p_dangerous, CASE WHEN gold='dangerous' THEN 1 ELSE 0 END AS y FROM mp WHERE gold IN ('dangerous','benign')),"
+    " ds AS (SELECT model, split, s, sum(y)::BIGINT AS pos, sum(1-y)::BIGINT AS neg FROM tw GROUP BY model, split, s), cm AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM ds WINDOW w AS (PARTITION BY model, split ORDER BY s DESC)),"
+    " rk AS (SELECT model, split, CASE WHEN sum(pos)>0 AND sum(neg)>0 THEN sum(pos*tp/(tp+fp))/sum(pos) END AS average_precision, CASE WHEN sum(pos)>0 AND sum(neg)>0 THEN 1 - sum(2*pos*fp - pos*neg)::DOUBLE/(2.0::DOUBLE*sum(pos)*sum(neg)) END AS roc_auc FROM cm GROUP BY model, split),"
+    f" bi AS (SELECT model, split, {_BIN} AS bin, count(*) AS n, sum(p_dangerous) AS p, sum(y) AS y, sum((p_dangerous-y)*(p_dangerous-y)) AS e FROM tw GROUP BY ALL), ca AS (SELECT model, split, sum(abs(p-y))/sum(n) AS ece, sum(e)/sum(n) AS brier FROM bi GROUP BY model, split),"
+    " ev AS (SELECT * FROM ra LEFT JOIN rk USING (model, split) LEFT JOIN ca USING (model, split))"
+)
+_EV = [*_MASKS, "average_precision", "roc_auc", "ece", "brier"]
+
+
+@query("WITH " + ", ".join(V.SQL[n] for n in _P) + f", {_MODELS} SELECT model, split, threshold, n, n_dangerous, n_benign, n_ambiguous, {', '.join(f'round({c},9) AS {c}' for c in _EV)} FROM ev")
+def q_evaluate_models(s, d):
+    return _rounded(evaluation.evaluate(*_models(s, d)))
+
+
+def _told(c: str, split: str, pct: bool) -> str:
+    v = f"max({c}) FILTER (split='{split}')"
+    return f"coalesce(printf('%.2f%%', 100*({v})), 'n/a')" if pct else f"coalesce(printf('%.3f', {v}), 'n/a')"
+
+
+@query(
+    "WITH "
+    + ", ".join(V.SQL[n] for n in _P)
+    + f', {_MODELS} SELECT model AS "Model", \'n/a\' AS "Params", \'n/a\' AS "CPU p50 ms", {_told("average_precision", "test", False)} AS "AP", {_told("dangerous_recall", "test", True)} AS "Recall @ t", {_told("benign_escalation", "test", True)} AS "Benign esc.", {_told("hard_negative_escalation", "test", True)} AS "Hard-neg esc.", {_told("dangerous_recall", "test_ood", True)} AS "OOD recall", \'n/a\' AS "Evasion recall", {_told("ece", "test", False)} AS "ECE" FROM ev GROUP BY model'
+)
+def q_comparison(s, d):
+    return evaluation.comparison(evaluation.evaluate(*_models(s, d)))
+
+
+@query(
+    with_views(
+        _P,
+        "SELECT routed, i/400.0::DOUBLE AS threshold, round(count(*) FILTER (gold='dangerous' AND e)/nullif(count(*) FILTER (gold='dangerous'),0),9) AS recall, round(count(*) FILTER (gold='benign' AND e)/nullif(count(*) FILTER (gold='benign'),0),9) AS benign_escalation, round(count(*) FILTER (gold='dangerous' AND e)/nullif(count(*) FILTER (gold IN ('dangerous','benign') AND e),0),9) AS precision FROM (SELECT *, p_safe < i/400.0::DOUBLE OR (routed AND force_escalate) AS e FROM preds, (SELECT unnest(range(0,401)) AS i), (SELECT unnest([true,false]) AS routed)) GROUP BY routed, i",
+    )
+)
+def q_operating_curve(s, d):
+    return evaluation.operating_curve(V.preds(s, d)).select("routed", "threshold", *[F.round(c, 9).alias(c) for c in ("recall", "benign_escalation", "precision")])
+
+
+@query(
+    with_views(
+        _P,
+        "SELECT count(*) AS n, round(avg(-(p_safe*ln(greatest(q0,1e-15)) + p_dangerous*ln(greatest(q1,1e-15)) + p_unsure*ln(greatest(q2,1e-15)))),6) AS cross_entropy, round(avg((CASE WHEN p_safe>0 THEN p_safe*(ln(p_safe)-(x0-z)) ELSE 0 END) + (CASE WHEN p_dangerous>0 THEN p_dangerous*(ln(p_dangerous)-(x1-z)) ELSE 0 END) + (CASE WHEN p_unsure>0 THEN p_unsure*(ln(p_unsure)-(x2-z)) ELSE 0 END)),6) AS kl FROM (SELECT *, w0/(w0+w1) AS q0, w1/(w0+w1) AS q1, 0.0::DOUBLE AS q2, ln(exp(x0)+exp(x1)+exp(x2)) AS z FROM (SELECT *, 1.0::DOUBLE+id%3 AS w0, 2.0::DOUBLE+id%5 AS w1, 0.5::DOUBLE*(id%4) AS x0, 0.25::DOUBLE*(id%6) AS x1, -1.0::DOUBLE AS x2 FROM preds))",
+    )
+)
+def q_training_losses(s, d):
+    i = F.col("id")
+    target = F.array("p_safe", "p_dangerous", "p_unsure")
+    two = training.renormalized(F.array(F.lit(1.0) + i % 3, F.lit(2.0) + i % 5))
+    logits = F.array(F.lit(0.5) * (i % 4), F.lit(0.25) * (i % 6), F.lit(-1.0))
+    made = V.preds(s, d).agg(F.count("*").alias("n"), training.soft_cross_entropy(target, training.full_classes(two, [0, 1])).alias("cross_entropy"), training.kl_divergence(target, logits).alias("kl"))
+    return made.select("n", F.round("cross_entropy", 6).alias("cross_entropy"), F.round("kl", 6).alias("kl"))
+
+
+@query("SELECT count(toxic) AS matched, count(*) - count(toxic) AS unmatched FROM documents d LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE toxic IS NOT NULL) l USING (doc_id)")
+def q_training_join(s, d):
+    train = V.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    targets = V.read(s, d, "labels").where("toxic is not null").select(F.col("doc_id").alias("id"), "toxic")
+    return training.training_frame(train, targets, ["toxic"])[1]
+
+
+@query(
+    f"WITH {V.SQL['docs']}, {V.SQL['pool']}, {_GROUPS}, {_SPLIT}, sp AS (SELECT dup_group, CASE WHEN is_ood THEN CASE WHEN before < 60.0::DOUBLE*share THEN 'test_ood_pool' END WHEN before < 100.0::DOUBLE*share THEN 'val_pool' WHEN before < 200.0::DOUBLE*share THEN 'test_pool' ELSE 'train' END AS split FROM g3) SELECT doc_id, dup_group, split FROM pool JOIN sp ON sha1(norm) = dup_group WHERE split IS NOT NULL"
+)
+def q_split_rows(s, d):
+    rows = V.pool(s, d).select("doc_id", F.sha1("norm").alias("dup_group"))
+    return sample.with_split(rows, q_split_assign(s, d)).select("doc_id", "dup_group", "split")
+
+
+@query("SELECT l.doc_id AS id, quality, toxic FROM labels l WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def q_labels_of_split(s, d):
+    ids = V.read(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return sample.of_split(V.read(s, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"), ids)
+
+
+@query(with_views(["passes"], "SELECT a.id, a.gold_1, b.gold_2 FROM passes a JOIN passes b ON a.id = b.id WHERE a.id % 3 <> 0 AND b.id % 4 <> 0"))
+def q_two_passes(s, d):
+    p = V.passes(s, d)
+    return gold.two_passes(p.where("id % 3 <> 0").select("id", F.col("gold_1").alias("gold")), p.where("id % 4 <> 0").select("id", F.col("gold_2").alias("gold")))
+
+
+@query(with_views(["docs", "scoped"], f"SELECT DISTINCT x AS hit, CASE WHEN list_contains({V.STRONG!r}, x) THEN 'strong' WHEN list_contains({V.WEAK!r}, x) THEN 'weak' ELSE '?' END AS tier FROM (SELECT unnest(h) AS x FROM scoped)"))
+def q_keyword_tiers(s, d):
+    found = V.scoped(s, d).select(F.explode(F.split("kw_hits", ";")).alias("hit")).where("hit <> ''").distinct()
+    return found.select("hit", lexicon.tier_of(F.col("hit"), V.LEXICON).alias("tier"))
+
+
+@query(
+    with_views(
+        _P,
+        "SELECT count(*) AS n, round(max(greatest(abs(p_safe-y0), abs(p_dangerous-y1), abs(p_unsure-y2))),9) AS max_logit_difference, round(avg(CASE WHEN list_position([p_safe,p_dangerous,p_unsure], greatest(p_safe,p_dangerous,p_unsure)) = list_position([y0,y1,y2], greatest(y0,y1,y2)) THEN 1.0 ELSE 0.0 END),9) AS argmax_agreement FROM (SELECT *, p_safe + 0.01::DOUBLE*(id%9) AS y0, p_dangerous AS y1, p_unsure - 0.02::DOUBLE*(id%5) AS y2 FROM preds)",
+    )
+)
+def q_logit_parity(s, d):
+    p, i = V.preds(s, d), F.col("id")
+    a = p.select("id", F.array("p_safe", "p_dangerous", "p_unsure").alias("logits"))
+    b = p.select("id", F.array(F.col("p_safe") + F.lit(0.01) * (i % 9), F.col("p_dangerous"), F.col("p_unsure") - F.lit(0.02) * (i % 5)).alias("logits"))
+    return _rounded(metrics.parity(a, b))

@@ -108,6 +108,54 @@ def append_new(new: DataFrame, path: str, key: str = "id") -> int:
     return n
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file through Hadoop's file system, over one that is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_json(spark: SparkSession, path: str, figures: dict) -> None:
+    """Figures as one JSON document; NaN as null."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [plain(v) for v in x]
+        return None if isinstance(x, float) and x != x else x
+
+    write_text(spark, path, json.dumps(plain(figures), indent=2, sort_keys=True) + "\n")
+
+
+def load_processed(spark: SparkSession, folder: str, names: list[str], schema: T.StructType) -> tuple[DataFrame, list[str]]:
+    """The tables ``<name>.parquet`` of a folder that are there, by name of columns, and the
+    names that are not; an empty frame of ``schema`` if none is."""
+    jvm = spark.sparkContext._jvm
+    out, missing = None, []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            missing.append(name)
+            continue
+        part = spark.read.parquet(path.toString())
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return (spark.createDataFrame([], schema) if out is None else out), missing
+
+
+def read_labels(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
+    """All label sheets that match a glob, as strings: trimmed, blanks and missing columns as "".
+    No match is an empty frame of that shape."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    out = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    for name in sorted(f.getPath().toString() for f in found or []):
+        part = spark.read.options(**CSV).csv(name)
+        out = out.unionByName(part.select(*[c for c in columns if c in part.columns]), allowMissingColumns=True)
+    return out.select(*[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in columns])
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per row, NaN as null and nulls kept."""
     cols = [F.nanvl(F.col(c), F.lit(None)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
@@ -150,9 +198,8 @@ def dictionary_words(lines: DataFrame, extra: list[str] = ()) -> DataFrame:
     return words.distinct()
 
 
-def write_sidecar(path: str, figures: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(figures, f, indent=2, sort_keys=True)
+def write_sidecar(spark: SparkSession, path: str, figures: dict) -> None:
+    write_json(spark, path, figures)
 
 
 def cached_vectors(df: DataFrame, path: str, model: str, embed) -> DataFrame:
