@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.functions.scoring import wilson
-from siftmill.functions.text import has_tag, let, split_tags
+from siftmill.functions.text import has_tag, split_tags
 
 #: Bin edges of ten equal bins as IEEE doubles.
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -138,13 +138,19 @@ def operating_points(df: DataFrame, recalls: list[float], fprs: list[float]) ->
 
 def bin_of(p: Column) -> Column:
     """Index of the literal bin edges; 1.0 falls into the last bin."""
-    return let(p, lambda x: sum(((x >= F.lit(e)).cast("int") for e in EDGES[1:10]), F.lit(0)))
+    out = F.lit(0)
+    for i in range(1, 10):
+        out = out + (p >= F.lit(EDGES[i])).cast("int")
+    return out
 
 
 def reliability(df: DataFrame) -> DataFrame:
-    """Ten bins of p_dangerous: bin, n, mean_p, frac; empty bins have NULL means."""
-    rows = df.where(F.col("gold").isin("dangerous", "benign")).withColumn("y", (F.col("gold") == "dangerous").cast("int"))
-    got = rows.groupBy(bin_of(F.col("p_dangerous")).alias("bin")).agg(F.count("*").alias("n"), F.avg("p_dangerous").alias("mean_p"), F.avg("y").alias("frac"))
+    """Ten bins of p_dangerous: bin, n, mean_p, frac; empty bins have NULL means.
+
+    Counts are taken by score first, which computes a score once however it is made."""
+    p, n = F.col("p_dangerous"), F.col("n")
+    rows = df.where(F.col("gold").isin("dangerous", "benign")).groupBy("p_dangerous").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == "dangerous").alias("y"))
+    got = rows.groupBy(bin_of(p).alias("bin")).agg(F.sum("n").alias("n"), (F.sum(p * n) / F.sum("n")).alias("mean_p"), (F.sum("y") / F.sum("n")).alias("frac"))
     grid = df.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
     return grid.join(got, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
