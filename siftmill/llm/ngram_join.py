@@ -43,6 +43,8 @@ HASHES = 96
 STEP, TOLERANCE = 16, 1e-7
 #: Members and shingles that a block aims at.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 400, 400_000
+#: Distinct words whose hashes a worker remembers at most.
+MEMORY = 200_000
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -54,7 +56,7 @@ def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     import xxhash
 
     new = {w for w in words if w not in known}
-    if len(known) + len(new) > 500_000:
+    if len(known) + len(new) > MEMORY:
         known.clear()
         new = set(words)
     for w in new:
@@ -136,6 +138,8 @@ def describe(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"])
             out.insert(1, "hash", pdf["hash"])
             yield out
+        known.clear()
+        hold("ngram_join")
 
     # ids as strings: a null among them would make pandas round the others
     thin = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).withColumn("hash", F.xxhash64("text"))
@@ -235,6 +239,9 @@ def _compare(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
             held.append(part)
     if held:
         yield block(pd.concat(held, ignore_index=True))
+        held = []
+    known.clear()
+    hold("ngram_join")
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, numbered: bool = False) -> DataFrame:

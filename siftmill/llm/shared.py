@@ -32,11 +32,14 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def hold(owner: str, drop: Callable[[], None] = lambda: None) -> None:
-    """Called as a task begins in a Python worker: caches that another operator left
-    there are dropped and freed memory goes back to the system."""
+    """Called as a task begins and ends in a Python worker: caches that another operator
+    left there are dropped and freed memory, Arrow's too, goes back to the system."""
+    import pyarrow as pa
+
     for other in [k for k in _HELD if k != owner]:
         _HELD.pop(other)()
     _HELD[owner] = drop
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from siftmill.llm.shared import hold
 
 #: Distinct pieces that a worker remembers at most, between two blocks of texts.
-MEMORY = 400_000
+MEMORY = 250_000
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters that are one code point in every normal form and have a plain lower case.

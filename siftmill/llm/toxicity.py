@@ -51,8 +51,8 @@ MISS = 3
 SAMPLE = 12_000
 #: Pairs of a document and a word of it to fit on at most.
 ENTRIES = 10_000_000
-#: Distinct pieces that a scoring worker remembers.
-MEMORY = 400_000
+#: Distinct pieces that a scoring worker remembers, and rows that it looks at together.
+MEMORY, ROWS = 200_000, 1000
 _WORD = re.compile(r"\w+")
 
 
@@ -314,6 +314,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, entries: int
                 labels.append(label)
                 before = doc_id
         model = fit_bags(bags, np.array(labels, float))
+        del bags
         hold("toxicity")
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
 
@@ -332,40 +333,52 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     docs = docs.drop(into)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     at = docs.columns.index(text)
-    known: dict[str, tuple[float, int]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
         weights, bias = sent.value
-        local = Model(weights, bias)
+        local, known = Model(weights, bias), _Known()
         for batch in batches:
             parts = []
-            for lo in range(0, batch.num_rows, 2000):
-                parts.append(_scores(local, pc.fill_null(batch.column(at).slice(lo, 2000), ""), known))
+            for lo in range(0, batch.num_rows, ROWS):
+                parts.append(_scores(local, pc.fill_null(batch.column(at).slice(lo, ROWS), ""), known))
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, into])
+        del known
+        hold("toxicity")
 
     schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
-def _scores(model: Model, texts: pa.Array, known: dict[str, tuple[float, int]]) -> np.ndarray:
-    if len(known) > MEMORY:
-        known.clear()
+class _Known:
+    """Pieces of texts: the sum of their words' margins, and their number of words."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((0, 2))
+
+    def look_up(self, model: Model, pieces: list[str]) -> np.ndarray:
+        if len(self.number) > MEMORY:
+            self.number, self.table = {}, np.zeros((0, 2))
+        number = self.number
+        new = [p for p in pieces if p not in number]
+        if new:
+            words = [_WORD.findall(p.lower()) for p in new]
+            flat = model.words(list(chain.from_iterable(words)))
+            counts = np.fromiter(map(len, words), np.int64, len(words))
+            sums = np.bincount(np.repeat(np.arange(len(words)), counts), flat, len(words)) if len(flat) else np.zeros(len(words))
+            number.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, np.stack([sums, counts], 1)])
+        return self.table[np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))]
+
+
+def _scores(model: Model, texts: pa.Array, known: _Known) -> np.ndarray:
     parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
     bounds = parts.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
     coded = parts.flatten().dictionary_encode()
-    pieces = coded.dictionary.to_pylist()
-    new = [p for p in pieces if p not in known]
-    if new:
-        words = [_WORD.findall(p.lower()) for p in new]
-        flat = model.words(list(chain.from_iterable(words)))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        sums = np.bincount(np.repeat(np.arange(len(words)), counts), flat, len(words)) if len(flat) else np.zeros(len(words))
-        known.update(zip(new, zip(sums.tolist(), counts.tolist())))
-    table = np.array([known[p] for p in pieces]).reshape(-1, 2)
-    each = table[coded.indices.to_numpy()]
+    each = known.look_up(model, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     total = np.concatenate([np.zeros((1, 2)), np.cumsum(each, 0)])
     got = total[bounds[1:]] - total[bounds[:-1]]
     return 1 / (1 + np.exp(-np.clip(model.bias + got[:, 0] / np.maximum(got[:, 1], 1), -500, 500)))
