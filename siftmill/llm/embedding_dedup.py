@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.llm.ngram_join import _forest
-from siftmill.llm.shared import components, materialize
+from siftmill.llm.shared import components, materialize, split_join
 
 THRESHOLD = 0.9
 BITS, WINDOW = 62, 128
@@ -167,7 +167,7 @@ def _whole_runs(ranged: DataFrame, groups: DataFrame, deep: int, threshold: floa
     sizes = sizes.groupBy("turn", "run").agg(F.sum("count").cast("long").alias("m"), F.max(F.struct("count", "component")).alias("top"))
     sizes = _numbered(sizes.withColumn("out", F.col("m") - F.col("top.count")).where("out > 0"))
     sizes = sizes.select("turn", "run", F.col("top.component").alias("top"), "lows", "highs")
-    loose = placed.join(sizes, ["turn", "run"]).join(rows.select("turn", "node", "unit"), ["turn", "node"])
+    loose = split_join(placed, sizes, ["turn", "run"], ["node"]).join(rows.select("turn", "node", "unit"), ["turn", "node"])
     dealt = _dealt(loose, F.col("component") != F.col("top"), ["turn", "run"], ["node", "component", "unit"])
     return materialize(dealt.mapInPandas(lambda f: _across(f, threshold), "a long, b long"), "across")
 
@@ -240,21 +240,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             cos = np.einsum("ij,ij->i", x, mean) / size if len(x) else np.zeros(0)
             yield pdf[["component", "node", "copies", "unit"]].assign(core=np.arccos(np.clip(cos, -1, 1)) <= acos(threshold) / 2 - _SLACK)
 
-    members = materialize(members.join(sums, "component").mapInPandas(angled, "component long, node long, copies long, unit binary, core boolean"), "angled")
+    members = materialize(split_join(members, sums, ["component"], ["node"]).mapInPandas(angled, "component long, node long, copies long, unit binary, core boolean"), "angled")
     sizes = members.groupBy("component").agg(
         F.count("*").alias("m"), F.count_if(~F.col("core")).alias("out"), F.coalesce(F.sum(F.when(F.col("core"), F.col("copies"))), F.lit(0)).alias("core_copies")
     )
-    loose = members.join(_numbered(sizes.where("out > 0")).select("component", "lows", "highs"), "component")
+    loose = split_join(members, _numbered(sizes.where("out > 0")).select("component", "lows", "highs"), ["component"], ["node"])
     dealt = _dealt(loose, ~F.col("core"), ["component"], ["node", "copies", "core", "unit"])
     counted = dealt.mapInPandas(lambda f: _links(f, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    linked = members.join(sizes.select("component", "core_copies"), "component").join(counted, "node", "left")
+    linked = split_join(members, sizes.select("component", "core_copies"), ["component"], ["node"]).join(counted, "node", "left")
     sure = F.when(F.col("core"), F.col("core_copies") - F.col("copies")).otherwise(0)
     linked = linked.select("node", "component", (sure + F.coalesce("links", F.lit(0))).alias("links"))
     # a component goes by the smallest id of its vectors
     ids = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("lowest"))
-    linked = linked.join(ids, "component").select("node", "lowest", "links")
+    linked = split_join(linked, ids, ["component"], ["node"]).select("node", "lowest", "links")
     per_class = classes.join(linked, "node", "left").select("v", "copies", F.least("lowest", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = whole.where("v is not null").select("vec_id", "v").join(per_class, "v")
+    out = split_join(whole.where("v is not null").select("vec_id", "v"), per_class, ["v"], ["vec_id"])
     out = out.select("vec_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), F.col("component").alias("component_id"))
     out = out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     return out.unionByName(whole.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), *alone))

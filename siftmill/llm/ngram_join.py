@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import components, hold, materialize
+from siftmill.llm.shared import components, hold, materialize, split_join
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -273,7 +273,7 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, numbered:
     families = materialize(families.join(classes.select("node", "rep", "rep_hash", "copies", "n_shingles"), "node"), "families")
     blocks = families.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
     blocks = blocks.select("family", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = split_join(families, blocks, ["family"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("hash", F.xxhash64("text"))
     # a merge join at every size: the families' ids grow with the documents, so they are not broadcast
     members = text.join(placed.hint("merge"), one).join(reps.select("node", "sig"), "node").dropDuplicates(["node"])
@@ -284,12 +284,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, numbered:
     graph = components(found.where("b is not null").select("a", "b"))
     # the documents joined by links go by their smallest id
     lowest = graph.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("lowest"))
-    graph = graph.join(lowest, "component")
+    graph = split_join(graph, lowest, ["component"], ["node"])
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     per_class = classes.join(graph, "node", "left").join(links, "node", "left")
     per_class = per_class.select("f1", "f2", "rep", "copies", F.least("lowest", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("_group"))
     more = ["_hash", "_group"] if numbered else []
-    out = some.select("doc_id", F.col("hash").alias("_hash"), "f1", "f2").join(per_class, ["f1", "f2"])
+    out = split_join(some.select("doc_id", F.col("hash").alias("_hash"), "f1", "f2"), per_class, ["f1", "f2"], ["doc_id"])
     out = out.select("doc_id", F.col("rep").alias("rep_id"), "class_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), *more)
     empty = described.where("n_shingles = 0").withColumn("_hash", F.col("hash")).withColumn("_group", F.lit(None).cast("long"))
     empty = empty.select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *more)

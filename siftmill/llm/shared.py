@@ -126,13 +126,25 @@ def read_range(uri: str, start: int, length: int) -> bytes:
         return f.read(length)
 
 
+#: Parts that a key's rows are split into where many rows may have one key.
+SALTS = 32
+
+
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row per key: rows of one key go to
+    ``SALTS`` tasks by a hash of ``by``. Facts are repeated only for the parts that a key has."""
+    salt = free_name(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    return salted.join(salted.select(*keys, salt).distinct().join(facts, keys), [*keys, salt]).drop(salt)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component
     being the smallest node reachable. Only nodes that have an edge are returned.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). A step
-    is one aggregate and one equi-join, so no neighbourhood is ever gathered in
-    one task, and it links every node straight to a smaller one; the number of
+    is one aggregate and one equi-join split by neighbours, so no neighbourhood is
+    ever gathered in one task, and it links every node straight to a smaller one; the number of
     rounds grows with the logarithm of the graph's size. Each round ends in a
     table in the shared folder; the table before is removed.
     """
@@ -143,10 +155,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = split_join(both, low, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            split_join(large, least, ["u"], ["v"])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
