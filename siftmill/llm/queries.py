@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import decontaminate, embedding_dedup, html_extract, ngram_join, packing, sharding, token_output, toxicity, url_filter, warc
-from siftmill.llm.shared import table
+from siftmill.llm import compression_bands, decontaminate, embedding_dedup, hard_negatives, html_extract, ngram_join, packing, periodic_runs, sharding, token_output, toxicity, url_filter, warc
+from siftmill.llm.shared import materialize, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,54 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def with_periodic_tail(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of some documents, chosen by their id, with the end made periodic."""
+    if doc_id is None or not words:
+        return words
+    g, h = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if h:
+        return words
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, len(words))]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every run and of the collapsed text; the longest run by length over period."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), with_periodic_tail)
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    # longer first, then the earlier start and the shorter period; runs come in that order
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r.length * a.period > a.length * r.period, r).otherwise(a))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").cast("long").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op12_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands are learnt from the documents whose quality label is 1."""
+    measures = materialize(compression_bands.measure(table(spark, sf_dir, "documents")), "measures")
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    judged = compression_bands.judge(measures, compression_bands.fit(measures, good))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "n_bytes", "ratio", "whole_failed", "chunks_failed")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components become whole numbers of 1/256; every seventh row takes the next label."""
+    label = F.col("label").cast("int")
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double") * 256
+        return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.transform("embedding", whole).alias("embedding"),
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -82,6 +130,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_bands": op12_quality_bands,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -120,6 +171,12 @@ ORACLE: dict[str, str] = {
     " reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.n = e.a WHERE e.b > reach.r),"
     " c AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n)"
     " SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON n = vec_id",
+    "op13_hard_negatives": "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings"
+    " WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),"
+    " s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),"
+    " p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)"
+    " SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score"
+    " FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10",
     "op7_ngram_join": "WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '[\\p{L}\\p{N}_]+') AS w FROM documents),"
     " g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM w),"
     " x AS (SELECT doc_id, unnest(g) AS s FROM g), n AS (SELECT doc_id, len(g) AS n FROM g),"
