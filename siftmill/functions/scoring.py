@@ -56,7 +56,11 @@ def matched_weight(text: Column, rules: list[Rule], group: str) -> Column:
 
 
 def keyword_logits(text: Column, rules: list[Rule]) -> list[Column]:
-    off, tgt, dfn = (matched_weight(text, rules, g) for g in ("offensive", "target", "defensive"))
+    return rule_logits(*(matched_weight(text, rules, g) for g in ("offensive", "target", "defensive")))
+
+
+def rule_logits(off: Column, tgt: Column, dfn: Column) -> list[Column]:
+    """Logits (safe, dangerous, unsure) of a text's weights in the three groups of rules."""
     s, m = off + tgt - dfn, off + tgt + dfn
     return [-s, s, F.lit(-1.5) + F.lit(0.6) * m - F.abs(s)]
 

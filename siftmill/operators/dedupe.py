@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftmill.functions.text import base_hash, jaccard, shingles
+from siftmill.operators.lineage import cut
 
 MODULUS = 2147483647
 
@@ -23,13 +20,15 @@ def rank_in(value: Column, order: list[str]) -> Column:
 
 def exact_dedupe(df: DataFrame, preference: list[str], norm: str = "norm", key: str = "id") -> DataFrame:
     """Keep the first row of each normalised text by source preference, then id."""
-    turn = F.row_number().over(Window.partitionBy(norm).orderBy(rank_in(F.col("source"), preference), key))
-    return df.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    return keep_first(df.withColumn("_rank", rank_in(F.col("source"), preference)), [norm], ["_rank", key]).drop("_rank")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    """The first row of each key, nulls first: a minimum that is combined before the exchange,
+    so that a key of a third of all rows is one row a task there."""
+    whole = F.struct(*df.columns)
+    first = F.min_by(whole, F.struct(*order)).alias("_first")
+    return df.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(first).select("_first.*")
 
 
 def coefficients(perms: int = 32, seed: int = 42) -> tuple[list[int], list[int]]:
@@ -76,28 +75,16 @@ def pairs(signed: DataFrame, found: DataFrame, threshold: float = 0.8, key: str
     return out.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a session without one, on a local
-    master, gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/siftmill-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """(key, group): smallest key reachable, by label spreading with pointer jumping."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = _cut(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct())
-    both = _cut(both)
+    labels = cut(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct())
+    both = cut(both)
     while True:
         near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("x"))
         jump = step.select(F.col("n").alias("n2"), F.col("x").alias("x2"))
-        nxt = _cut(step.join(jump, F.col("x") == F.col("n2"), "left").select("n", F.least("x", F.coalesce("x2", "x")).alias("new"), "l"))
+        nxt = cut(step.join(jump, F.col("x") == F.col("n2"), "left").select("n", F.least("x", F.coalesce("x2", "x")).alias("new"), "l"))
         changed = nxt.where("new <> l").limit(1).count()
         labels = nxt.select("n", F.col("new").alias("l"))
         if not changed:
@@ -108,10 +95,10 @@ def near_duplicate_groups(df: DataFrame, k: int = 5, perms: int = 32, count: int
     """``df`` plus dup_group: the smallest id of the component of verified pairs.
     Rows of equal shingles are one node, so a group of copies costs one row."""
     signed = with_signatures(df, k, perms, seed, norm, key)
-    signed = _cut(signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh"), "\x1f"))))
+    signed = cut(signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh"), "\x1f"))))
     firsts = signed.groupBy("same").agg(F.min(key).alias("first"))
-    nodes = _cut(signed.join(firsts, "same").where(F.col(key) == F.col("first")).select(F.col("first").alias("n"), "sh", "sig"))
-    found = _cut(pairs(nodes, candidates(nodes, perms, count, "n"), threshold, "n").select("a", "b"))
+    nodes = cut(signed.join(firsts, "same").where(F.col(key) == F.col("first")).select(F.col("first").alias("n"), "sh", "sig"))
+    found = cut(pairs(nodes, candidates(nodes, perms, count, "n"), threshold, "n").select("a", "b"))
     # most nodes have no edge, and are their own groups
     linked = found.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     groups = components(found, linked, "n")

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from siftmill.functions.scoring import wilson
 from siftmill.functions.text import has_tag, split_tags
+from siftmill.operators.lineage import cut
+from siftmill.operators.ordered import counted, order_statistics, percentiles, running_sums
 
 #: Bin edges of ten equal bins as IEEE doubles.
 EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
@@ -54,36 +56,47 @@ def with_interval(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rate", F.col("k") / F.nullif("n", F.lit(0))).withColumn("ci_lo", low).withColumn("ci_hi", high)
 
 
+def threshold_cuts(df: DataFrame, keys: list[str], target: float = 0.95) -> DataFrame:
+    """The smallest p_safe cut with the target recall for each key, base scores only: (keys, need, n,
+    p_cut). A row escalates if p_safe <= p_cut, which is p_safe < the next double. All keys
+    are found at once; keys without dangerous rows give no row."""
+    counts = cut(counted(df.where("gold = 'dangerous'"), keys, F.col("p_safe")))
+    need = F.greatest(F.ceil(F.lit(float(target)) * F.sum("n")), F.lit(1)).cast("long")
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n"), need.alias("k")).where("n > 0")
+    found = order_statistics(counts, keys, sizes.select(*keys, F.lit("cut").alias("name"), "k"))
+    if not keys:
+        found, sizes = found.withColumn("_all", F.lit(0)), sizes.withColumn("_all", F.lit(0))
+    return found.drop("k", "name").join(sizes, keys or ["_all"]).select(*keys, F.col("k").alias("need"), "n", F.col("v").alias("p_cut"))
+
+
 def select_threshold(df: DataFrame, target: float = 0.95) -> DataFrame:
-    """The smallest p_safe cut with the target recall, base scores only: (need, n, p_cut). A row
-    escalates if p_safe <= p_cut, which is p_safe < the next double."""
-    n = F.count("*")
-    cut = F.expr(f"percentile_disc(CAST({float(target)!r} AS DOUBLE)) WITHIN GROUP (ORDER BY p_safe)")
-    need = F.greatest(F.ceil(F.lit(float(target)) * n), F.lit(1)).cast("long")
-    return df.where("gold = 'dangerous'").agg(need.alias("need"), n.alias("n"), cut.alias("p_cut")).where("n > 0")
+    """``threshold_cuts`` of all rows together: (need, n, p_cut)."""
+    return threshold_cuts(df, [], target)
 
 
-def threshold_sweep(df: DataFrame, n: int = 201) -> DataFrame:
-    """Six routed rates at n thresholds in [0, 1], from one histogram of the rows: linear in rows
-    plus thresholds."""
+def threshold_sweep(df: DataFrame, n: int = 201, keys: list[str] | None = None) -> DataFrame:
+    """Six routed rates at n thresholds in [0, 1] (of each key), from one histogram of the rows:
+    linear in rows plus thresholds."""
+    keys = keys or []
     step = F.lit(float(n - 1))
     # the first threshold index i with p_safe < i / (n - 1)
     first = F.floor(F.col("p_safe") * step).cast("int") + 1
     first = F.when(F.col("p_safe") < (first - 1) / step, first - 1).when(F.col("p_safe") >= first / step, first + 1).otherwise(first)
     at = F.when(F.coalesce("force_escalate", F.lit(False)), 0).otherwise(F.least(first, F.lit(n)))
     names = masks()
-    hist = df.groupBy(at.alias("i")).agg(*[F.count_if(m).alias(k) for k, m in names.items()])
-    grid = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("i"))
-    full = grid.join(hist, "i", "left").fillna(0)
-    running = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    cols = [F.col("i"), (F.col("i") / step).alias("threshold")]
+    hist = df.groupBy(*keys, at.alias("i")).agg(*[F.count_if(m).alias(k) for k, m in names.items()])
+    every = F.sequence(F.lit(0), F.lit(n))
+    grid = df.select(*keys).distinct().withColumn("i", F.explode(every)) if keys else df.sparkSession.range(1).select(F.explode(every).alias("i"))
+    full = grid.join(hist, [*keys, "i"], "left").fillna(0, list(names))
+    running = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    cols = [*keys, F.col("i"), (F.col("i") / step).alias("threshold")]
     for k in names:
-        cols += [F.sum(k).over(running).alias(f"k_{k}"), F.sum(k).over(Window.partitionBy()).alias(f"n_{k}")]
+        cols += [F.sum(k).over(running).alias(f"k_{k}"), F.sum(k).over(Window.partitionBy(*keys)).alias(f"n_{k}")]
     return full.select(*cols).where(F.col("i") < n)
 
 
-def slices(df: DataFrame) -> DataFrame:
-    """Each row once per slice it belongs to: slice_type, slice."""
+def slice_array() -> Column:
+    """The slices (slice_type, slice) that a row belongs to."""
     tags = split_tags(F.col("tags"))
     kinds = F.transform(
         F.filter(tags, lambda t: t.rlike("^(cat|hn|evasion):")),
@@ -91,36 +104,54 @@ def slices(df: DataFrame) -> DataFrame:
     )
     none = F.when(~F.contains(F.coalesce("tags", F.lit("")), F.lit("evasion:")), F.struct(F.lit("evasion").alias("slice_type"), F.lit("none (unwrapped)").alias("slice")))
     source = F.when(F.col("source").isNotNull(), F.struct(F.lit("source").alias("slice_type"), F.col("source").alias("slice")))
-    return df.withColumn("_s", F.explode(F.array_distinct(F.concat(kinds, F.array_compact(F.array(none, source)))))).select("*", "_s.slice_type", "_s.slice").drop("_s")
+    return F.array_distinct(F.concat(kinds, F.array_compact(F.array(none, source))))
+
+
+def slices(df: DataFrame) -> DataFrame:
+    """Each row once per slice it belongs to: slice_type, slice."""
+    return df.withColumn("_s", F.explode(slice_array())).select("*", "_s.slice_type", "_s.slice").drop("_s")
+
+
+def slice_metric() -> Column:
+    return F.when(F.col("gold") == "dangerous", "recall").when(F.col("gold") == "benign", "benign_esc").otherwise("ambiguous_esc")
 
 
 def sliced_rates(df: DataFrame, t: float) -> DataFrame:
-    metric = F.when(F.col("gold") == "dangerous", "recall").when(F.col("gold") == "benign", "benign_esc").otherwise("ambiguous_esc")
-    rows = slices(df).groupBy("slice_type", "slice", metric.alias("metric")).agg(F.count_if(escalated(t)).alias("k"), F.count("*").alias("n"))
+    rows = slices(df).groupBy("slice_type", "slice", slice_metric().alias("metric")).agg(F.count_if(escalated(t)).alias("k"), F.count("*").alias("n"))
     return with_interval(rows)
 
 
-def _by_score(df: DataFrame) -> DataFrame:
-    """Counts per distinct score with the counts at or above it; exact ties share a rank."""
-    per = binary_view(df).groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+def by_score(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Counts per distinct score (of each key) with the counts at or above it; exact ties share
+    a rank. Scores are ordered in ranges, not in one task."""
+    keys = keys or []
+    per = binary_view(df).groupBy(*keys, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return running_sums(per, keys, [F.desc("s")], {"tp": "pos", "fp": "neg"})
 
 
 def ranking(df: DataFrame) -> DataFrame:
     """One row: n_pos, n_neg, roc_auc, average_precision (ties handled exactly)."""
-    r = _by_score(df)
+    return ranked(by_score(df), [])
+
+
+def ranking_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``ranking`` of each key."""
+    return ranked(by_score(df, keys), keys)
+
+
+def ranked(r: DataFrame, keys: list[str]) -> DataFrame:
+    """``ranking`` of each key of ``by_score``'s rows."""
     n1, n0 = F.sum("pos"), F.sum("neg")
     # a positive outranks the negatives below it and ties with those of its score
     below = F.lit(2) * F.col("pos") * F.col("fp") - F.col("pos") * F.col("neg")
     auc = F.lit(1.0) - F.sum(below) / (F.lit(2.0) * n1 * n0)
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / n1
-    return r.agg(n1.alias("n_pos"), n0.alias("n_neg"), F.when((n1 > 0) & (n0 > 0), auc).alias("roc_auc"), F.when((n1 > 0) & (n0 > 0), ap).alias("average_precision"))
+    return r.groupBy(*keys).agg(n1.alias("n_pos"), n0.alias("n_neg"), F.when((n1 > 0) & (n0 > 0), auc).alias("roc_auc"), F.when((n1 > 0) & (n0 > 0), ap).alias("average_precision"))
 
 
 def operating_points(df: DataFrame, recalls: list[float], fprs: list[float]) -> DataFrame:
     """(kind, point, value): benign escalation at recalls, recall at benign rates."""
-    r = _by_score(df)
+    r = cut(by_score(df))
     totals = r.agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
     r = r.withColumn("n1", totals.select("n1").scalar()).withColumn("n0", totals.select("n0").scalar())
     out = []
@@ -136,6 +167,15 @@ def operating_points(df: DataFrame, recalls: list[float], fprs: list[float]) ->
     return made
 
 
+def operating_points_by(r: DataFrame, keys: list[str], recalls: list[float], rates: list[float]) -> DataFrame:
+    """The same for each key of ``by_score``'s rows, a column per point."""
+    totals = r.groupBy(*keys).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
+    tp, fp, n1, n0 = F.col("tp"), F.col("fp"), F.col("n1"), F.col("n0")
+    wanted = [(F.min(F.when(tp >= F.ceil(F.lit(float(p)) * n1), fp)) / F.nullif(F.max(n0), F.lit(0))).alias(f"benign_escalation_at_recall_{p:g}") for p in recalls]
+    wanted += [(F.coalesce(F.max(F.when(fp <= F.floor(F.lit(float(p)) * n0), tp)), F.lit(0)) / F.nullif(F.max(n1), F.lit(0))).alias(f"recall_at_benign_rate_{p:g}") for p in rates]
+    return r.join(totals, keys).groupBy(*keys).agg(*wanted)
+
+
 def bin_of(p: Column) -> Column:
     """Index of the literal bin edges; 1.0 falls into the last bin."""
     out = F.lit(0)
@@ -150,9 +190,11 @@ def reliability(df: DataFrame) -> DataFrame:
     Counts are taken by score first, which computes a score once however it is made."""
     p, n = F.col("p_dangerous"), F.col("n")
     rows = df.where(F.col("gold").isin("dangerous", "benign")).groupBy("p_dangerous").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == "dangerous").alias("y"))
-    got = rows.groupBy(bin_of(p).alias("bin")).agg(F.sum("n").alias("n"), (F.sum(p * n) / F.sum("n")).alias("mean_p"), (F.sum("y") / F.sum("n")).alias("frac"))
-    grid = df.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(got, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = rows.select(bin_of(p).alias("bin"), "n", (p * n).alias("p"), "y")
+    # bins without rows come in by a union: a join would have its key's null test pushed down to the scores
+    none = df.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("y"))
+    total = F.nullif(F.sum("n"), F.lit(0))
+    return each.unionByName(none).groupBy("bin").agg(F.sum("n").alias("n"), (F.sum("p") / total).alias("mean_p"), (F.sum("y") / total).alias("frac"))
 
 
 def ece_brier(df: DataFrame) -> DataFrame:
@@ -170,10 +212,13 @@ TRAFFIC = {"n": 1_000_000, "dangerous": 0.005, "ambiguous": 0.02, "hard_negative
 
 def economics(df: DataFrame, t: float, traffic: dict | None = None) -> DataFrame:
     """Escalations, misses and cost of a second tier, from routed rates at t."""
-    tr = TRAFFIC | (traffic or {})
     m = masks()
-    names = ["dangerous_recall", "benign_escalation", "hard_negative_escalation", "easy_benign_escalation", "ambiguous_escalation"]
-    r = df.agg(*[(F.count_if(m[k] & escalated(t)) / F.nullif(F.count_if(m[k]), F.lit(0))).alias(k) for k in names])
+    return cascade(df.agg(*[(F.count_if(m[k] & escalated(t)) / F.nullif(F.count_if(m[k]), F.lit(0))).alias(k) for k in m]), traffic)
+
+
+def cascade(r: DataFrame, traffic: dict | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The same from rows (of each key) with a column per rate."""
+    tr = TRAFFIC | (traffic or {})
     big, pd_, pa = float(tr["n"]), float(tr["dangerous"]), float(tr["ambiguous"])
     benign = F.col("benign_escalation")
     if tr.get("hard_negative_share") is not None:
@@ -185,6 +230,7 @@ def economics(df: DataFrame, t: float, traffic: dict | None = None) -> DataFrame
     a = F.lit(big * pa) * F.coalesce("ambiguous_escalation", F.lit(0.0))
     total = d + b + a
     return r.select(
+        *(keys or []),
         d.alias("esc_dangerous"),
         b.alias("esc_benign"),
         a.alias("esc_ambiguous"),
@@ -199,16 +245,19 @@ def economics(df: DataFrame, t: float, traffic: dict | None = None) -> DataFrame
 
 def latency(df: DataFrame, value: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
     """n, mean and exact p50, p95, p99 over non-null values."""
-    p = [F.percentile(value, F.lit(q)).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *p)
+    return percentiles(df, by or [], F.col(value), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-def worst_errors(df: DataFrame, t: float, k: int = 15) -> DataFrame:
-    """Missed dangerous rows, surest first, and escalated hard negatives, surest first."""
-    missed = df.where((F.col("gold") == "dangerous") & ~escalated(t)).orderBy(F.desc("p_safe"), "id").limit(k)
-    wrong = df.where((F.col("gold") == "benign") & has_tag(F.col("tags"), "hard_negative") & escalated(t)).orderBy("p_safe", "id").limit(k)
-    cols = ["id", "p_safe"]
-    return missed.select(F.lit("missed_dangerous").alias("kind"), *cols).unionByName(wrong.select(F.lit("escalated_hard_negative").alias("kind"), *cols))
+def worst_errors(df: DataFrame, t: Column | float, k: int = 15, keys: list[str] | None = None) -> DataFrame:
+    """The k missed dangerous rows and the k escalated hard negatives (of each key) of which the
+    score was surest: (keys, kind, id, p_safe)."""
+    missed = (F.col("gold") == "dangerous") & ~escalated(t)
+    wrong = (F.col("gold") == "benign") & has_tag(F.col("tags"), "hard_negative") & escalated(t)
+    kind = F.when(missed, "missed_dangerous").when(wrong, "escalated_hard_negative")
+    surest = F.when(F.col("kind") == "missed_dangerous", -F.col("p_safe")).otherwise(F.col("p_safe"))
+    turn = F.row_number().over(Window.partitionBy(*(keys or []), "kind").orderBy(surest, "id"))
+    rows = df.select(*(keys or []), kind.alias("kind"), "id", "p_safe").where("kind is not null")
+    return rows.withColumn("_turn", turn).where(F.col("_turn") <= k).drop("_turn")
 
 
 def routing(df: DataFrame, t: float) -> DataFrame:
@@ -219,35 +268,21 @@ def routing(df: DataFrame, t: float) -> DataFrame:
     )
 
 
-def kth(df: DataFrame, value: str, k: int, cells: int = 4096) -> float | None:
-    """The k-th smallest value (from 1) of a column, ties counted; None if there is none. Counts
-    in equal cells between two bounds are gathered, then those of the cell that holds it,
-    until it holds one value: no task orders the rows, and the driver gets ``cells`` rows."""
-    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    while True:
-        ends = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).first()
-        if not 1 <= k <= ends["n"]:
-            return None
-        low, high = ends["a"], ends["b"]
-        if low == high:
-            return low
-        cell = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / cells)), F.lit(cells - 1))
-        counts = sorted((r["c"], r["n"], r["a"], r["b"]) for r in rows.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect())
-        for _, n, a, b in counts:
-            if k <= n:
-                break
-            k -= n
-        if a == b:
-            return a
-        rows = rows.where((F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b)))
+def kth(df: DataFrame, value: str, k: int) -> float | None:
+    """The k-th smallest value (from 1) of a column, ties counted; None if there is none."""
+    ranks = df.sparkSession.createDataFrame([("k", k)], "name string, k long")
+    row = order_statistics(counted(df, [], F.col(value)), [], ranks).first()
+    return row["v"] if row else None
 
 
 def matched_rate(ref: DataFrame, other: DataFrame, t: float) -> DataFrame:
     """Compare two models at the same number of escalations: k, the other's cut, agreement,
     recall and benign deltas."""
-    joined = ref.select("id", "gold", F.col("p_safe").alias("pa")).join(other.select("id", F.col("p_safe").alias("pb")), "id")
-    k = joined.agg(F.count_if(F.col("pa") < F.lit(float(t))).alias("k")).first()["k"]
-    rows = joined.withColumn("k", F.lit(k)).withColumn("cut", F.lit(kth(joined, "pb", k)).cast("double")).withColumn("ea", F.col("pa") < F.lit(float(t))).withColumn("eb", F.coalesce(F.col("pb") <= F.col("cut"), F.lit(False)))
+    joined = cut(ref.select("id", "gold", F.col("p_safe").alias("pa")).join(other.select("id", F.col("p_safe").alias("pb")), "id"))
+    ea = F.col("pa") < F.lit(float(t))
+    k = joined.agg(F.count_if(ea).alias("k"))
+    found = order_statistics(counted(joined, [], F.col("pb")), [], k.withColumn("name", F.lit("cut")))
+    rows = joined.withColumn("k", k.scalar()).withColumn("cut", found.select("v").scalar()).withColumn("ea", ea).withColumn("eb", F.coalesce(F.col("pb") <= F.col("cut"), F.lit(False)))
 
     def delta(g: str) -> Column:
         n = F.nullif(F.count_if(F.col("gold") == g), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions import detect, scoring, text
-from siftmill.operators import calibrate, dedupe, evaluation, gold, lexicon, metrics, sample, suggest, teacher, training
+from siftmill.operators import calibrate, dedupe, evaluation, gold, lexicon, metrics, report, sample, suggest, teacher, training
 from siftmill.plans import views as V
 from siftmill.plans.views import with_views
 from siftmill.schema import gold_agreement, pool_problems
@@ -646,6 +646,67 @@ def q_evaluate_models(s, d):
     return _rounded(evaluation.evaluate(*_models(s, d)))
 
 
+_GROUPED = "model, split"
+
+
+def _report_sql() -> str:
+    """The sections of ``report.report_rows`` one after the other, over the view mp."""
+    esc, base = "(p_safe < t OR force_escalate)", "p_safe < t"
+    rates = [f"SELECT {_GROUPED}, '{s}' AS section, '{m}' AS item, '' AS metric, count(*) FILTER ({e}) AS k, count(*) AS n FROM mp WHERE {w} GROUP BY {_GROUPED}" for m, w in _MASKS.items() for s, e in (("at_threshold", esc), ("model_at_threshold", base))]
+    rates += [f"SELECT {_GROUPED}, 'routing', '{m}', '', count(*) FILTER ({w}), count(*) FROM mp GROUP BY {_GROUPED}" for m, w in (("policy_flags", "force_escalate"), ("already_escalated", f"force_escalate AND {base}"), ("new_escalations", f"force_escalate AND NOT {base}"))]
+    metric = "CASE gold WHEN 'dangerous' THEN 'recall' WHEN 'benign' THEN 'benign_esc' ELSE 'ambiguous_esc' END"
+    sliced = (
+        "SELECT *, 'source/' || source AS item FROM mp UNION ALL SELECT *, 'evasion/none (unwrapped)' FROM mp WHERE tags NOT LIKE '%evasion:%' UNION ALL SELECT * EXCLUDE (tg), CASE split_part(tg,':',1) WHEN 'cat' THEN 'category' WHEN 'hn' THEN 'hard_negative_type' ELSE 'evasion' END || '/' || split_part(tg,':',2) FROM (SELECT *, unnest(string_split(tags,';')) AS tg FROM mp) WHERE regexp_matches(tg,'^(cat|hn|evasion):')"
+    )
+    rates.append(f"SELECT {_GROUPED}, 'slices', item, {metric} AS metric, count(*) FILTER ({esc}), count(*) FROM ({sliced}) GROUP BY {_GROUPED}, item, metric")
+    lead = f"{_GROUPED}, section, item, metric"
+    parts = [_wilson_sql(" UNION ALL ".join(rates), lead).replace(" AS rate,", " AS value,")]
+    nothing = "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
+    parts.append(f"SELECT {_GROUPED}, 'counts', gold, '', count(*), count(*), CAST(NULL AS DOUBLE), {nothing} FROM mp GROUP BY {_GROUPED}, gold")
+    parts.append(f"SELECT {_GROUPED}, 'calibration', CAST(bin AS VARCHAR), '', y, n, round(p/n,9), {nothing} FROM bi")
+
+    def values(section: str, table: str, named: dict[str, str]) -> list[str]:
+        return [f"SELECT {_GROUPED}, '{section}', '{k}', '', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), round({v},9), {nothing} FROM {table}" for k, v in named.items()]
+
+    parts += values("calibration", "ca", {"ece": "ece", "brier": "brier"})
+    parts += values("ranking", "rk", {"roc_auc": "roc_auc", "average_precision": "average_precision"})
+    for p in report.RECALLS:
+        parts.append(f"SELECT {_GROUPED}, 'ranking', 'benign_escalation_at_recall_{p:g}', '', NULL, NULL, round((min(fp) FILTER (tp >= ceil({p}::DOUBLE*n1)))::DOUBLE/nullif(max(n0),0),9), {nothing} FROM ot GROUP BY {_GROUPED}")
+    for p in report.BENIGN_RATES:
+        parts.append(f"SELECT {_GROUPED}, 'ranking', 'recall_at_benign_rate_{p:g}', '', NULL, NULL, round(coalesce(max(tp) FILTER (fp <= floor({p}::DOUBLE*n0)),0)::DOUBLE/nullif(max(n1),0),9), {nothing} FROM ot GROUP BY {_GROUPED}")
+    cost = {"esc_dangerous": "d", "esc_benign": "b", "esc_ambiguous": "a", "esc_total": "d+b+a", "missed_dangerous": "5000*(1-rd)", "queue_precision": "d/(d+b+a)", "queue_precision_with_ambiguous": "(d+a)/(d+b+a)", "cost": "(d+b+a)*0.002::DOUBLE", "cost_without_gate": "2000.0::DOUBLE"}
+    parts += values("economics", "ec", cost)
+    economics = (
+        " ot AS (SELECT *, sum(pos) OVER (PARTITION BY model, split) AS n1, sum(neg) OVER (PARTITION BY model, split) AS n0 FROM cm),"
+        " ec AS (SELECT *, 5000*rd AS d, 975000*rb AS b, 20000*coalesce(ra,0) AS a FROM (SELECT model, split, dangerous_recall AS rd, coalesce(0.05::DOUBLE*hard_negative_escalation + 0.95::DOUBLE*easy_benign_escalation, benign_escalation) AS rb, ambiguous_escalation AS ra FROM ra))"
+    )
+    return "WITH " + ", ".join(V.SQL[n] for n in _P) + f", {_MODELS}, {economics} SELECT * FROM (" + " UNION ALL ".join(f"({x})" for x in parts) + ")"
+
+
+@query(_report_sql())
+def q_split_report(s, d):
+    return _rounded(report.report_rows(*_models(s, d)))
+
+
+@query(
+    "WITH "
+    + ", ".join(V.SQL[n] for n in _P)
+    + f", mp AS (SELECT {_SP}, 'keyword' AS model FROM preds UNION ALL SELECT * REPLACE (round(p_safe*0.9::DOUBLE + 0.1::DOUBLE*(id%7)/7,9) AS p_safe), CASE id%3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'test_ood' END, 'stage_a' FROM preds),"
+    " va AS (SELECT * FROM mp UNION ALL SELECT * REPLACE (model || '_pc' AS model) FROM mp), ct AS (SELECT model, quantile_disc(p_safe, 0.95) AS t FROM va WHERE split='val' AND gold='dangerous' GROUP BY model),"
+    " fl AS (SELECT doc_id FROM documents WHERE lang = 'fr'), es AS (SELECT va.*, t, p_safe <= coalesce(t, 0.5) OR (va.model LIKE '%_pc' AND id IN (SELECT doc_id FROM fl)) AS e FROM va LEFT JOIN ct USING (model))"
+    " SELECT model, split, round(max(t),9) AS threshold, count(*) AS n, round(count(*) FILTER (gold='dangerous' AND e)/nullif(count(*) FILTER (gold='dangerous'),0),9) AS dangerous_recall, round(count(*) FILTER (gold='benign' AND e)/nullif(count(*) FILTER (gold='benign'),0),9) AS benign_escalation FROM es GROUP BY model, split"
+)
+def q_model_variants(s, d):
+    """Thresholds of all models found together on their val rows, and every model once more with
+    a pre-check's flags (here: French texts)."""
+    p, _ = _models(s, d)
+    base = p.withColumn("model", F.regexp_replace("model", "_pc$", ""))
+    flags = V.read(s, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "fr").alias("precheck_flag"))
+    both = evaluation.with_variants(base, flags)
+    got = evaluation.evaluate(both, evaluation.thresholds_of(both))
+    return _rounded(got.select("model", "split", "threshold", "n", "dangerous_recall", "benign_escalation"))
+
+
 def _told(c: str, split: str, pct: bool) -> str:
     v = f"max({c}) FILTER (split='{split}')"
     return f"coalesce(printf('%.2f%%', 100*({v})), 'n/a')" if pct else f"coalesce(printf('%.3f', {v}), 'n/a')"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.functions.scoring import Rule, keyword_logits, softmax
+from siftmill.functions.scoring import Rule, matched_weight, rule_logits, softmax
 from siftmill.functions.text import make_id, normalize
 from siftmill.operators.lexicon import Lexicon, prefilter
 
@@ -75,8 +75,10 @@ def scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pool(spark, sf).where("quality is not null")
-    p = [F.round(x, 9) for x in softmax(keyword_logits(F.col("text"), RULES))]
+    # each rule is tried once: the weights are columns before the logits use them
+    groups = ("offensive", "target", "defensive")
+    rows = pool(spark, sf).where("quality is not null").withColumns({f"_{g}": matched_weight(F.col("text"), RULES, g) for g in groups})
+    p = [F.round(x, 9) for x in softmax(rule_logits(*[F.col(f"_{g}") for g in groups]))]
     gold = F.when(F.col("source_label") == 1, "dangerous").when(F.col("quality") == 1, "benign").otherwise("ambiguous")
     i = F.col("doc_id")
     tags = F.when(

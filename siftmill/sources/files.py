@@ -215,3 +215,21 @@ def cached_vectors(df: DataFrame, path: str, model: str, embed) -> DataFrame:
         fresh = df
     embed(fresh).withColumn("model", F.lit(model)).write.mode("append").parquet(path)
     return df.select("id").join(spark.read.parquet(path).where(F.col("model") == model).select("id", "embedding"), "id")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there or is a file."""
+    fs, at = _hadoop(spark, folder)
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(at))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
