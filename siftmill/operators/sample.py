@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftmill.functions.text import english_looking
+from siftmill.operators.lineage import cut
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -14,6 +15,34 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+#: Rows that one cell of a hash order holds, about.
+CELL_ROWS = 100_000
+
+
+def before_in_hash_order(df: DataFrame, keys: list[str], order: Column, n: str | Column, borders: list[Column], tie: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``df`` plus ``before``: the sum of ``n`` over the key's rows ahead in the order of the hash
+    ``order``, ties by ``tie``; exact as far as it is compared with ``borders`` by <.
+
+    The first digits of the hash make cells of about ``cell_rows`` rows. Counts of cells give
+    the sum ahead of each; only the rows of a cell that holds a border are put in order,
+    so no task sees a key's rows together, even where one key has them all. ``df`` is
+    read a few times and should be materialised."""
+    total, digits = df.count(), 1
+    while total > cell_rows * 16**digits:
+        digits += 1
+    size = F.col(n) if isinstance(n, str) else n
+    placed = df.withColumns({"_hash": order, "_size": size}).withColumn("_cell", F.substring("_hash", 1, digits))
+    ahead = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*keys, "_cell").agg(F.sum("_size").alias("_sum")).withColumn("_from", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    rows = placed.join(cells, [*keys, "_cell"])
+    edge = F.lit(False)
+    for b in borders:
+        edge = edge | F.coalesce((F.col("_from") < b) & (b < F.col("_from") + F.col("_sum")), F.lit(False))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_hash", tie).rowsBetween(Window.unboundedPreceding, -1)
+    exact = rows.where(edge).withColumn("before", F.col("_from") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return exact.unionByName(rows.where(~edge).withColumn("before", F.col("_from"))).select(*df.columns, "before")
+
+
 def label_bucket(label: Column) -> Column:
     return F.when(label.isNull(), "unk").when(label >= 0.5, "unsafe").otherwise("safe")
 
@@ -31,9 +60,11 @@ def allocate(sizes: DataFrame, n: int, key: str = "stratum", size: str = "size")
 
 def stratified_sample(df: DataFrame, n: int, seed: int = 1337, key: str = "id", stratum: str = "stratum") -> DataFrame:
     """n rows, shared out over strata in proportion, chosen and shuffled by hash."""
+    df = cut(df)
     takes = allocate(df.groupBy(stratum).agg(F.count("*").alias("size")), n, stratum)
-    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key))
-    return df.withColumn("_turn", turn).join(takes.select(stratum, "take"), stratum).where("_turn <= take").drop("_turn", "take")
+    rows = df.join(takes.select(stratum, F.col("take").alias("_take")), stratum)
+    placed = before_in_hash_order(rows, [stratum], hash_order(seed, F.col(key)), F.lit(1), [F.col("_take")], key)
+    return placed.where("before < _take").select(df.columns)
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int = 7, key: str = "id") -> DataFrame:
@@ -68,13 +99,6 @@ def stratum_key() -> Column:
     return F.concat_ws("|", label_bucket(F.col("source_label")), rest)
 
 
-def fill(groups: DataFrame, target: Column, seed: int, into: str, group: str = "dup_group") -> DataFrame:
-    """Whole groups in hash order until the rows before them reach the target."""
-    order = Window.partitionBy("stratum").orderBy(hash_order(seed, F.col(group)), group)
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.withColumn(into, before < target)
-
-
 def split_groups(groups: DataFrame, ood: list[str], sizes: dict[str, int], seed: int = 42, group: str = "dup_group", scarce: str = "hn_seed", scarce_share: float = 0.6) -> DataFrame:
     """(group, split): held-out sources by stratum, then validation and test by
     stratum in hash order, everything else train. Groups never straddle.
@@ -85,29 +109,35 @@ def split_groups(groups: DataFrame, ood: list[str], sizes: dict[str, int], seed:
     ``scarce`` source go first: a share of their rows to val_pool and test_pool, in the
     ratio of the targets, which count against those of the other sources."""
     kind = F.when(F.col("source").isin(ood), "ood").when(F.col("source") == scarce, "scarce").otherwise("rest")
-    g = groups.withColumn("stratum", stratum_key()).withColumn("kind", kind)
+    g = cut(groups.withColumn("stratum", stratum_key()).withColumn("kind", kind))
     # totals by partial counts, one row a stratum; no task holds a kind
     strata = g.groupBy("kind", "stratum").agg(F.sum("n").alias("rows"))
     kinds = strata.groupBy("kind").agg(F.sum("rows").alias("all"))
     totals = {r["kind"]: r["all"] for r in kinds.collect()}
     shares = strata.join(F.broadcast(kinds), "kind").select("kind", "stratum", (F.col("rows") / F.col("all")).alias("share"))
-    order = Window.partitionBy("kind", "stratum").orderBy(hash_order(seed, F.col(group)), group).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.join(shares, ["kind", "stratum"]).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    g = g.join(shares, ["kind", "stratum"])
 
-    def laid(val: float, test: float) -> Column:
-        val, test = F.lit(float(val)) * F.col("share"), F.lit(float(test)) * F.col("share")
-        return F.when(F.col("before") < val, "val_pool").when(F.col("before") < val + test, "test_pool").otherwise("train")
+    def laid(rows: DataFrame, first: Column, second: Column) -> DataFrame:
+        """Groups that begin ahead of the first target, the second, or behind both."""
+        ends = [first * F.col("share"), (first + second) * F.col("share")]
+        placed = before_in_hash_order(rows, ["kind", "stratum"], hash_order(seed, F.col(group)), "n", ends, group)
+        return placed.withColumn("turn", F.when(F.col("before") < ends[0], 0).when(F.col("before") < ends[0] + second * F.col("share"), 1).otherwise(2))
 
     pool = totals.get("scarce", 0) * scarce_share
     val_share = sizes["val"] / ((sizes["val"] + sizes["test"]) or 1)
-    first = laid(pool * val_share, pool * (1 - val_share))
+    first, second = F.lit(float(pool * val_share)), F.lit(float(pool * (1 - val_share)))
     used = {}
     if pool:
-        used = {r["split"]: r["n"] for r in g.where("kind = 'scarce'").groupBy(first.alias("split")).agg(F.sum("n").alias("n")).collect()}
-    rest = laid(max(0, sizes["val"] - used.get("val_pool", 0)), max(0, sizes["test"] - used.get("test_pool", 0)))
-    held = F.when(F.col("before") < F.lit(float(sizes["ood"])) * F.col("share"), "test_ood_pool")
-    split = F.when(F.col("kind") == "ood", held).when(F.col("kind") == "scarce", first).otherwise(rest)
-    return g.select(group, "n", "stratum", split.alias("split"))
+        used = {r["turn"]: r["n"] for r in laid(g.where("kind = 'scarce'"), first, second).groupBy("turn").agg(F.sum("n").alias("n")).collect()}
+    val, test = (F.lit(float(max(0, sizes[s] - used.get(k, 0)))) for k, s in enumerate(("val", "test")))
+
+    def of_kind(ood: Column, scarce: Column, rest: Column) -> Column:
+        return F.when(F.col("kind") == "ood", ood).when(F.col("kind") == "scarce", scarce).otherwise(rest)
+
+    out = laid(g, of_kind(F.lit(float(sizes["ood"])), first, val), of_kind(F.lit(0.0), second, test))
+    held = F.when(F.col("turn") == 0, "test_ood_pool")
+    split = F.when(F.col("kind") == "ood", held).when(F.col("turn") == 0, "val_pool").when(F.col("turn") == 1, "test_pool").otherwise("train")
+    return out.select(group, "n", "stratum", split.alias("split"))
 
 
 def with_split(df: DataFrame, assigned: DataFrame, group: str = "dup_group") -> DataFrame:
@@ -123,7 +153,9 @@ def of_split(labels: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def top_up(assigned: DataFrame, sizes: dict[str, int], seed: int = 42, group: str = "dup_group") -> DataFrame:
     """Move train groups, in hash order, to whichever of val and test lacks more rows
     until both reach their targets. A running deficit decides, so only as many
-    group sizes as the deficits span reach the driver."""
+    group sizes as the deficits span reach the driver: no more than the targets, which
+    are numbers of rows to be labelled or tested, whatever the corpus."""
+    assigned = cut(assigned)
     have = {r["split"]: r["n"] for r in assigned.groupBy("split").agg(F.sum("n").alias("n")).collect()}
     lack = {k: max(0, sizes[s] - have.get(k, 0)) for k, s in (("val_pool", "val"), ("test_pool", "test"))}
     need = sum(lack.values())
@@ -145,10 +177,10 @@ def top_up(assigned: DataFrame, sizes: dict[str, int], seed: int = 42, group: st
 
 def dev_fold(groups: DataFrame, fraction: float = 0.15, seed: int = 0, by_rows: bool = True, group: str = "dup_group") -> DataFrame:
     """Adds is_dev per class: groups in hash order until a share of rows, or a share of groups."""
-    cls = Window.partitionBy("cls")
-    order = cls.orderBy(hash_order(seed, F.col(group)), group)
-    if by_rows:
-        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return groups.withColumn("is_dev", before < F.lit(fraction) * F.sum("n").over(cls))
-    count = F.greatest(F.lit(1.0), F.rint(F.count("*").over(cls) * F.lit(fraction)))
-    return groups.withColumn("is_dev", F.row_number().over(order) <= count)
+    groups = cut(groups)
+    size = F.col("n") if by_rows else F.lit(1)
+    total = F.sum(size).alias("_total")
+    most = F.lit(fraction) * F.col("_total") if by_rows else F.greatest(F.lit(1.0), F.rint(F.col("_total") * F.lit(fraction)))
+    rows = groups.join(groups.groupBy("cls").agg(total), "cls")
+    placed = before_in_hash_order(rows, ["cls"], hash_order(seed, F.col(group)), size, [most], group)
+    return placed.withColumn("is_dev", F.col("before") < most).select(*groups.columns, "is_dev")

@@ -205,10 +205,17 @@ def q_split_assign(s, d):
     return sample.split_groups(_groups(s, d), V.OOD, {"val": 100, "test": 100, "ood": 60})
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {V.SQL['docs']}, {V.SQL['pool']}, {_GROUPS}, {_SPLIT}, sp AS (SELECT dup_group, n, stratum, CASE WHEN is_ood THEN CASE WHEN before < 60.0::DOUBLE*share THEN 'test_ood_pool' END WHEN before < 300.0::DOUBLE*share THEN 'val_pool' WHEN before < 300.0::DOUBLE*share + 200.0::DOUBLE*share THEN 'test_pool' ELSE 'train' END AS split FROM g3),"
+    " sr AS (SELECT dup_group, n, row_number() OVER (ORDER BY md5('42:' || dup_group), dup_group) AS i FROM sp WHERE split = 'train'),"
+    " mv(i, dup_group, moved, lv, lt) AS (SELECT 0::BIGINT, '', '', greatest(0, 340 - coalesce(sum(n) FILTER (split='val_pool'), 0))::BIGINT, greatest(0, 260 - coalesce(sum(n) FILTER (split='test_pool'), 0))::BIGINT FROM sp"
+    " UNION ALL SELECT sr.i, sr.dup_group, CASE WHEN lv >= lt THEN 'val_pool' ELSE 'test_pool' END, lv - CASE WHEN lv >= lt THEN n ELSE 0 END, lt - CASE WHEN lv >= lt THEN 0 ELSE n END FROM mv JOIN sr ON sr.i = mv.i + 1 WHERE greatest(lv, lt) > 0)"
+    " SELECT sp.dup_group, n, stratum, coalesce(moved, split) AS split FROM sp LEFT JOIN mv ON sp.dup_group = mv.dup_group"
+)
 def q_split_assign_topped_up(s, d):
-    sizes = {"val": 100, "test": 100, "ood": 60}
-    return sample.top_up(sample.split_groups(_groups(s, d), V.OOD, sizes), sizes)
+    """A split of 300 and 200 rows, filled up to 340 and 260 from the training groups."""
+    split = sample.split_groups(_groups(s, d), V.OOD, {"val": 300, "test": 200, "ood": 60})
+    return sample.top_up(split, {"val": 340, "test": 260})
 
 
 @query(
