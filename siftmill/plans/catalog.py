@@ -608,12 +608,88 @@ def q_tfidf_neighbours(s, d):
     return suggest.knn_tfidf(blank, labelled, chars=False).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+def _tfidf_sql(chars: bool) -> str:
+    """Views near (q, n, sim, place): the seven nearest rows with a label (known) of each without, of
+    the view tx (id, norm, known)."""
+    words = r"w0 AS (SELECT id, known, list_filter(string_split(regexp_replace(norm,'[^\p{L}\p{N}_]+',' ','g'),' '), lambda x: length(x)>=2) AS w FROM tx), tw AS (SELECT id, known, 'w' AS b, unnest(list_concat(w, list_transform(range(1,len(w)), lambda i: w[i] || ' ' || w[i+1]))) AS term FROM w0)"
+    grams = "wd AS (SELECT id, known, unnest(list_transform(list_filter(string_split(norm,' '), lambda x: x<>''), lambda x: ' ' || x || ' ')) AS p FROM tx), tc AS (SELECT id, known, 'c' AS b, unnest(CASE WHEN length(p) <= g THEN [p] ELSE list_transform(range(1, length(p)-g+2), lambda i: substr(p, CAST(i AS INT), g)) END) AS term FROM wd, (SELECT unnest([3,4,5]) AS g))"
+    return (
+        f"{words}, {grams}, tm AS (SELECT * FROM tw{' UNION ALL SELECT * FROM tc' if chars else ''}), nk AS (SELECT count(*)::DOUBLE AS nk FROM tx WHERE known),"
+        " idf AS (SELECT b, term, ln((1+nk)/(1+count(DISTINCT id)))+1 AS idf FROM tm, nk WHERE known GROUP BY b, term, nk), tf AS (SELECT id, known, b, term, ln(count(*))+1 AS tf FROM tm GROUP BY ALL),"
+        " rw AS (SELECT id, known, tf.b, tf.term, tf*idf AS w FROM tf JOIN idf ON tf.b=idf.b AND tf.term=idf.term), nm AS (SELECT id, b, sqrt(sum(w*w)) AS nm FROM rw GROUP BY id, b), vc AS (SELECT rw.id, known, rw.b, term, w/nm AS w FROM rw JOIN nm ON rw.id=nm.id AND rw.b=nm.b),"
+        f" sm AS (SELECT a.id AS q, c.id AS n, round(sum(a.w*c.w)/{2 if chars else 1},9) AS sim FROM vc a JOIN vc c ON a.b=c.b AND a.term=c.term WHERE NOT a.known AND c.known GROUP BY a.id, c.id),"
+        " near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, n) AS place FROM sm) WHERE place<=7)"
+    )
+
+
+_TAGS_FIT = "CASE WHEN tags='' THEN TRUE WHEN regexp_matches(tags,'(^|;)cat:') THEN gold='dangerous' WHEN regexp_matches(tags,'(^|;)hn:') THEN gold='benign' AND list_contains(string_split(tags,';'),'hard_negative') ELSE gold='benign' END"
+_PRIOR_ROWS = ", ".join(f"('{p}', '{g}', {v}::DOUBLE, {suggest.GOLD_WITH_SCOPE.index(g)})" for p, row in suggest.PRIORS.items() for g, v in row.items())
+#: Views over near, lb (id, gold, tags) and bl (id, source_label): sg (id, rec_gold, rec_alt, rec_tags, rec_basis, score).
+_SUGGEST = (
+    f"vt AS (SELECT near.*, gold, tags FROM near JOIN lb ON near.n = lb.id), ms AS (SELECT q, sum(sim) AS total, count(*) AS k, max(sim) AS ms FROM near GROUP BY q), ds AS (SELECT vt.q, gold, sum(CASE WHEN total>0 THEN sim/total ELSE 1.0::DOUBLE/k END) AS dist, count(*) AS agree FROM vt JOIN ms ON vt.q=ms.q GROUP BY vt.q, gold),"
+    f" pr(prior, gold, pv, o) AS (VALUES {_PRIOR_ROWS}), bk AS (SELECT id AS q, CASE WHEN source_label IS NULL THEN 'unknown' WHEN source_label>=0.5 THEN 'unsafe' ELSE 'safe' END AS prior FROM bl),"
+    " sc AS (SELECT bk.q, bk.prior, pr.gold, coalesce(agree,0) AS agree, 0.5::DOUBLE*coalesce(dist,0)+0.5::DOUBLE*pv AS score, row_number() OVER (PARTITION BY bk.q ORDER BY round(0.5::DOUBLE*coalesce(dist,0)+0.5::DOUBLE*pv,9) DESC, o) AS r FROM bk JOIN pr ON bk.prior=pr.prior LEFT JOIN ds ON ds.q=bk.q AND ds.gold=pr.gold),"
+    f" tg AS (SELECT q, gold, tags FROM (SELECT q, gold, tags, row_number() OVER (PARTITION BY q, gold ORDER BY count(*) DESC, min(place)) AS r FROM vt WHERE gold IN ('dangerous','benign') AND {_TAGS_FIT} GROUP BY q, gold, tags) WHERE r=1),"
+    " sg AS (SELECT a.q AS id, a.gold AS rec_gold, b.gold AS rec_alt, coalesce(tg.tags,'') AS rec_tags, CASE WHEN k>0 THEN printf('suggested: source label %s + %d/%d neighbors %s (max sim %.2f)', a.prior, a.agree, k, a.gold, ms.ms) ELSE 'suggested: source label ' || a.prior || ' + no neighbors (prior only)' END AS rec_basis, a.score FROM sc a JOIN sc b ON a.q=b.q AND a.r=1 AND b.r=2 LEFT JOIN ms ON ms.q=a.q LEFT JOIN tg ON tg.q=a.q AND tg.gold=a.gold)"
+)
+
+
+@query(
+    r"WITH tx AS (SELECT item_id AS id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm, item_id%4<>0 AS known FROM benchmark), "
+    + _tfidf_sql(True)
+    + ", lb AS (SELECT id, CASE id%3 WHEN 0 THEN 'dangerous' WHEN 1 THEN 'benign' ELSE 'ambiguous' END AS gold, CASE id%6 WHEN 0 THEN 'cat:ddos' WHEN 1 THEN 'hn:detection' WHEN 4 THEN 'hard_negative;hn:detection' ELSE '' END AS tags FROM tx WHERE known), bl AS (SELECT id, CASE WHEN id%8=0 THEN 1.0::DOUBLE END AS source_label FROM tx WHERE NOT known), "
+    + _SUGGEST
+    + " SELECT id, rec_gold, rec_alt, rec_tags, rec_basis, round(score,7) AS score FROM sg"
+)
 def q_tfidf_suggest(s, d):
     blank, labelled = _suggest_inputs(s, d)
     near = suggest.knn_tfidf(blank, labelled)
-    gold_of = F.when(F.col("id") % 3 == 0, "dangerous").when(F.col("id") % 3 == 1, "benign").otherwise("ambiguous")
-    return suggest.suggest(blank.withColumn("source_label", F.when(F.col("id") % 8 == 0, F.lit(1.0))), labelled.select("id", gold_of.alias("gold"), F.lit("").alias("tags")), near)
+    i = F.col("id")
+    gold_of = F.when(i % 3 == 0, "dangerous").when(i % 3 == 1, "benign").otherwise("ambiguous")
+    tags = F.when(i % 6 == 0, "cat:ddos").when(i % 6 == 1, "hn:detection").when(i % 6 == 4, "hard_negative;hn:detection").otherwise("")
+    made = suggest.suggest(blank.withColumn("source_label", F.when(i % 8 == 0, F.lit(1.0))), labelled.select("id", gold_of.alias("gold"), tags.alias("tags")), near)
+    return made.withColumn("score", F.round("score", 7))
+
+
+_SHEET = (
+    "sh AS (SELECT p.doc_id AS id, p.norm, CASE WHEN quality IS NULL THEN '' WHEN p.source_label=1 THEN 'dangerous' WHEN quality=1 THEN 'benign' ELSE 'ambiguous' END AS gold, CASE WHEN p.source_label=1 THEN CASE WHEN p.lang='en' THEN 'cat:phishing_se' ELSE 'cat:malware_dev' END WHEN quality=1 AND p.lang='fr' THEN 'hard_negative;hn:detection' ELSE '' END AS tags,"
+    " CASE WHEN p.source_label=1 THEN 'ambiguous' ELSE '' END AS alt, CASE WHEN quality=0 THEN 1 WHEN p.source_label=1 THEN 2 END AS priority, CASE WHEN p.lang='de' THEN 'single labeler only (pass B missing)' ELSE '' END AS reason, CASE WHEN kw_strong>0 THEN 1.0::DOUBLE WHEN kw_weak=0 THEN 0.0::DOUBLE END AS sl FROM pool p JOIN scoped k ON p.doc_id=k.doc_id),"
+    " dr AS (SELECT doc_id AS id, CASE WHEN toxic=1 THEN '' WHEN quality=1 THEN 'benign' ELSE 'out_of_scope' END AS drafted FROM labels), st AS (SELECT sh.*, CASE WHEN gold='' THEN 'blank' WHEN drafted IS NULL THEN 'new' WHEN drafted='' THEN 'human' WHEN drafted=gold THEN 'kept' ELSE 'changed' END AS state FROM sh LEFT JOIN dr ON sh.id=dr.id),"
+    " tx AS (SELECT id, norm, gold<>'' AS known FROM st), lb AS (SELECT id, gold, tags FROM st WHERE gold<>''), bl AS (SELECT id, sl AS source_label FROM st WHERE gold='')"
+)
+_REVIEWED = (
+    ", ".join(V.SQL[n] for n in ("docs", "pool", "scoped"))
+    + f", {_SHEET}, {_tfidf_sql(False)}, {_SUGGEST}, rv AS (SELECT st.id, state, CASE WHEN state='blank' THEN rec_gold ELSE gold END AS rec_gold, CASE WHEN state='blank' THEN rec_tags ELSE tags END AS rec_tags, CASE WHEN state='blank' THEN rec_alt ELSE alt END AS rec_alt, CASE state WHEN 'blank' THEN rec_basis WHEN 'human' THEN 'human' ELSE 'draft/human label' END AS rec_basis,"
+    " CASE WHEN state='human' THEN 1 ELSE 0 END AS reviewed, CASE WHEN state='human' THEN 'human' ELSE '' END AS review_action, CASE WHEN state='blank' THEN 0 WHEN reason<>'' THEN 1 WHEN priority=1 THEN 2 WHEN priority=2 THEN 3 ELSE 4 END AS queue_rank FROM st LEFT JOIN sg ON st.id=sg.id)"
+)
+
+
+def _recommended(s, d):
+    """Documents as a review sheet: unlabelled ones are blank, toxic ones were blank in the draft."""
+    k = V.scoped(s, d).select("doc_id", "kw_strong", "kw_weak")
+    p = V.pool(s, d).join(k, "doc_id")
+    bad, good = F.col("source_label") == 1, F.col("quality") == 1
+    gold_of = F.when(F.col("quality").isNull(), "").when(bad, "dangerous").when(good, "benign").otherwise("ambiguous")
+    tags = F.when(bad, F.when(F.col("lang") == "en", "cat:phishing_se").otherwise("cat:malware_dev")).when(good & (F.col("lang") == "fr"), "hard_negative;hn:detection").otherwise("")
+    sheet = p.select(
+        F.col("doc_id").alias("id"), "norm", gold_of.alias("gold"), tags.alias("tags"), F.when(bad, "ambiguous").otherwise("").alias("_alt_label"), F.when(F.col("quality") == 0, 1).when(bad, 2).alias("_review_priority"),
+        F.when(F.col("lang") == "de", "single labeler only (pass B missing)").otherwise("").alias("_review_reason"), F.when(F.col("kw_strong") > 0, 1.0).when(F.col("kw_weak") == 0, 0.0).alias("_source_label"),
+    )
+    labels = V.read(s, d, "labels")
+    draft = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "").when(F.col("quality") == 1, "benign").otherwise("out_of_scope").alias("gold"))
+    near = suggest.knn_tfidf(sheet.where("gold = ''").select("id", "norm"), sheet.where("gold <> ''").select("id", "norm"), chars=False)
+    return suggest.recommendations(sheet, near, draft)
+
+
+@query(f"WITH {_REVIEWED} SELECT * FROM rv")
+def q_recommendations(s, d):
+    out = _recommended(s, d)
+    return out.select("id", F.col("_state").alias("state"), *[F.col(f"_{c}").alias(c) for c in ("rec_gold", "rec_tags", "rec_alt", "rec_basis", "reviewed", "review_action", "queue_rank")])
+
+
+@query(f"WITH {_REVIEWED} SELECT 'rows' AS item, count(*) AS n FROM rv UNION ALL SELECT 'reviewed', sum(reviewed)::BIGINT FROM rv UNION ALL SELECT 'blanks_suggested', count(*) FROM rv WHERE state='blank' UNION ALL SELECT 'suggested:' || rec_gold, count(*) FROM rv WHERE state='blank' GROUP BY rec_gold")
+def q_suggestion_summary(s, d):
+    return suggest.recommendation_summary(_recommended(s, d))
 
 
 @query()
