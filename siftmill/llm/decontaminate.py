@@ -192,11 +192,12 @@ class Index:
             begin, n, edits = ends[doc] - lens[doc], self.size[k], self.edits[k]
             # a match has all but `edits` of the item's words within reach of the window
             low, high = np.clip(start - edits, begin, ends[doc]), np.clip(start + n + edits, begin, ends[doc])
+            # a window may begin ahead of the document, by as many words as the match may lack
+            first, last = np.maximum(start, begin) - edits, np.maximum(start + edits, begin)
             ok = known[high] - known[low] >= n - edits
-            for d, i, s, a, e in set(zip(doc[ok].tolist(), k[ok].tolist(), start[ok].tolist(), low[ok].tolist(), high[ok].tolist())):
+            for d, i, f, t, a, e in set(zip(doc[ok].tolist(), k[ok].tolist(), first[ok].tolist(), last[ok].tolist(), low[ok].tolist(), high[ok].tolist())):
                 if np.isin(codes[a:e], self.members[i]).sum() >= self.size[i] - self.edits[i]:
-                    reach = int(self.edits[i])
-                    seen.update((d, w, int(self.size[i])) for w in range(a, max(a, s + reach) + 1))
+                    seen.update((d, w, int(self.size[i])) for w in range(f, t + 1))
         got = np.array(sorted(seen), np.int64).reshape(-1, 3)
         return got[:, 0], got[:, 1], got[:, 2]
 
@@ -206,10 +207,10 @@ class Index:
         found: list[np.ndarray] = []
         for at in range(0, len(doc), WINDOWS):
             d, s, n = doc[at : at + WINDOWS], start[at : at + WINDOWS], size[at : at + WINDOWS]
-            # words beyond a document's end, and beyond a window's own size, are no words
+            # words outside the document, and beyond a window's own size, are no words
             place = s[:, None] + np.arange(int(n.max()))
-            inside = (place < ends[d][:, None]) & (np.arange(place.shape[1]) < n[:, None])
-            windows = np.where(inside, codes[np.minimum(place, len(codes) - 1)], 0)
+            inside = (place >= (ends - lens)[d][:, None]) & (place < ends[d][:, None]) & (np.arange(place.shape[1]) < n[:, None])
+            windows = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], 0)
             for r, (keys, item) in enumerate(self.buckets):
                 asked = np.flatnonzero(self.rounds[n - 1] > r)
                 mine = self.keys(windows[asked], n[asked], r)
