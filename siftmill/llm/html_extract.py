@@ -3,9 +3,11 @@
 A page is read leniently (unclosed, misnested and cut-off markup included, with HTML's
 implied end tags, and in time that grows with its length) into
 leaf blocks: stretches of text between block-level tags, with the tags and
-attribute words of their open ancestors. Scripts, styles and comments never
+attribute words of all their open ancestors; wrappers without a class, id or role say
+nothing, so that they may stand anywhere. Scripts, styles and comments never
 become text. Each block is main text or not; a linear-chain conditional random
-field over ancestor and text features decides for all blocks of a page at once,
+field over ancestor and text features, and over what share of the page stands in a
+block's own element, decides for all blocks of a page at once,
 decoded by Viterbi. It is trained by gradient ascent on the exact likelihood
 over labelled pages, which ``labelled_pages`` generates with known labels in
 many layouts.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -54,21 +57,27 @@ CLOSED_ONLY = frozenset("svg math object noscript template".split())
 FOREIGN = frozenset(["svg", "math"])
 #: What a head may hold.
 IN_HEAD = frozenset("head title base link meta style script noscript template html".split())
-#: Open blocks, innermost first, that a leaf block's features are taken from.
-DEEPEST = 128
+#: Blocks that hold text rather than other blocks, and wrappers that say
+#: nothing where they carry no class, id or role.
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd pre blockquote figcaption caption summary legend option".split())
+WRAPPERS = frozenset("div section center table tbody tr td".split())
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("link", "path", "text")
+    """A leaf block: its text, the tags and attribute words of its open ancestors, its last
+    ancestors that say something, how many of its letters are links, and the number of
+    the element that holds it."""
 
-    def __init__(self, text: str, path: tuple, link: int):
-        self.text, self.path, self.link = text, path, link
+    __slots__ = ("holder", "link", "names", "tail", "text")
+
+    def __init__(self, text: str, names: frozenset, tail: tuple, link: int, holder: int):
+        self.text, self.names, self.tail, self.link, self.holder = text, names, tail, link, holder
 
 
 def _attribute_words(attributes: str) -> tuple[str, ...]:
@@ -81,17 +90,34 @@ def _attribute_words(attributes: str) -> tuple[str, ...]:
 class _Reader:
     """The open elements of a page, its leaf blocks, and what is known of its ends."""
 
-    def __init__(self, page: str):
-        self.page = page
+    def __init__(self, page: str, known: frozenset | None = None):
+        self.page, self.known = page, known
         self.out: list[Block] = []
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, tuple[str, ...], int]] = []
         self.counts: Counter[str] = Counter()  # open elements by name
+        self.open: Counter[str] = Counter()  # features of open blocks
         self.at_blocks: list[int] = []  # places of blocks in the stack
+        self.solid: list[str] = []  # names of the open blocks that say something
         self.parts: list[str] = []
-        self.linked = 0
-        self.silent = 0
+        self.linked = self.silent = self.serial = 0
         self.last_close: dict[str, int] = {}
-        self.budget = 4 * len(page)
+        self.find_ends()
+
+    def find_ends(self) -> None:
+        """For each quote and ">" of the page, where a tag that is open there, outside quotes,
+        ends (-1: nowhere, as a quote is not closed), and the next ">" of all."""
+        self.places = [m.start() for m in _SPECIAL.finditer(self.page)]
+        n = len(self.places)
+        self.ends, self.nearest_end = [-1] * (n + 1), [-1] * (n + 1)
+        following: dict[str, int] = {}
+        for k in range(n - 1, -1, -1):
+            kind = self.page[self.places[k]]
+            if kind == ">":
+                self.ends[k] = self.nearest_end[k] = self.places[k]
+            else:
+                self.ends[k] = self.ends[following[kind] + 1] if kind in following else -1
+                self.nearest_end[k] = self.nearest_end[k + 1]
+                following[kind] = k
 
     def flush(self) -> None:
         if self.parts:
@@ -100,10 +126,20 @@ class _Reader:
                 text = html_lib.unescape(text)
             text = _SPACE.sub(" ", text).strip()
             if text:
-                self.out.append(Block(text, tuple(self.stack[k] for k in self.at_blocks[-DEEPEST:]), self.linked))
+                held = next((self.stack[k] for k in reversed(self.at_blocks) if self.stack[k][0] not in LEAVES), ("", (), 0))
+                leaf = self.nearest() or "-"
+                self.out.append(Block(text, frozenset(self.open), (*self.solid[-3:], leaf, min(len(self.solid), 6)), self.linked, held[2]))
             self.parts.clear()
         self.linked = 0
 
+    def features(self, name: str, words: tuple[str, ...]) -> list[str]:
+        """What an open block adds; words that no model knows add nothing."""
+        return [f for f in ("tag:" + name, *["word:" + w for w in words]) if self.known is None or f in self.known]
+
+    @staticmethod
+    def says(name: str, words: tuple[str, ...]) -> bool:
+        return name not in ("html", "body") and (name not in WRAPPERS or bool(words))
+
     def text(self, start: int, end: int) -> None:
         if end <= start:
             return
@@ -142,11 +178,16 @@ class _Reader:
         hides = name in SILENT_TAGS and (name not in CLOSED_ONLY or self.closes(name, at))
         if name in SILENT_TAGS and not hides:
             name = "-"  # its text is read, as that of an unknown inline element
-        self.stack.append((name, _attribute_words(attributes)))
+        words = _attribute_words(attributes)
+        self.serial += 1
+        self.stack.append((name, words, self.serial))
         self.counts[name] += 1
         self.silent += hides
         if name in BLOCK_TAGS:
             self.at_blocks.append(len(self.stack) - 1)
+            if self.says(name, words):
+                self.solid.append(name)
+                self.open.update(self.features(name, words))
 
     def closes(self, name: str, at: int) -> bool:
         """Whether an element of this name ends somewhere behind a place."""
@@ -163,29 +204,31 @@ class _Reader:
 
     def cut(self, k: int) -> None:
         """Close the element at a place of the stack and all in it."""
-        for name, _ in self.stack[k:]:
+        for name, words, _ in self.stack[k:]:
             self.counts[name] -= 1
             self.silent -= name in SILENT_TAGS
+            if name in BLOCK_TAGS and self.says(name, words):
+                self.solid.pop()
+                for f in self.features(name, words):
+                    self.open[f] -= 1
+                    if not self.open[f]:
+                        del self.open[f]
         del self.stack[k:]
         while self.at_blocks and self.at_blocks[-1] >= k:
             self.at_blocks.pop()
 
     def tag_end(self, at: int) -> int:
         """The place of a tag's ">", outside quotes; -1 if it has none. Quotes that are
-        not closed are read as plain characters, and all are once re-reading has cost
-        as much as a few readings of the page."""
-        if self.budget > 0:
-            stop = _REST.match(self.page, at).end()
-            if stop < len(self.page) and self.page[stop] == ">":
-                return stop
-            self.budget -= len(self.page) - at
-        return self.page.find(">", at)
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, white space folded, empty ones left out."""
+        not closed are plain characters."""
+        k = bisect_left(self.places, at)
+        return self.ends[k] if self.ends[k] >= 0 else self.nearest_end[k]
+
+
+def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
+    """Leaf blocks of a page in order, white space folded, empty ones left out. ``known``:
+    the features of ancestors that matter; all if not given."""
     page = page or ""
-    reader = _Reader(page)
+    reader = _Reader(page, known)
     at = shown = 0  # where to look for the next tag, and the end of what was read
     while (at := page.find("<", at)) >= 0:
         if page.startswith("<!--", at):
@@ -230,28 +273,36 @@ def blocks(page: str | None) -> list[Block]:
 
 
 @lru_cache(100_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in path if t not in ("html", "body")]
-    got = {"tag:" + t for t in tags} | {"word:" + w for _, words in path for w in words}
-    got.add("tail:" + ">".join(tags[-3:]))
-    got.add("last:" + ">".join(tags[-2:]))
-    return (*sorted(got), "leaf:" + (tags[-1] if tags else "-"), "depth:" + str(min(len(tags), 6)))
-
-
-def _features(block: Block, place: int, total: int) -> list[str]:
-    n = len(block.text)
-    words = block.text.count(" ") + 1
-    out = list(_path_features(block.path))
-    out.append("length:" + str(min(9, n.bit_length())))
-    out.append("link:" + str(min(3, int(4 * block.link / max(n, 1)))))
-    out.append("words:" + str(min(6, words.bit_length())))
-    out.append("end:" + ("stop" if block.text[-1] in ".!?…。" else "open"))
-    if "©" in block.text:
-        out.append("sign:copyright")
-    if place == 0:
-        out.append("first")
-    if place == total - 1:
-        out.append("last")
+def _path_features(names: frozenset, tail: tuple) -> tuple[str, ...]:
+    *tags, leaf, depth = tail
+    return (*sorted(names), "tail:" + ">".join(tags), "last:" + ">".join(tags[-2:]), "leaf:" + leaf, f"depth:{depth}")
+
+
+def page_features(page: list[Block]) -> list[list[str]]:
+    """The features of each block: its ancestors, its text, its place, and what share of the
+    page's text its holder has."""
+    inside: Counter[int] = Counter()
+    for block in page:
+        inside[block.holder] += len(block.text)
+    whole = max(1, sum(inside.values()))
+    articles = any("tag:article" in b.names or "tag:main" in b.names for b in page)
+    out = []
+    for place, block in enumerate(page):
+        n, words = len(block.text), block.text.count(" ") + 1
+        got = list(_path_features(block.names, block.tail))
+        got.append("length:" + str(min(9, n.bit_length())))
+        got.append("link:" + str(min(3, int(4 * block.link / max(n, 1)))))
+        got.append("words:" + str(min(6, words.bit_length())))
+        got.append("end:" + ("stop" if block.text[-1] in ".!?…。" else "open"))
+        got.append(f"share:{min(3, int(4 * inside[block.holder] / whole))}")
+        got.append(f"article:{articles}:{'tag:article' in block.names or 'tag:main' in block.names}")
+        if "©" in block.text:
+            got.append("sign:copyright")
+        if place == 0:
+            got.append("first")
+        if place == len(page) - 1:
+            got.append("last")
+        out.append(got)
     return out
 
 
@@ -260,12 +311,13 @@ class Tagger:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.names, self.weights, self.steps = names, weights, steps
+        self.known = frozenset(n for n in names if n.startswith(("tag:", "word:")))
         self.cache: dict[tuple, np.ndarray] = {}
 
     def scores(self, page: list[Block]) -> np.ndarray:
         get, out = self.names.get, np.zeros((len(page), 2))
-        for k, block in enumerate(page):
-            key = tuple(_features(block, k, len(page)))
+        for k, features in enumerate(page_features(page)):
+            key = tuple(features)
             row = self.cache.get(key)
             if row is None:
                 if len(self.cache) > 200_000:
@@ -295,7 +347,7 @@ class Tagger:
         return out[::-1]
 
     def extract(self, page: str | None) -> str:
-        got = blocks(page)
+        got = blocks(page, self.known)
         return "\n".join(b.text for b, keep in zip(got, self.decode(got)) if keep)
 
 
@@ -307,8 +359,8 @@ def train(pages: list[tuple[str, list[bool]]], steps: int = 80, rate: float = 0.
     total = 0
     for page in read:
         lens.append(len(page))
-        for k, block in enumerate(page):
-            for f in _features(block, k, len(page)):
+        for features in page_features(page):
+            for f in features:
                 rows.append(total)
                 cols.append(names.setdefault(f, len(names)))
             total += 1
@@ -359,7 +411,7 @@ def train(pages: list[tuple[str, list[bool]]], steps: int = 80, rate: float = 0.
     return Tagger(names, w, t)
 
 
-def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 1500, seed: int = 3) -> list[tuple[str, list[bool]]]:
     """Generated pages with the label of each of their blocks (True: main text)."""
     rnd = random.Random(seed)
     syllables = "the an in er on re ti es or at en ed st al ar le de la ou ver ung ich que ment tion".split()
@@ -437,22 +489,56 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[str, list[bool]]]:
             else:
                 say(f'<header><p>{prose()}</p></header>', False)
 
+        def wrapper() -> tuple[str, str]:
+            """An element around others, more often than not without a telling name."""
+            k = rnd.random()
+            if k < 0.4:
+                return "<div>", "</div>"
+            if k < 0.5:
+                return "<section>", "</section>"
+            word = rnd.choice(["wrap", "wrapper", "container", "row", "col", "inner", "outer", "page", "site", "layout", "grid", "block", "column", "box"])
+            return f'<div {rnd.choice(["class", "id"])}="{word}">', "</div>"
+
         title = sentence(3, 9)
+        if rnd.random() < 0.04:  # text alone
+            for _ in range(rnd.randint(1, 3)):
+                say(prose() if not out else f"<p>{prose()}", True)
+            return "".join(out), labels
         say(f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>")
+        around = [wrapper() for _ in range(rnd.choice([0, 0, 0, 1, 1, 2]))]
+        table = rnd.random() < 0.08
+        for opened, _ in around:
+            say(opened)
+        if table:  # a layout table: menu, article and side in cells
+            items = [f'<a href="/{words(1)}">{words(1)}</a>' for _ in range(rnd.randint(1, 6))]
+            listed = rnd.random() < 0.5
+            say("<table><tr><td>" + ("".join(f"<p>{i}</p>" for i in items) if listed else " ".join(items)) + "</td><td>", *[False] * (len(items) if listed else 1))
+            if rnd.random() < 0.3:
+                say(f"{words(1)}</td><td>", False)
         for _ in range(rnd.randint(0, 2)):
             menu()
         if rnd.random() < 0.4:
             say(f"<header><h1>{words(2)}</h1></header>", False) if rnd.random() < 0.5 else say(f"<header>{words(3)}</header>", False)
         for _ in range(rnd.randint(0, 3)):
             aside()
-        tag = rnd.choice(["article"] * 6 + ["main", "div class='content'", "div id='post'", "section class='article body'", "main class='story'", "div class='entry text'"])
+        columns = [wrapper() for _ in range(rnd.choice([0, 0, 0, 1, 2]))]
+        for opened, _ in columns:
+            say(opened)
+        tag = rnd.choice(["article"] * 6 + ["div", "div", "div class='txt'", "div class='post-body'", "section"] + ["main", "div class='content'", "div id='post'", "section class='article body'", "main class='story'", "div class='entry text'"])
         say(f"<{tag}>")
         if tag != "div class='content'" and rnd.random() < 0.2:  # the article's own head
             say(f"<header><h1>{title}</h1></header>", True)
         elif rnd.random() < 0.85:
             say(f"<h1>{title}</h1>", True)
+        nested, shapes = rnd.random() < 0.45, []
         for _ in range(rnd.randint(1, 14)):
             shape = rnd.random()
+            if nested and len(shapes) < 3 and rnd.random() < 0.35:  # groups of paragraphs in elements of their own
+                opened, closed = rnd.choice([("<div>", "</div>"), ("<div>", "</div>"), ("<section>", "</section>"), ('<div class="text">', "</div>"), ('<div class="body">', "</div>"), ('<div class="hero">', "</div>")])
+                say(opened)
+                shapes.append(closed)
+            elif shapes and rnd.random() < 0.3:
+                say(shapes.pop())
             if shape < 0.66:
                 say(f"<p>{prose()}</p>", True)
             elif shape < 0.76:
@@ -475,12 +561,25 @@ def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[str, list[bool]]]:
                 say(f'<p>{prose()} <a href="#">{words(2)}</a> {prose()}</p>', True)
             else:
                 aside()
+        for closed in reversed(shapes):
+            say(closed)
         if rnd.random() < 0.12:  # a list that ends the article
             n_items, kind = rnd.randint(1, 5), rnd.choice(["ul", "ol", "ol"])
             say(f"<{kind}>" + "".join(f"<li>{sentence(2, 12)}</li>" for _ in range(n_items)) + f"</{kind}>", *[True] * n_items)
-        say(f"</{tag.split()[0]}>") if rnd.random() < 0.93 else None
+        say(f"</{tag.split()[0]}>") if rnd.random() < 0.93 or columns or table else None
+        if columns and rnd.random() < 0.5:
+            aside()
+        for _, closed in reversed(columns):
+            say(closed)
         for _ in range(rnd.randint(0, 3)):
             aside()
+        if table:
+            say("</td>")
+            if rnd.random() < 0.5:
+                say(f'<td><a href="#">{words(2)}</a></td>', False)
+            say("</tr></table>")
+        for _, closed in reversed(around):
+            say(closed)
         if rnd.random() < 0.8:
             tag = rnd.choice(["footer", "footer", "footer", "div class='footer'", "div id='footer'"])
             say(f"<{tag}>{rnd.choice(['&copy; ', '', '(c) '])}{words(2)}.example.com &middot; {sentence(2, 8)}</{tag.split()[0]}></body></html>", False)
