@@ -47,14 +47,19 @@ def order_statistics(counts: DataFrame, keys: list[str], ranks: DataFrame) -> Da
     each row (keys, name, k) of ``ranks``, all keys at once; ties count each. Ranks
     beyond a key's rows give no row."""
     upto = running_sums(counts, keys, [F.col("v")], {"upto": "n"})
-    if not keys:  # one group: any constant is its key
-        upto, ranks, on = upto.withColumn("_all", F.lit(0)), ranks.withColumn("_all", F.lit(0)), ["_all"]
-    else:
-        on = keys
-    got = upto.join(ranks, on).where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n")))
+    got = _joined(upto, ranks.select(*keys, "name", "k"), keys).where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n")))
     return got.select(*keys, "name", "k", "v")
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys, null ones too; without keys there is one group."""
+    named = b.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)}).withColumn("_one", F.lit(0))
+    same = F.col("_mine") == F.col("_one")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    return a.withColumn("_mine", F.lit(0)).join(named, same).drop("_one", "_mine", *[f"_k_{i}" for i in range(len(keys))])
+
+
 def percentiles(rows: DataFrame, keys: list[str], value: Column, points: dict[str, float]) -> DataFrame:
     """(keys, n, mean, and a column per point): exact percentiles, between two values by
     straight line."""
@@ -64,10 +69,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: Column, points: dict[st
     wanted = [F.struct(F.lit(f"{name}_{side}").alias("name"), (f(p).cast("long") + 1).alias("k")) for name, p in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
     found = order_statistics(counts, keys, sizes.select(*keys, F.explode(F.array(*wanted)).alias("r")).select(*keys, "r.*"))
     ends = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == f"{name}_{side}", F.col("v"))).alias(f"_{name}_{side}") for name in points for side in ("low", "high")])
-    if keys:
-        both = sizes.join(ends, keys)
-    else:
-        both = sizes.withColumn("_all", F.lit(0)).join(ends.withColumn("_all", F.lit(0)), "_all")
+    both = _joined(sizes, ends, keys)
     share = {name: p - F.floor(p) for name, p in at.items()}
     line = [(F.col(f"_{name}_low") + share[name] * (F.col(f"_{name}_high") - F.col(f"_{name}_low"))).alias(name) for name in points]
     return both.select(*keys, F.col("size").alias("n"), "mean", *line)

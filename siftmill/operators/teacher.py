@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.scoring import nan_mean, soft_target, source_only_target, teacher_blend
+from siftmill.operators.ordered import percentiles
 from siftmill.schema import ContractError, require
 
 REQUIRED = ["id", "p_unsafe_teacher", "teacher_model"]
@@ -104,8 +105,8 @@ def as_predictions(rows: DataFrame, scores: list[DataFrame]) -> tuple[DataFrame,
 
 def teacher_summary(df: DataFrame) -> DataFrame:
     """n, mean and median of the teacher's score by source and label, the NULL label included."""
-    p = F.col("p_unsafe_teacher")
-    return df.groupBy("source", "source_label").agg(F.count("*").alias("n"), F.round(F.avg(p), 3).alias("mean_p"), F.round(F.percentile(p, F.lit(0.5)), 3).alias("median_p"))
+    got = percentiles(df, ["source", "source_label"], F.col("p_unsafe_teacher"), {"median_p": 0.5})
+    return got.select("source", "source_label", "n", F.round("mean", 3).alias("mean_p"), F.round("median_p", 3).alias("median_p"))
 
 
 def score_batches(df: DataFrame, score: Callable[[list[str]], list[dict]], model: str, batch: int = 8) -> DataFrame:

@@ -91,19 +91,39 @@ def write_any(df: DataFrame, path: str, single: bool = False) -> None:
         out.write.mode("overwrite").parquet(path)
 
 
-def append_new(new: DataFrame, path: str, key: str = "id") -> int:
-    """Append the rows whose key the table at ``path`` lacks; how many they were.
-    Running it again adds nothing."""
-    spark = new.sparkSession
+def append_new(new: DataFrame, path: str, key: str = "id", fill: dict | None = None) -> int:
+    """Append the rows whose key the table at ``path`` lacks; how many they were. Running it
+    again adds nothing.
+
+    Before its first rows the table is copied to ``path.bak``, once. Columns that only one
+    side has are filled, old rows and new ones, with the value in ``fill`` or null; where the
+    old rows gain a column, the table is written anew beside itself and swapped in, and
+    a swap that was cut short is finished by the next call."""
+    spark, fill = new.sparkSession, fill or {}
+    old_at, next_at = f"{path}.before", f"{path}.next"
+    if not exists(spark, path) and exists(spark, old_at):
+        move(spark, next_at if exists(spark, f"{next_at}/_SUCCESS") else old_at, path)
     old = spark.read.parquet(path)
-    fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
-    for f in old.schema.fields:
-        if f.name not in fresh.columns:
-            fresh = fresh.withColumn(f.name, F.lit(None).cast(f.dataType))
-    fresh = fresh.select(old.columns).persist()
+
+    def filled(df: DataFrame, like: DataFrame) -> DataFrame:
+        kinds = dict(like.dtypes)
+        return df.withColumns({c: F.lit(fill.get(c)).cast(kinds[c]) for c in like.columns if c not in df.columns})
+
+    fresh = filled(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), old)
+    added = [c for c in new.columns if c not in old.columns]
+    fresh = fresh.select(*old.columns, *added).persist()
     n = fresh.count()
     if n:
-        fresh.write.mode("append").parquet(path)
+        if not exists(spark, f"{path}.bak"):
+            copy(spark, path, f"{path}.bak")
+        if added:
+            filled(old, fresh).unionByName(fresh).write.mode("overwrite").parquet(next_at)
+            delete(spark, old_at)
+            move(spark, path, old_at)
+            move(spark, next_at, path)
+            delete(spark, old_at)
+        else:
+            fresh.write.mode("append").parquet(path)
     fresh.unpersist()
     return n
 
@@ -233,3 +253,20 @@ def children(spark: SparkSession, folder: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, at = _hadoop(spark, path)
     fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, at = _hadoop(spark, path)
+    if not fs.rename(at, _hadoop(spark, to)[1]):
+        raise OSError(f"{path} cannot be renamed to {to}")
+
+
+def copy(spark: SparkSession, path: str, to: str) -> None:
+    (fs, at), (other, there) = _hadoop(spark, path), _hadoop(spark, to)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, other, there, False, True, conf)

@@ -11,33 +11,44 @@ from pyspark.sql.streaming import StreamingQuery
 from siftmill.functions.scoring import Rule, keyword_logits, softmax
 from siftmill.operators.teacher import check_inputs, remaining, score_batches, validate_scores
 from siftmill.schema import ContractError
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from siftmill.sources.files import delete, exists
 
 
 def run_scorer(inputs: DataFrame, path: str, score: Callable[[list[str]], list[dict]], model: str, batch: int = 8, rows_per_flush: int = 80, limit: int | None = None) -> int:
-    """Score what the table at ``path`` lacks and append it flush by flush; rows
-    already appended survive a later failure. Returns how many rows were new.
+    """Score what the table at ``path`` lacks and append it flush by flush; rows already
+    appended survive a later failure, and the next run goes on with the others. Returns
+    how many rows were new.
 
-    Flushes are id ranges of about ``rows_per_flush`` rows by hash; each appends once."""
+    Inputs are read once: what they lack is laid out beside the table in files of a flush each,
+    and a stream takes one file at a time, scores it and appends it. A run that is
+    killed leaves whole flushes; its layout is removed by the next run."""
     spark = inputs.sparkSession
-    inputs = check_inputs(inputs)
+    work = f"{path}.work"
+    delete(spark, work)
+    asked = f"{work}/inputs"
+    inputs.select("id", "text").write.parquet(asked)
+    rows = check_inputs(spark.read.schema("id string, text string").parquet(asked))
     if limit is not None:
-        inputs = inputs.orderBy("id").limit(limit)
-    if _exists(spark, path):
+        rows = rows.orderBy("id").limit(limit)
+    if exists(spark, path):
         done = validate_scores(spark.read.parquet(path))
         other = done.where(F.col("teacher_model") != model).limit(1).count()
         if other:
+            delete(spark, work)
             raise ContractError(f"{path} holds scores of another model than {model}")
-        inputs = remaining(inputs, done)
-    n = inputs.count()
-    flushes = -(-n // rows_per_flush)
-    for k in range(flushes):
-        part = inputs.where(F.pmod(F.xxhash64("id"), F.lit(flushes)) == k)
-        score_batches(part, score, model, batch).write.mode("append").parquet(path)
+        rows = remaining(rows, done)
+    flushes = f"{work}/flushes"
+    rows.write.option("maxRecordsPerFile", rows_per_flush).parquet(flushes)
+    n = spark.read.schema("id string, text string").parquet(flushes).count()
+    if n:
+        stream = spark.readStream.schema("id string, text string").option("maxFilesPerTrigger", 1).parquet(flushes)
+
+        def sink(flush: DataFrame, _: int) -> None:
+            # ids were told apart above: a flush is new, and is appended whole
+            score_batches(flush, score, model, batch).coalesce(1).write.mode("append").parquet(path)
+
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    delete(spark, work)
     return n
 
 
@@ -47,7 +58,7 @@ def append_batch(path: str, key: str = "id") -> Callable[[DataFrame, int], None]
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
-        if _exists(spark, path):
+        if exists(spark, path):
             rows = remaining(rows, spark.read.parquet(path)) if key == "id" else rows.join(spark.read.parquet(path).select(key), key, "left_anti")
         rows.write.mode("append").parquet(path)
 
