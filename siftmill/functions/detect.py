@@ -11,9 +11,10 @@ import string
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-from siftmill.functions.text import strip_code, strip_punctuation, tokens
+from siftmill.functions.checked import one_to_one
+from siftmill.functions.text import language_bucket, split_tags, strip_code, strip_punctuation, tokens
 
 # Thresholds of the detectors.
 MIN_B64, MIN_HEX, MIN_B32, MIN_ESCAPES = 24, 32, 24, 6
@@ -25,26 +26,27 @@ SPACING_RUN = 6
 MIXED_TOKENS = 2
 
 
-@F.pandas_udf(BooleanType())
-def decodes_to_text(kind: pd.Series, token: pd.Series) -> pd.Series:
+def _readable(kind: str | None, token: str | None) -> bool:
     """Whether a base64, base32 or hex token decodes to mostly printable text."""
-
-    def one(k: str | None, t: str | None) -> bool:
-        try:
-            if k == "base64":
-                raw = base64.b64decode(t + "=" * (-len(t) % 4))
-            elif k == "base32":
-                raw = base64.b32decode(t.upper() + "=" * (-len(t) % 8))
-            elif k == "hex":
-                raw = bytes.fromhex(t)
-            else:
-                return False
-        except (binascii.Error, ValueError, TypeError):
+    try:
+        if kind == "base64":
+            raw = base64.b64decode(token + "=" * (-len(token) % 4))
+        elif kind == "base32":
+            raw = base64.b32decode(token.upper() + "=" * (-len(token) % 8))
+        elif kind == "hex":
+            raw = bytes.fromhex(token)
+        else:
             return False
-        text = raw.decode("utf-8", errors="ignore")
-        return bool(text) and sum(c in string.printable for c in text) / len(text) >= READABLE_RATIO
+    except (binascii.Error, ValueError, TypeError):
+        return False
+    text = raw.decode("utf-8", errors="ignore")
+    return bool(text) and sum(c in string.printable for c in text) / len(text) >= READABLE_RATIO
+
 
-    return pd.Series([one(k, t) for k, t in zip(kind, token)])
+@F.pandas_udf(ArrayType(BooleanType()))
+def decode_to_text(kinds: pd.Series, found: pd.Series) -> pd.Series:
+    """``_readable`` of each of a text's tokens."""
+    return pd.Series([[_readable(k, t) for k, t in zip(ks, ts)] for ks, ts in zip(kinds, found)])
 
 
 def _bare_tokens(text: Column) -> Column:
@@ -71,14 +73,30 @@ def escape_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(strip_code(text), F.lit("%[0-9A-Fa-f]{2}"), 0))
 
 
-def encoded_blob(text: Column) -> Column:
-    hits = F.transform(encoded_hits(text), lambda h: F.concat(h["kind"], F.lit("["), F.length(h["token"]).cast("string"), F.lit("]")))
+def _blob_reason(told: Column, text: Column) -> Column:
     n = escape_count(text)
     escapes = F.when(n >= MIN_ESCAPES, F.array(F.concat(F.lit("percent_encoding["), n.cast("string"), F.lit(" escapes]")))).otherwise(F.array().cast("array<string>"))
-    both = F.concat(hits, escapes)
+    both = F.concat(told, escapes)
     return F.when(F.size(both) > 0, F.concat(F.lit("encoded blob: "), F.array_join(F.slice(both, 1, 3), ", ")))
 
 
+def _named(h: Column) -> Column:
+    return F.concat(h["kind"], F.lit("["), F.length(h["token"]).cast("string"), F.lit("]"))
+
+
+def encoded_blob(text: Column) -> Column:
+    return _blob_reason(F.transform(encoded_hits(text), _named), text)
+
+
+def with_decoded_blob(df: DataFrame, text: Column, into: str = "reason") -> DataFrame:
+    """``df`` plus the reason of ``encoded_blob``, in which each token that decodes to readable text
+    says so. Python sees the tokens that look encoded, not the texts."""
+    hits = df.withColumn("_hits", encoded_hits(text))
+    told = hits.withColumn("_read", decode_to_text(F.col("_hits.kind"), F.col("_hits.token")))
+    both = F.zip_with("_hits", "_read", lambda h, r: F.concat(_named(h), F.when(r, " (decodes to text)").otherwise("")))
+    return told.withColumn(into, _blob_reason(both, text)).drop("_hits", "_read")
+
+
 def leet_counts(text: Column) -> tuple[Column, Column]:
     """(mixed, word-like) token counts."""
     like = F.filter(
@@ -135,11 +153,19 @@ def alpha_tokens(text: Column) -> Column:
     return F.transform(kept, lambda p: F.lower(p["t"]))
 
 
-def low_natural_language(df: DataFrame, words: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, known, alpha, reason): the share of known words. ``words`` has a column ``word``; the
-    tokens are joined to it, so no literal of the dictionary enters the plan."""
+#: Bytes of a dictionary that is sent to every executor; a larger one is exchanged with the tokens.
+BROADCAST_WORDS = 32_000_000
+
+
+def low_natural_language(df: DataFrame, words: DataFrame, key: str = "id", text: str = "text", limit: int = BROADCAST_WORDS) -> DataFrame:
+    """(key, known, alpha, reason): the share of known words. ``words`` has a column ``word``, each
+    looked up by a join, so no literal of the dictionary enters the plan; the dictionary
+    is broadcast only if its words, measured first, are within ``limit`` bytes."""
     each = df.select(key, F.posexplode(alpha_tokens(F.col(text))).alias("at", "word"))
     known = words.select("word").distinct().withColumn("known", F.lit(1))
+    size = words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    if size <= limit:
+        known = F.broadcast(known)
     counted = each.join(known, "word", "left").groupBy(key).agg(F.count("known").alias("known"), F.count("*").alias("alpha"))
     low = (F.col("alpha") >= NL_TOKENS) & (F.col("known") / F.col("alpha") < NL_RATIO)
     reason = F.concat(
@@ -152,24 +178,29 @@ def low_natural_language(df: DataFrame, words: DataFrame, key: str = "id", text:
 DETECTORS = {"encoded_blob": encoded_blob, "leetspeak": leetspeak, "spacing": spacing, "homoglyph": homoglyph}
 
 
-def precheck(df: DataFrame, words: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
-    """``df`` plus precheck_flag and precheck_reasons (joined by ";")."""
+def precheck(df: DataFrame, words: DataFrame | None = None, key: str = "id", text: str = "text", decoded: bool = True) -> DataFrame:
+    """``df`` plus precheck_flag and precheck_reasons (joined by ";"). ``key`` is unique. ``decoded``: reasons
+    say which encoded tokens decode to text, which flags nothing more."""
     body = F.coalesce(F.col(text), F.lit(""))
     reasons = {name: f(body) for name, f in DETECTORS.items()}
+    if decoded:
+        df = with_decoded_blob(df, body, "_blob")
+        reasons["encoded_blob"] = F.col("_blob")
     if words is not None:
         low = low_natural_language(df, words, key, text).select(key, F.col("reason").alias("_low"))
         df = df.join(low, key, "left")
         reasons = {k: reasons[k] for k in ("encoded_blob", "leetspeak")} | {"low": F.col("_low")} | {k: reasons[k] for k in ("spacing", "homoglyph")}
     found = F.array_compact(F.array(*reasons.values()))
     out = df.withColumn("precheck_reasons", F.array_join(found, ";"))
-    return out.withColumn("precheck_flag", F.col("precheck_reasons") != "").drop("_low")
+    return out.withColumn("precheck_flag", F.col("precheck_reasons") != "").drop("_low", "_blob")
 
 
 def apply_precheck(preds: DataFrame, texts: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Predictions with force_escalate raised where the pre-check fires; base
-    probabilities stay as they are."""
+    """Predictions with force_escalate raised where the pre-check fires; base probabilities stay as
+    they are. Both sides must have the same ids, each once."""
     checked = precheck(texts.select("id", "text"), words).select("id", "precheck_flag", "precheck_reasons")
-    return preds.join(checked, "id", "left").withColumn("force_escalate", F.coalesce("precheck_flag", F.lit(False)))
+    kept = preds.drop("force_escalate", "precheck_flag", "precheck_reasons")
+    return one_to_one(kept, checked, "id", ("predictions", "texts")).withColumn("force_escalate", F.col("precheck_flag"))
 
 
 # The wordings of the evasion wrappers.
@@ -237,17 +268,48 @@ def wrap(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def flag_rates(df: DataFrame, slice_col: str = "slice") -> DataFrame:
     """Pre-check flag rate per slice: k, n, rate."""
-    return precheck(df).groupBy(slice_col).agg(F.count_if("precheck_flag").alias("k"), F.count("*").alias("n")).withColumn("rate", F.col("k") / F.col("n"))
-
-
-def audit(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Flag rates of plain texts, per language, and under every encoding and wrapper."""
-    from siftmill.functions.text import language_bucket
-
-    text = F.col("text")
-    slices = [F.struct(F.lit("plain").alias("slice"), text.alias("text")), F.struct(F.concat(F.lit("language:"), language_bucket(text)).alias("slice"), text.alias("text"))]
-    for prefix, registry in (("encoding", ENCODINGS), ("wrapper", WRAPPERS)):
-        for name, f in registry.items():
-            if name != "base32" and (names is None or name in names):
-                slices.append(F.struct(F.lit(f"{prefix}:{name}").alias("slice"), f(text).alias("text")))
-    return flag_rates(df.select("id", F.explode(F.array(*slices)).alias("s")).select("id", "s.slice", "s.text"))
+    return precheck(df, decoded=False).groupBy(slice_col).agg(F.count_if("precheck_flag").alias("k"), F.count("*").alias("n")).withColumn("rate", F.col("k") / F.col("n"))
+
+
+def ordinary(pool: DataFrame, scoped: DataFrame, sources: list[str], kind: str, n: int = 2000, seed: int = 0) -> DataFrame:
+    """(id, text, kind): n ordinary benign rows of some sources of a pool (id, text, source, source_label),
+    outside scope, picked by hash."""
+    rows = pool.where(F.col("source").isin(sources) & (F.col("source_label") == 0)).join(scoped.select("id"), "id", "left_anti")
+    picked = rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n)
+    return picked.select("id", "text", F.lit(kind).alias("kind"))
+
+
+def _own_slices() -> Column:
+    """The slices of a labelled row by its split, label and tags."""
+    split, gold, tags = F.col("split"), F.col("gold"), split_tags(F.col("tags"))
+    tested = split.isin("val", "test", "test_ood")
+    benign = F.when(F.array_contains(tags, "hard_negative"), "_benign_hard_negative").otherwise("_benign_other")
+    named = [
+        F.when((split == "train") & (F.col("source_label") == 0), "train_benign"),
+        F.when(tested & (gold == "benign"), F.concat(split, benign)).when(tested & (gold == "dangerous"), F.concat(split, F.lit("_dangerous"))),
+    ]
+    wrapped = F.when(split == "test_evasion", F.transform(F.filter(tags, lambda t: t.startswith("evasion:")), lambda t: F.concat(F.lit("test_evasion_"), F.substring(t, 9, 1 << 20)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_compact(F.array(*named)), wrapped)
+
+
+def audit(rows: DataFrame, words: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
+    """Flag rates (slice, k, n, rate) of the pre-check: benign training rows, benign and dangerous rows of
+    each split, each evasion wrapper, each encoding of the labelled validation rows, and
+    ordinary texts, those of kind ``reported`` by language too.
+
+    ``rows`` has id, text, split, gold, tags, source_label; ``others`` (id, text, kind) as ``ordinary`` gives
+    them. Every text, plain or encoded, is checked once and counted in all its slices."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    plain = rows.select("id", F.lit("").alias("variant"), text.alias("text"), _own_slices().alias("slices"))
+    coded = [F.struct(F.lit(name).alias("variant"), f(text).alias("text")) for name, f in ENCODINGS.items()]
+    val = rows.where((F.col("split") == "val") & F.col("gold").isin("dangerous", "benign"))
+    encoded = val.select("id", F.explode(F.array(*coded)).alias("c")).select("id", "c.variant", "c.text", F.array(F.concat(F.lit("encoding_"), F.col("c.variant"))).alias("slices"))
+    every = plain.unionByName(encoded)
+    if others is not None:
+        language = F.when(F.col("kind") == "reported", F.concat(F.lit("ordinary_reported_"), language_bucket(text)))
+        mine = F.array_compact(F.array(F.concat(F.lit("ordinary_"), F.col("kind")), language))
+        every = every.unionByName(others.select("id", F.concat(F.lit("ordinary "), "kind").alias("variant"), text.alias("text"), mine.alias("slices")))
+    every = every.where(F.size("slices") > 0).withColumn("text_id", F.concat_ws("\x1f", F.col("id").cast("string"), "variant"))
+    flagged = precheck(every.drop("id"), words, key="text_id", decoded=False)
+    counts = flagged.select("precheck_flag", F.explode("slices").alias("slice")).groupBy("slice").agg(F.count_if("precheck_flag").alias("k"), F.count("*").alias("n"))
+    return counts.withColumn("rate", F.col("k") / F.col("n"))

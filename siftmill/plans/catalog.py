@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions import detect, scoring, text
+from siftmill.functions.checked import one_to_one
 from siftmill.operators import calibrate, dedupe, evaluation, gold, lexicon, metrics, report, sample, suggest, teacher, training
 from siftmill.plans import views as V
 from siftmill.plans.views import with_views
@@ -505,10 +506,76 @@ def q_language_bucket(s, d):
     return V.read(s, d, "documents").select("doc_id", text.language_bucket(F.col("text")).alias("language"))
 
 
-@query()
+def _base32_sql(text: str) -> str:
+    """RFC 4648 base32 of a text's bytes: four bits a hex digit, dealt anew in fives."""
+    nibbles = "[" + ", ".join(f"'{k:04b}'" for k in range(16)) + "]"
+    bits = f"array_to_string(list_transform(string_split(hex(encode({text})), ''), lambda h: {nibbles}[strpos('0123456789ABCDEF', h)]), '')"
+    return (
+        f"(SELECT rpad(array_to_string(list_transform(range(0, CAST(ceil(length(b)/5.0) AS BIGINT)), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1,6), lambda k: CASE WHEN substr(b, CAST(5*g+k AS BIGINT), 1) = '1' THEN 1 << (5-k) ELSE 0 END))::BIGINT, 1)), ''), CAST(8*ceil(length(b)/40.0) AS INT), '=') FROM (SELECT {bits} AS b))"
+    )
+
+
+_ENCODED = {
+    "hex": "lower(hex(encode(text)))",
+    "rot13": f"translate(text,'{detect.ROT13[0]}','{detect.ROT13[1]}')",
+    "url_percent": "replace(url_encode(text),'%2F','/')",
+    "char_spacing": "array_to_string(string_split(text,''),' ')",
+    "reversed": "reverse(text)",
+    "homoglyph": f"translate(text,'{detect.HOMOGLYPHS[0]}','{detect.HOMOGLYPHS[1]}')",
+    "base32": _base32_sql("text"),
+}
+
+
+def _audit_sql() -> str:
+    """Every text with its slices, the five detectors, and the counts."""
+    gold_of = "CASE WHEN quality IS NULL THEN '' WHEN source_label=1 THEN 'dangerous' WHEN quality=1 THEN 'benign' ELSE 'ambiguous' END"
+    rows = f"ro AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, CASE doc_id%4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'test_ood' END AS split, {gold_of} AS gold, CASE WHEN lang='fr' THEN 'hard_negative' ELSE '' END AS tags, source_label FROM pool)"
+    tested = "split IN ('val','test','test_ood')"
+    plain = f"SELECT text, CASE WHEN split='train' AND source_label=0 THEN 'train_benign' WHEN {tested} AND gold='benign' THEN split || CASE WHEN tags='' THEN '_benign_other' ELSE '_benign_hard_negative' END WHEN {tested} AND gold='dangerous' THEN split || '_dangerous' END AS slice FROM ro"
+    wrapped = " UNION ALL ".join(f"SELECT {e}, 'test_evasion_{n}' FROM ev" for n, e in _WRAPPED.items())
+    encoded = " UNION ALL ".join(f"SELECT {e}, 'encoding_{n}' FROM ro WHERE split='val' AND gold IN ('dangerous','benign')" for n, e in _ENCODED.items())
+    lang = _lang_sql().replace("FROM documents)", "FROM (SELECT id AS doc_id, text FROM od WHERE kind='reported'))")
+    benign = "SELECT p.doc_id AS id, p.text FROM pool p WHERE source_label=0 AND p.doc_id NOT IN (SELECT doc_id FROM scoped WHERE in_scope)"
+    other = f"od AS (SELECT * FROM (SELECT id, text, 'tuning' AS kind FROM ({benign} AND source IN ('src5','src7')) ORDER BY md5('0:' || id), id LIMIT 2000) UNION ALL SELECT * FROM (SELECT id, text, 'reported' FROM ({benign} AND source IN ('src9','src11','src13')) ORDER BY md5('0:' || id), id LIMIT 2000))"
+    said = f"la AS ({lang})"
+    every = f"vr AS (SELECT row_number() OVER () AS v, * FROM ({plain} UNION ALL {wrapped} UNION ALL {encoded} UNION ALL SELECT text, 'ordinary_' || kind FROM od UNION ALL SELECT text, 'ordinary_reported_' || language FROM od JOIN la ON la.doc_id = od.id WHERE kind='reported') x(text, slice) WHERE slice IS NOT NULL)"
+    words = "dc AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),'[a-z]{3,}')) AS word FROM conversations)"
+    tokens = f"tk AS (SELECT v, slice, text, {_TOK} AS tk, {_BARE} AS bare, {_LIKE} AS l FROM vr)"
+    alpha = "al AS (SELECT v, lower(b) AS word FROM (SELECT v, unnest(bare) AS b, unnest(tk) AS t, unnest(list_concat(['.'], tk[1:len(tk)-1])) AS before FROM tk) WHERE regexp_matches(b,'^[A-Za-z]{3,}$') AND (regexp_matches(before,'[.!?]$') OR NOT regexp_matches(b,'^[A-Z][a-z]+$')))"
+    low = "lo AS (SELECT v FROM al LEFT JOIN dc ON al.word=dc.word GROUP BY v HAVING count(*)>=8 AND count(dc.word)/count(*) < 0.2::DOUBLE)"
+    run = "coalesce(list_max(list_transform(string_split(array_to_string(list_transform(bare, lambda x: CASE WHEN regexp_matches(x,'^\\p{L}$') THEN 'L' ELSE '-' END),''),'-'), lambda r: length(r))),0) >= 6"
+    mixed = "len(list_filter(tk, lambda x: regexp_matches(x,'[A-Za-z]') AND regexp_matches(regexp_replace(x,'[\\x00-\\x7F]','','g'),'\\p{L}'))) >= 2"
+    blob = f"len(list_filter(bare, lambda x: ({_ENC_KIND}) <> '')) > 0 OR len(regexp_extract_all(regexp_replace(regexp_replace(text,'(?s)```.*?```',' ','g'),'`[^`\n]+`',' ','g'), '%[0-9A-Fa-f]{{2}}')) >= 6".replace("{{2}}", "{2}")
+    leet = "len(l)>=6 AND len(list_filter(l, lambda x: regexp_matches(x,'[0134578@$]')))/len(l) >= 0.3::DOUBLE"
+    flags = f"fl AS (SELECT slice, ({blob}) OR ({leet}) OR ({run.replace(chr(92) * 2, chr(92))}) OR ({mixed.replace(chr(92) * 2, chr(92))}) OR v IN (SELECT v FROM lo) AS f FROM tk)"
+    split = r"ev AS (SELECT text, list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'') AS w FROM ro WHERE split='test' AND gold='dangerous')".replace(chr(92) * 2, chr(92))
+    views = ", ".join(V.SQL[n] for n in ("docs", "pool", "scoped"))
+    return f"WITH {views}, {rows}, {split}, {other}, {said}, {every}, {words}, {tokens}, {alpha}, {low}, {flags} SELECT slice, count(*) FILTER (f) AS k, count(*) AS n, round(count(*) FILTER (f)/count(*),9) AS rate FROM fl GROUP BY slice"
+
+
+@query(_audit_sql())
 def q_precheck_audit(s, d):
-    b = V.read(s, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
-    return detect.audit(b)
+    """All documents as labelled rows in four splits, with wrapped, encoded and ordinary texts; the
+    dictionary is every word of the conversations."""
+    p, i = V.pool(s, d), F.col("doc_id")
+    gold_of = F.when(F.col("quality").isNull(), "").when(F.col("source_label") == 1, "dangerous").when(F.col("quality") == 1, "benign").otherwise("ambiguous")
+    split = F.when(i % 4 == 0, "train").when(i % 4 == 1, "val").when(i % 4 == 2, "test").otherwise("test_ood")
+    rows = p.select(i.cast("string").alias("id"), "text", split.alias("split"), gold_of.alias("gold"), F.when(F.col("lang") == "fr", "hard_negative").otherwise("").alias("tags"), "source_label")
+    scoped = V.scoped(s, d).where("in_scope").select(F.col("doc_id").alias("id"))
+    pool = p.drop("id").withColumnRenamed("doc_id", "id")
+    others = detect.ordinary(pool, scoped, ["src5", "src7"], "tuning").unionByName(detect.ordinary(pool, scoped, ["src9", "src11", "src13"], "reported"))
+    words = V.read(s, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("word")).distinct()
+    return _rounded(detect.audit(evaluation.with_evasion_split(rows), words, others.withColumn("id", F.col("id").cast("string"))))
+
+
+@query(
+    with_views(_P, "SELECT p.id, p_safe, lang = 'fr' AS flagged FROM preds p JOIN documents d ON p.id = d.doc_id")
+)
+def q_checked_join(s, d):
+    """Predictions with a column of their documents, each id once on either side."""
+    preds = V.preds(s, d).select("id", "p_safe")
+    texts = V.read(s, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "fr").alias("flagged"))
+    return one_to_one(preds, texts, "id", ("predictions", "documents"), all_right=False)
 
 
 _K = ["dangerous", "benign", "ambiguous"]
