@@ -761,11 +761,14 @@ def q_suggestion_summary(s, d):
 
 @query()
 def q_ml_stage_a(s, d):
-    e = V.read(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).alias("y"), (F.col("vec_id") % 7 == 0).alias("is_dev"))
-    model, _ = calibrate.train_linear(e)
-    from pyspark.ml.functions import array_to_vector
-
-    return model.transform(e.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))).select("vec_id", F.col("prediction").cast("int").alias("predicted"))
+    """Seven values of C on a grouped dev fold, then logits and probabilities of every vector."""
+    y = F.col("label") % 3
+    e = V.read(s, d, "embeddings").select("vec_id", "embedding", y.alias("y"), F.array(*[(y == k).cast("double") for k in range(3)]).alias("target"), F.lit(1).alias("n"), y.cast("string").alias("cls"))
+    folds = sample.dev_fold(e.select(F.col("vec_id").alias("dup_group"), "n", "cls"), by_rows=False)
+    rows = e.join(folds.select(F.col("dup_group").alias("vec_id"), "is_dev"), "vec_id")
+    weights, c, _ = calibrate.train_linear(rows.where("y is not null and embedding is not null"))
+    scored = calibrate.probabilities(calibrate.linear_logits(e.select("vec_id", "embedding"), weights))
+    return scored.select("vec_id", F.lit(c).alias("chosen_c"), *[F.round(x, 4).alias(x) for x in (*calibrate.LOGITS, "p_safe", "p_dangerous", "p_unsure")])
 
 
 def _models(s, d):
