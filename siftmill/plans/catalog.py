@@ -13,6 +13,7 @@ from siftmill.operators import calibrate, dedupe, evaluation, gold, lexicon, met
 from siftmill.plans import views as V
 from siftmill.plans.views import with_views
 from siftmill.schema import gold_agreement, pool_problems
+from siftmill.sources import files
 from siftmill.sources.loaders import category_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +72,9 @@ def q_scope_reason_pivot(s, d):
 _HITS = "hits AS (SELECT source, unnest(h) AS keyword, len(h)=1 AS sole FROM scoped WHERE in_scope AND len(h)>0)"
 
 
-@query(with_views(["docs", "scoped"], f', {_HITS} SELECT keyword, count(*) AS "rows", count(*) FILTER (sole)/count(*) AS sole_hit_share FROM hits GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 8').replace(") , hits", "), hits"))
+@query(with_views(["docs", "scoped"], f', {_HITS} SELECT keyword, count(*) AS "rows", count(*) FILTER (sole)/count(*) AS sole_hit_share, CASE WHEN keyword IN ({", ".join(map(repr, V.STRONG))}) THEN \'strong\' WHEN keyword IN ({", ".join(map(repr, V.WEAK))}) THEN \'weak\' ELSE \'?\' END AS tier FROM hits GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 8').replace(") , hits", "), hits"))
 def q_keyword_frequency(s, d):
-    return lexicon.keyword_frequency(V.scoped(s, d), 8)
+    return lexicon.keyword_frequency(V.scoped(s, d), 8, lexicon=V.LEXICON)
 
 
 @query(
@@ -307,9 +308,18 @@ def q_temperature_grid(s, d):
     return calibrate.nll_grid(_logits(s, d), [0.5, 1.0, 2.0, 4.0]).withColumn("nll", F.round("nll", 7))
 
 
-@query()
+def _temperature_sql() -> str:
+    low, high = "ln(0.05::DOUBLE)", "ln(20.0::DOUBLE)"
+    out, ends = f"WITH {_E}", f"SELECT {low} AS a, {high} AS b"
+    for k in range(4):
+        out += f", b{k} AS ({ends}), g{k} AS (SELECT a + i*(b-a)/32 AS x, exp(a + i*(b-a)/32) AS t FROM b{k}, (SELECT unnest(range(0,33))::DOUBLE AS i)), l{k} AS (SELECT x, t, avg(ln(exp(e.a/t)+exp(e.b/t)+exp(e.c/t)) - CASE y WHEN 0 THEN e.a WHEN 1 THEN e.b ELSE e.c END/t) AS nll FROM e, g{k} GROUP BY x, t), w{k} AS (SELECT x, t FROM l{k} ORDER BY nll, t LIMIT 1)"
+        ends = f"SELECT greatest({low}, x - (b-a)/32) AS a, least({high}, x + (b-a)/32) AS b FROM b{k}, w{k}"
+    return out + " SELECT round(t,4) AS temperature FROM w3"
+
+
+@query(_temperature_sql())
 def q_temperature_fit(s, d):
-    return s.createDataFrame([(calibrate.fit_temperature(_logits(s, d)),)], "temperature double")
+    return s.createDataFrame([(round(calibrate.fit_temperature(_logits(s, d)), 4),)], "temperature double")
 
 
 _P = ["docs", "pool", "logits", "probs", "preds"]
@@ -628,6 +638,36 @@ def q_review_priority(s, d):
     return _merged(s, d).groupBy(rank.alias("queue_rank")).agg(F.count("*").alias("n"))
 
 
+_IN_SCOPE = "ha AND hb AND ga IN ('dangerous','benign','ambiguous') AND gb IN ('dangerous','benign','ambiguous')"
+
+
+@query(
+    f"WITH {V.SQL['passes']}, {_MERGE}, ag AS (SELECT * FROM m3 WHERE {_IN_SCOPE}), tn AS (SELECT count(*) AS n, count(*) FILTER (ga=gb) AS same FROM ag), ch AS (SELECT sum(a.n*b.n) AS pairs FROM (SELECT ga, count(*) AS n FROM ag GROUP BY ga) a JOIN (SELECT gb, count(*) AS n FROM ag GROUP BY gb) b ON ga=gb)"
+    " SELECT item, count(*)::DOUBLE AS value FROM (SELECT unnest(list_filter(['rows', CASE WHEN ha AND hb THEN 'both' WHEN ha OR hb THEN 'single' ELSE 'unlabeled' END, 'label:' || gold, 'priority:' || pr], lambda x: x IS NOT NULL)) AS item FROM m3) GROUP BY item"
+    " UNION ALL SELECT 'raw_agreement', round(same/n,9) FROM tn UNION ALL SELECT 'kappa', round((same/n - pairs/(n*n))/(1 - pairs/(n*n)),9) FROM tn, ch"
+)
+def q_merge_summary(s, d):
+    return _rounded(gold.merge_summary(_merged(s, d)))
+
+
+@query(
+    f"WITH {V.SQL['docs']}, {V.SQL['pool']}, {V.SQL['passes']}, {_MERGE}, sr AS (SELECT doc_id, source FROM pool) SELECT m3.id, ga AS gold, ta AS tags, source, 1 AS labeler_pass FROM m3 JOIN sr ON m3.id=doc_id WHERE ha UNION ALL SELECT m3.id, gb, tb, source, 2 FROM m3 JOIN sr ON m3.id=doc_id WHERE hb"
+)
+def q_pass_gold(s, d):
+    m = _merged(s, d)
+    both = gold.pass_gold(m, 1, "2024-01-01").unionByName(gold.pass_gold(m, 2, "2024-01-01"))
+    return both.select("id", "gold", "tags", "source", "labeler_pass")
+
+
+_REFS = {"_ref_gold": files.GOLD_WITH_SCOPE, "_ref_tags": [files.HARD_NEGATIVE, *files.CAT_TAGS, *files.HN_TAGS]}
+
+
+@query("SELECT doc_id AS id, '' AS gold, source, " + ", ".join(f"coalesce({v!r}[p], '') AS {k}" for k, v in _REFS.items()) + " FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS p FROM documents)")
+def q_label_sheet(s, d):
+    sheet = files.label_sheet(V.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("val").alias("split"), "source"))
+    return sheet.select("id", "gold", "source", *_REFS)
+
+
 @query(f"WITH {V.SQL['docs']}, {V.SQL['pool']}, {V.SQL['t1']} SELECT source, source_label, count(*) AS n, round(avg(p),3) AS mean_p, round(quantile_cont(p,0.5),3) AS median_p FROM t1 GROUP BY source, source_label")
 def q_teacher_summary(s, d):
     p, one, _ = V.teachers(s, d)

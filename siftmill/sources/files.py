@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from siftmill.schema import CAT_TAGS, GOLD_WITH_SCOPE, HARD_NEGATIVE, HN_TAGS
 
 FORMATS = {"parquet": ("*.parquet",), "csv": ("*.csv",), "json": ("*.json", "*.jsonl", "*.jsonl.gz", "*.json.gz")}
 CSV = {"header": True, "multiLine": True, "escape": '"'}
@@ -187,6 +192,41 @@ def label_tasks(sample: DataFrame) -> DataFrame:
     return sample.select(F.to_json(F.struct(F.struct(*[F.col(c) for c in ("id", "text", "split") if c in sample.columns]).alias("data"))).alias("value"))
 
 
+def label_sheet(sample: DataFrame, key: str = "id") -> DataFrame:
+    """A sheet to label by hand: id, text, split, what is known of the source, blank gold, tags and
+    notes, and the allowed labels and tags down the first rows, for the validation of cells.
+    Rows go by ``key``; only as many as there are allowed values are put in order."""
+    lists = {"_ref_gold": GOLD_WITH_SCOPE, "_ref_tags": [HARD_NEGATIVE, *CAT_TAGS, *HN_TAGS]}
+    first = sample.select(key).orderBy(key).limit(max(map(len, lists.values())))
+    places = first.withColumn("_place", F.row_number().over(Window.orderBy(key)))
+    known = [c for c in ("source", "source_label") if c in sample.columns]
+    rows = sample.join(F.broadcast(places), key, "left")
+    padded = [F.coalesce(F.get(F.array(*map(F.lit, values)), F.col("_place") - 1), F.lit("")).alias(name) for name, values in lists.items()]
+    return rows.select(key, "text", "split", *known, *[F.lit("").alias(c) for c in ("gold", "tags", "notes", "labeler_pass", "labeled_at")], *padded)
+
+
+def label_config() -> str:
+    """The annotation tool's interface for the tasks of ``label_tasks``: a label, the tags that it
+    may carry, notes. Its names are those that ``read_label_export`` reads."""
+    view = ElementTree.Element("View")
+    ElementTree.SubElement(view, "Text", name="text", value="$text")
+
+    def choices(name: str, title: str, values: list[str], only: str | None = None, **more: str) -> None:
+        shown = {"visibleWhen": "choice-selected", "whenTagName": "gold", "whenChoiceValue": only} if only else {}
+        ElementTree.SubElement(view, "Header", value=title, **shown)
+        group = ElementTree.SubElement(view, "Choices", name=name, toName="text", showInline="true", **more, **shown)
+        for value in values:
+            ElementTree.SubElement(group, "Choice", value=value)
+
+    choices("gold", "Label", GOLD_WITH_SCOPE, choice="single", required="true")
+    choices("cat_tags", "Kind of danger", CAT_TAGS, "dangerous", choice="multiple")
+    choices("hn_tags", "Kind of hard negative", HN_TAGS, "benign", choice="multiple")
+    ElementTree.SubElement(view, "Header", value="Notes")
+    ElementTree.SubElement(view, "TextArea", name="notes", toName="text", rows="3", maxSubmissions="1", editable="true")
+    ElementTree.indent(view)
+    return ElementTree.tostring(view, encoding="unicode") + "\n"
+
+
 def read_label_export(spark: SparkSession, path: str, default_pass: int, default_date: str) -> DataFrame:
     """Annotation-tool export: the last annotation of each task wins."""
     item = "struct<from_name:string,value:struct<choices:array<string>,text:array<string>>>"
@@ -218,6 +258,12 @@ def dictionary_words(lines: DataFrame, extra: list[str] = ()) -> DataFrame:
     return words.distinct()
 
 
+def words_digest(words: DataFrame) -> str:
+    """SHA-256 of the words in order, a line each, as their file would have it. A dictionary is small."""
+    told = "".join(r["word"] + "\n" for r in words.select("word").orderBy("word").toLocalIterator())
+    return hashlib.sha256(told.encode()).hexdigest()
+
+
 def write_sidecar(spark: SparkSession, path: str, figures: dict) -> None:
     write_json(spark, path, figures)
 

@@ -1,7 +1,9 @@
 """Scoring that goes on after a failure, and appends with backup and new columns."""
 
+import hashlib
 import json
 import os
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.errors import PySparkException
@@ -55,3 +57,14 @@ def test_append_keeps_one_backup_and_fills_columns(spark, tmp_path):
     os.rename(path, f"{path}.before")
     assert files.append_new(new, path, fill=fill) == 0 and spark.read.parquet(path).count() == 3
     assert json.loads(json.dumps(sorted(r["id"] for r in spark.read.parquet(path).collect()))) == ["a", "b", "c"]
+
+
+def test_label_sheet_config_and_dictionary_digest(spark):
+    sample = spark.createDataFrame([(f"i{k:02d}", "text", "val") for k in range(30)], "id string, text string, split string")
+    rows = files.label_sheet(sample).orderBy("id").collect()
+    assert [r["_ref_gold"] for r in rows][:5] == ["dangerous", "benign", "ambiguous", "out_of_scope", ""]
+    assert [r["_ref_tags"] for r in rows][:2] == ["hard_negative", "cat:malware_dev"] and rows[-1]["_ref_tags"] == "" and {r["gold"] for r in rows} == {""}
+    view = ElementTree.fromstring(files.label_config())
+    assert {x.get("name"): len(x) for x in view.iter("Choices")} == {"gold": 4, "cat_tags": 7, "hn_tags": 7}
+    words = files.dictionary_words(spark.createDataFrame([("b/S",), ("beta/XY",), ("alpha",), ("Alpha",)], "value string"), ["log"])
+    assert files.words_digest(words) == hashlib.sha256(b"alpha\nbeta\nlog\n").hexdigest()
