@@ -233,12 +233,14 @@ def key_of(doc_id: int | None, copy: int) -> np.uint64:
     """The key of a document, as ``_keyed`` gives it."""
     import xxhash
 
-    named = xxhash.xxh64_intdigest("null" if doc_id is None else str(doc_id), 42)
+    named = xxhash.xxh64_intdigest("null" if doc_id is None else struct.pack("<q", doc_id), 42)
     return np.uint64(xxhash.xxh64_intdigest(struct.pack("<i", copy), named))
 
 
 def _keyed(df: DataFrame, buckets: int) -> DataFrame:
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy"))
+    """The hash of one whole number is one to one, and so is that of a copy number over it:
+    rows of different doc_ids and one copy number never share a key."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("null"), F.col("copy"))).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.col("copy")))
     return df.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
 
 
