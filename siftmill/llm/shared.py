@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,16 +95,22 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes | Iterable[bytes]) -> None:
-    """Write a whole file under a private name, then rename it: readers see all or
-    nothing. A file that is there already, written by a repeated or speculative task,
-    has equal bytes; stores that do not rename over it leave it in place."""
+@contextmanager
+def writing(uri: str) -> Iterator:
+    """A stream into a file that bears a private name until the block ends, and is then
+    renamed: readers see all or nothing, and a block that fails leaves no file. A file that
+    is there already, written by a repeated or speculative task, has equal bytes; stores
+    that do not rename over it leave it in place."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     private = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(private, compression=None) as out:
-        for part in [data] if isinstance(data, bytes) else data:
-            out.write(part)
+    try:
+        with fs.open_output_stream(private, compression=None) as out:
+            yield out
+    except BaseException:
+        if fs.get_file_info(private).type.name == "File":
+            fs.delete_file(private)
+        raise
     try:
         fs.move(private, path)
     except OSError:
@@ -112,12 +119,23 @@ def write_file(uri: str, data: bytes | Iterable[bytes]) -> None:
         fs.delete_file(private)
 
 
+def write_file(uri: str, data: bytes) -> None:
+    with writing(uri) as out:
+        out.write(data)
+
+
 def read_file(uri: str) -> bytes:
     fs, path = filesystem(uri)
     with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
+def reading(uri: str):
+    """A stream over a file's bytes, closed at the end of a ``with`` block."""
+    fs, path = filesystem(uri)
+    return fs.open_input_stream(path, compression=None)
+
+
 def read_range(uri: str, start: int, length: int) -> bytes:
     """So many bytes of a file from a place in it; fewer where it ends."""
     fs, path = filesystem(uri)

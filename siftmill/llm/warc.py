@@ -1,7 +1,8 @@
 """WARC output with a Merkle fixity audit of replicas (operator 3).
 
-Archives are WARC 1.0 files of one gzip member per record, one file per task,
-written with an index of the records' offset ranges. For every replica each file
+Archives are WARC 1.0 files of one gzip member per record, cut at ``FILE_BYTES`` and
+written with an index of the records' offset ranges. Files are written, hashed and read
+as streams: a task holds one record and its index, however long the file. For every replica each file
 gets a Merkle tree: a leaf digests one record's bytes, an inner node its
 children's digests together with the offset range they span, ``FAN`` children a
 node, up to the file's root; one digest over all file roots stands for the replica. The
@@ -18,10 +19,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -29,9 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import materialize, new_path, read_file, write_file
+from siftmill.llm.shared import materialize, new_path, reading, writing
 
 FAN = 16
+#: Compressed bytes after which a task begins its next file, and index rows told at once.
+FILE_BYTES, INDEX_ROWS = 256 << 20, 20_000
+#: Bytes read at once.
+CHUNK = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -48,40 +56,60 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     return gzip.compress(head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n", 6, mtime=0)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes: header fields, body and digest check."""
+def parse(source: BinaryIO) -> Iterator[dict]:
+    """The records of a stream of WARC bytes: header fields, body and digest check."""
+    data = source.read(CHUNK)
     while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        member, raw = zlib.decompressobj(31), []
+        while data and not member.eof:
+            raw.append(member.decompress(data))
+            data = member.unused_data if member.eof else source.read(CHUNK)
+        data = data or source.read(CHUNK)
+        head, _, rest = b"".join([*raw, member.flush()]).partition(b"\r\n\r\n")
         fields = dict(line.partition(": ")[::2] for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         body = rest[: int(fields["Content-Length"])]
         yield fields | {"body": body, "intact": "sha256:" + hashlib.sha256(body).hexdigest() == fields["WARC-Block-Digest"]}
 
 
-def write_archive(pages: DataFrame, folders: list[str], damage: Callable[[int, int | None], bool] | None = None) -> DataFrame:
+def write_archive(pages: DataFrame, folders: list[str], damage: Callable[[int, int | None], bool] | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to each folder. Returns the index
     (file, ordinal, page_id, offset, length). ``damage(replica, page_id)``, for trials
     of the audit, flips a bit in the middle of the chosen records of a replica."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
-        parts: list[bytes] = []
-        ids: list[int | None] = []
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in frames:
             for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                ids.append(None if pd.isna(page_id) else int(page_id))
-                parts.append(record(ids[-1], url, html))
-        if not parts:
-            return
-        for k, folder in enumerate(folders):
-            out = parts
-            if damage:
-                out = [_flip(p) if damage(k, i) else p for i, p in zip(ids, parts)]
-            write_file(f"{folder}/{name}", b"".join(out))
-        lens = np.array([len(p) for p in parts], np.int64)
-        yield pd.DataFrame({"file": name, "ordinal": np.arange(len(parts)), "page_id": pd.array(ids, "Int64"), "offset": np.cumsum(lens) - lens, "length": lens})
+                yield None if pd.isna(page_id) else int(page_id), url, html
+
+    def told(name: str, ids: list[int | None], lens: list[int], ordinal: int, offset: int) -> pd.DataFrame:
+        length = np.array(lens, np.int64)
+        return pd.DataFrame({"file": name, "ordinal": ordinal + np.arange(len(ids)), "page_id": pd.array(ids, "Int64"), "offset": offset + np.cumsum(length) - length, "length": length})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = rows(frames)
+        first = next(left, None)
+        part = 0
+        while first is not None:
+            name = f"pages-{TaskContext.get().partitionId():06d}-{part:04d}.warc.gz"
+            part += 1
+            ids: list[int | None] = []
+            lens: list[int] = []
+            ordinal = offset = at = 0
+            with ExitStack() as files:
+                outs = [files.enter_context(writing(f"{folder}/{name}")) for folder in folders]
+                while first is not None and at < file_bytes:
+                    data = record(*first)
+                    for k, out in enumerate(outs):
+                        out.write(_flip(data) if damage and damage(k, first[0]) else data)
+                    ids.append(first[0])
+                    lens.append(len(data))
+                    at += len(data)
+                    first = next(left, None)
+                    if len(ids) == INDEX_ROWS:
+                        yield told(name, ids, lens, ordinal, offset)
+                        ordinal, offset, ids, lens = ordinal + len(ids), at, [], []
+            if ids:
+                yield told(name, ids, lens, ordinal, offset)
 
     thin = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return materialize(thin.mapInPandas(run, "file string, ordinal long, page_id long, offset long, length long"), "warc-index")
@@ -98,16 +126,34 @@ def read_archive(spark: SparkSession, folder: str, files: list[str]) -> DataFram
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for name in pdf["file"]:
-                got = [(None if r["Page-ID"] == "-" else int(r["Page-ID"]), r["WARC-Target-URI"], r["body"].decode("utf-8", "surrogatepass"), r["intact"]) for r in parse(read_file(f"{folder}/{name}"))]
-                yield pd.DataFrame(got, columns=["page_id", "url", "html", "intact"]).astype({"page_id": "Int64"})
+                with reading(f"{folder}/{name}") as source:
+                    got, held = [], 0
+                    for r in parse(source):
+                        got.append((None if r["Page-ID"] == "-" else int(r["Page-ID"]), r["WARC-Target-URI"], r["body"].decode("utf-8", "surrogatepass"), r["intact"]))
+                        held += len(r["body"])
+                        if held > CHUNK or len(got) == INDEX_ROWS:
+                            yield _pages(got)
+                            got, held = [], 0
+                if got:
+                    yield _pages(got)
 
     names = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)))
     return names.mapInPandas(run, "page_id long, url string, html string, intact boolean")
 
 
-def tree(data: bytes, offsets: np.ndarray, lengths: np.ndarray) -> list[list[bytes]]:
+def _pages(got: list[tuple]) -> pd.DataFrame:
+    ids, url, html, intact = zip(*got)
+    return pd.DataFrame({"page_id": pd.array(ids, "Int64"), "url": url, "html": html, "intact": intact})
+
+
+def leaves(source: BinaryIO, lengths: np.ndarray) -> list[bytes]:
+    """Digests of consecutive records of a stream; what a cut-off file lacks is empty."""
+    return [hashlib.sha256(b"\0" + source.read(n)).digest() for n in lengths.tolist()]
+
+
+def tree(leaves: list[bytes], offsets: np.ndarray, lengths: np.ndarray) -> list[list[bytes]]:
     """Levels of a file's Merkle tree, leaves first, root last."""
-    levels = [[hashlib.sha256(b"\0" + data[o : o + n]).digest() for o, n in zip(offsets.tolist(), lengths.tolist())]]
+    levels = [leaves]
     ends = offsets + lengths
     span = 1
     while len(levels[-1]) > 1:
@@ -126,12 +172,13 @@ def trees(index: DataFrame, folder: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
-        name = pdf["file"].iloc[0]
+        name, offsets, lengths = pdf["file"].iloc[0], pdf["offset"].to_numpy(), pdf["length"].to_numpy()
         try:
-            data = read_file(f"{folder}/{name}")
+            with reading(f"{folder}/{name}") as source:
+                digests = leaves(source, lengths)
         except FileNotFoundError:
-            data = b""
-        levels = tree(data, pdf["offset"].to_numpy(), pdf["length"].to_numpy())
+            digests = leaves(io.BytesIO(), lengths)
+        levels = tree(digests, offsets, lengths)
         rows = [(name, k, i, len(levels) - 1, d) for k, level in enumerate(levels) for i, d in enumerate(level)]
         return pd.DataFrame(rows, columns=["file", "level", "node", "top", "digest"])
 
