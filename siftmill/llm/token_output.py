@@ -7,7 +7,9 @@ shards follow each other in that order too. ``index-NNNNNN.mph`` maps the keys o
 one hash bucket to (shard, offset, length). It holds a minimal perfect hash of
 levels of bit arrays (Limasset et al., 2017): a key's slot is the rank of the
 first bit it owns alone, found in a constant expected number of probes. A stored
-32-bit fingerprint per slot turns away keys that were never indexed. ``table.json``
+32-bit fingerprint per slot turns away keys that were never indexed. Keys are 64-bit hashes:
+a row whose key an earlier row has stands at the file's end, under its doc_id and copy
+number in full. ``table.json``
 has the folder's totals and the number of hash buckets.
 
 Defined cases: null text is an empty document (its end id alone); a null doc_id
@@ -22,6 +24,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import materialize, new_path, read_file, read_range, write_file
+from siftmill.llm.shared import materialize, new_path, read_file, read_range, write_file, writing
 from siftmill.llm.tokenize import encoder
 
 END_ID = 1
@@ -39,6 +42,8 @@ BUCKET = 50_000
 STRETCH = 4_000_000
 _HEAD = 8
 _TABLE = "table.json"
+_ENTRY = np.dtype([("shard", "<u4"), ("length", "<u4"), ("offset", "<u8")])
+_TWIN = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("copy", "<i4"), *_ENTRY.descr])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,12 +138,12 @@ class PerfectHash:
 class Table:
     """Keyed access to a folder of ids from any one process. A key costs a few reads of
     fixed size: the bits it probes (a constant number expected), its fingerprint, its
-    entry, and its ids; only the folder's totals and index heads are kept."""
+    entry, and its ids; only the folder's totals, index heads and rows of shared keys are kept."""
 
     def __init__(self, folder: str):
         self.folder = folder
         self.buckets = json.loads(read_file(f"{folder}/{_TABLE}"))["buckets"]
-        self.heads: dict[int, tuple[int, list[int]]] = {}
+        self.heads: dict[int, tuple[int, list[int], dict]] = {}
 
     def entry(self, doc_id: int | None, copy: int = 0) -> tuple[int, int, int] | None:
         """(shard, offset, length) of a key; None where it is not in the index."""
@@ -150,8 +155,13 @@ class Table:
                 n_levels, n = struct.unpack("<II", read_range(path, 0, 8))
             except FileNotFoundError:  # no key fell into this bucket
                 return None
-            self.heads[bucket] = n, np.frombuffer(read_range(path, 8, 4 * n_levels), "<u4").tolist()
-        n, sizes = self.heads[bucket]
+            sizes = np.frombuffer(read_range(path, 8, 4 * n_levels), "<u4").tolist()
+            end = 8 + 4 * n_levels + sum(-(-z // PerfectHash.BLOCK) for z in sizes) * PerfectHash.STRIDE + (4 + _ENTRY.itemsize) * n
+            count = struct.unpack("<I", read_range(path, end, 4))[0]
+            self.heads[bucket] = n, sizes, _twins(read_range(path, end + 4, count * _TWIN.itemsize))
+        n, sizes, twins = self.heads[bucket]
+        if (doc_id, copy) in twins:
+            return twins[doc_id, copy]
         at, slot = 8 + 4 * len(sizes), -1
         asked = np.array([key])
         for level, size in enumerate(sizes):
@@ -165,7 +175,7 @@ class Table:
             at += -(-size // PerfectHash.BLOCK) * PerfectHash.STRIDE
         if slot < 0 or struct.unpack("<I", read_range(path, at + 4 * slot, 4))[0] != int(PerfectHash._print(asked)[0]):
             return None
-        shard, length, offset = struct.unpack("<IIQ", read_range(path, at + 4 * n + 16 * slot, 16))
+        shard, length, offset = struct.unpack("<IIQ", read_range(path, at + 4 * n + _ENTRY.itemsize * slot, _ENTRY.itemsize))
         return shard, offset, length
 
     def ids(self, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
@@ -185,23 +195,25 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, keeps_space:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, keeps_space)
         width = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
-        shard, parts, at, last, copy = TaskContext.get().partitionId(), [], 0, (), 0
-        for batch in batches:
-            ids, starts = enc.encode(batch.column(1), END_ID)
-            parts.append(ids.astype(width))
-            copies = []
-            for doc_id in batch.column(0).to_pylist():
-                copy = copy + 1 if last == (doc_id,) else 0
-                last = (doc_id,)
-                copies.append(copy)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(copies, pa.int32()), pa.array(np.full(len(copies), shard), pa.int32()), pa.array(starts[:-1] + at, pa.int64()), pa.array(np.diff(starts), pa.int64())],
-                names=["doc_id", "copy", "shard", "offset", "n_tokens"],
-            )
-            at += len(ids)
-        enc.rest()
-        if parts:
-            write_file(f"{folder}/shard-{shard:06d}.ids", b"SMIDS" + bytes([int(width[2]), 0, 0]) + b"".join(p.tobytes() for p in parts))
+        shard, out, at, last, copy = TaskContext.get().partitionId(), None, 0, (), 0
+        with ExitStack() as files:
+            for batch in batches:
+                ids, starts = enc.encode(batch.column(1), END_ID)
+                if out is None:
+                    out = files.enter_context(writing(f"{folder}/shard-{shard:06d}.ids"))
+                    out.write(b"SMIDS" + bytes([int(width[2]), 0, 0]))
+                out.write(ids.astype(width))
+                copies = []
+                for doc_id in batch.column(0).to_pylist():
+                    copy = copy + 1 if last == (doc_id,) else 0
+                    last = (doc_id,)
+                    copies.append(copy)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(copies, pa.int32()), pa.array(np.full(len(copies), shard), pa.int32()), pa.array(starts[:-1] + at, pa.int64()), pa.array(np.diff(starts), pa.int64())],
+                    names=["doc_id", "copy", "shard", "offset", "n_tokens"],
+                )
+                at += len(ids)
+            enc.rest()
 
     # ranges split on the text too, so that a repeated doc_id does not make one large
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
@@ -244,61 +256,79 @@ def _keyed(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
 
 
+def _twins(data: bytes) -> dict[tuple[int | None, int], tuple[int, int, int]]:
+    """Rows that share a key with another: (doc_id, copy) -> (shard, offset, length)."""
+    rows = np.frombuffer(data, _TWIN)
+    return {(r["doc_id"].item() if r["known"] else None, r["copy"].item()): (r["shard"].item(), r["offset"].item(), r["length"].item()) for r in rows}
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[n].to_numpy() for n in names]
+
+
 def write_index(manifest: DataFrame, folder: str, buckets: int) -> DataFrame:
     """Build one perfect hash file per bucket of keys: (bucket, n_keys)."""
 
-    def build(pdf):
-        import pandas as pd
-
-        keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
+    def build(table: pa.Table) -> pa.Table:
+        all_keys = table["key"].to_numpy().view(np.uint64)
+        first = np.zeros(len(all_keys), bool)
+        first[np.unique(all_keys, return_index=True)[1]] = True
+        keys, own, twins = all_keys[first], table.filter(pa.array(first)), table.filter(pa.array(~first))
         hashed = PerfectHash.build(keys)
         slot = hashed.find(keys)
-        rows = np.zeros(len(keys), [("shard", "<u4"), ("length", "<u4"), ("offset", "<u8")])
-        rows["shard"][slot], rows["length"][slot], rows["offset"][slot] = pdf["shard"], pdf["n_tokens"], pdf["offset"]
-        bucket = int(pdf["bucket"].iloc[0])
-        write_file(f"{folder}/index-{bucket:06d}.mph", hashed.to_bytes() + rows.tobytes())
-        return pd.DataFrame({"bucket": [bucket], "n_keys": [len(keys)]})
+        rows = np.zeros(len(keys), _ENTRY)
+        rows["shard"][slot], rows["length"][slot], rows["offset"][slot] = _columns(own, "shard", "n_tokens", "offset")
+        more = np.zeros(len(twins), _TWIN)
+        more["known"], more["doc_id"] = twins["doc_id"].is_valid().to_numpy(), twins["doc_id"].fill_null(0).to_numpy()
+        more["copy"], more["shard"], more["length"], more["offset"] = _columns(twins, "copy", "shard", "n_tokens", "offset")
+        bucket = table["bucket"][0].as_py()
+        write_file(f"{folder}/index-{bucket:06d}.mph", hashed.to_bytes() + rows.tobytes() + struct.pack("<I", len(more)) + more.tobytes())
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "n_keys": pa.array([len(all_keys)], pa.int64())})
 
-    made = _keyed(manifest, buckets).select("key", "bucket", "shard", "offset", "n_tokens")
-    return materialize(made.groupBy("bucket").applyInPandas(build, "bucket int, n_keys long"), "index")
+    # equal keys of one bucket in one order, so that a repeated task writes equal bytes
+    made = _keyed(manifest, buckets).select("doc_id", "copy", "key", "bucket", "shard", "offset", "n_tokens")
+    return materialize(made.groupBy("bucket").applyInArrow(lambda t: build(t.sort_by([("shard", "ascending"), ("offset", "ascending")])), "bucket int, n_keys long"), "index")
 
 
 def find(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
     """Look keys (doc_id, copy; ``start`` goes along) up in the index: shard, offset and
     length. Keys that were never indexed give no row."""
 
-    def look(pdf):
-        data = read_file(f"{folder}/index-{int(pdf['bucket'].iloc[0]):06d}.mph")
+    def look(table: pa.Table) -> pa.Table:
+        data = read_file(f"{folder}/index-{table['bucket'][0].as_py():06d}.mph")
         hashed, at = PerfectHash.from_bytes(data)
-        rows = np.frombuffer(data, [("shard", "<u4"), ("length", "<u4"), ("offset", "<u8")], offset=at)
-        slot = hashed.find(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        out = pdf[["doc_id", "copy", "start"]].copy()
-        for name in ("shard", "offset", "length"):
-            out[name] = rows[name][slot].astype(np.int64)
-        return out[slot >= 0]
+        end = at + _ENTRY.itemsize * len(hashed.prints)
+        rows, twins = np.frombuffer(data[at:end], _ENTRY), _twins(data[end + 4 :])
+        slot = hashed.find(table["key"].to_numpy().view(np.uint64))
+        shard, offset, length = (np.where(slot >= 0, rows[n][slot].astype(np.int64), -1) for n in ("shard", "offset", "length"))
+        if twins:
+            for i, named in enumerate(zip(table["doc_id"].to_pylist(), table["copy"].to_pylist())):
+                if named in twins:
+                    shard[i], offset[i], length[i] = twins[named]
+        out = table.select(["doc_id", "copy", "start"])
+        for name, column in (("shard", shard), ("offset", offset), ("length", length)):
+            out = out.append_column(name, pa.array(column))
+        return out.filter(pa.array(shard >= 0))
 
     keyed = _keyed(keys, buckets).select("doc_id", "copy", "start", "key", "bucket")
-    return keyed.groupBy("bucket").applyInPandas(look, "doc_id long, copy int, start long, shard long, offset long, length long")
+    return keyed.groupBy("bucket").applyInArrow(look, "doc_id long, copy int, start long, shard long, offset long, length long")
 
 
 def read_back(found: DataFrame, folder: str) -> DataFrame:
     """Read the ids of found keys (with ``start``) from the shards and digest them, a
     bounded stretch of a shard at a time."""
 
-    def read(pdf):
-        path = f"{folder}/shard-{int(pdf['shard'].iloc[0]):06d}.ids"
+    def read(table: pa.Table) -> pa.Table:
+        path = f"{folder}/shard-{table['shard'][0].as_py():06d}.ids"
         width = read_range(path, 0, _HEAD)[5]
-        pdf = pdf.sort_values("offset")
-        offset, length = pdf["offset"].to_numpy(), pdf["length"].to_numpy()
-        stretch = (offset - offset[0]) // STRETCH
-        crc = []
-        for k in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(stretch)) + 1):
-            low, high = offset[k[0]], (offset[k] + length[k]).max()
-            ids = np.frombuffer(read_range(path, _HEAD + width * low, width * (high - low)), f"<u{width}").astype("<u4")
-            crc += [zlib.crc32(ids[o : o + n]) for o, n in zip(offset[k] - low, length[k])]
-        return pdf[["doc_id", "copy", "start"]].assign(n_tokens=length, ids_crc32=crc)
-
-    return found.groupBy("shard").applyInPandas(read, "doc_id long, copy int, start long, n_tokens long, ids_crc32 long")
+        offset, length = _columns(table, "offset", "length")
+        low, high = offset.min(), (offset + length).max()
+        ids = np.frombuffer(read_range(path, _HEAD + width * low, width * (high - low)), f"<u{width}")
+        crc = [zlib.crc32(ids[o : o + n].astype("<u4")) for o, n in zip(offset - low, length)]
+        return table.select(["doc_id", "copy", "start"]).append_column("n_tokens", pa.array(length)).append_column("ids_crc32", pa.array(crc, pa.int64()))
+
+    placed = found.withColumn("stretch", F.expr(f"offset div {STRETCH}"))
+    return placed.groupBy("shard", "stretch").applyInArrow(read, "doc_id long, copy int, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None, keeps_space: bool = False) -> DataFrame:
