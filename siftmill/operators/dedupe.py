@@ -10,6 +10,9 @@ from siftmill.functions.text import base_hash, jaccard, shingles
 from siftmill.operators.lineage import cut
 
 MODULUS = 2147483647
+#: Nodes of a bucket whose pairs are all compared at once; beyond it, leaders chosen before
+#: the pairs that are left, and nodes of a block of those.
+SMALL, LEADERS, BLOCK = 64, 3, 1_000
 
 
 def rank_in(value: Column, order: list[str]) -> Column:
@@ -60,11 +63,19 @@ def signatures(df: DataFrame, k: int = 5, perms: int = 32, seed: int = 42, norm:
     return hashes.groupBy(key).agg(*[m.alias(f"m{i}") for i, m in enumerate(least)]).select(key, F.array(*[f"m{i}" for i in range(perms)]).alias("sig"))
 
 
+def buckets(signed: DataFrame, perms: int = 32, count: int = 8, key: str = "id") -> DataFrame:
+    """(k, band, key): the buckets of each row."""
+    return signed.select(F.col(key).alias("k"), F.explode(bands(F.col("sig"), perms, count)).alias("b")).select("k", "b.band", "b.key")
+
+
 def candidates(signed: DataFrame, perms: int = 32, count: int = 8, key: str = "id") -> DataFrame:
-    """Distinct (a, b), a < b, sharing a band. Rows of equal shingles should be
-    collapsed first, as ``near_duplicate_groups`` does, so that buckets stay small."""
-    each = signed.select(F.col(key).alias("k"), F.explode(bands(F.col("sig"), perms, count)).alias("b")).select("k", "b.band", "b.key")
-    left, right = each.withColumnRenamed("k", "a"), each.withColumnRenamed("k", "b")
+    """Distinct (a, b), a < b, sharing a band: all of them, which is the square of a bucket.
+    ``links`` finds what joins groups without it."""
+    return _meeting(buckets(signed, perms, count, key))
+
+
+def _meeting(each: DataFrame) -> DataFrame:
+    left, right = (each.select(F.col("k").alias(name), "band", "key") for name in ("a", "b"))
     return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
@@ -91,14 +102,55 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame
             return labels.select(F.col("n").alias(key), F.col("l").alias("dup_group"))
 
 
-def near_duplicate_groups(df: DataFrame, k: int = 5, perms: int = 32, count: int = 8, threshold: float = 0.8, seed: int = 42, norm: str = "norm", key: str = "id") -> DataFrame:
+def links(nodes: DataFrame, perms: int = 32, count: int = 8, threshold: float = 0.8, key: str = "n", small: int = SMALL) -> DataFrame:
+    """Verified pairs (a, b) that give the same components as all verified pairs sharing a band.
+
+    Buckets of at most ``small`` nodes are compared in all pairs. A larger one is compared
+    with a few leaders, picked by hash, so that a large family mostly hangs together after
+    the first; nodes of one component need no more comparing, and a bucket that lies in one
+    component is done. What is left between components of a bucket is compared in full,
+    a block of its nodes in a task."""
+    each = buckets(nodes, perms, count, key)
+    sizes = each.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    each = cut(each.join(sizes, ["band", "key"]))
+    close = pairs(nodes, _meeting(each.where(F.col("size") <= small)), threshold, key).select("a", "b")
+    large = each.where(F.col("size") > small)
+    if large.isEmpty():
+        return close
+    close = cut(close)
+    for turn in range(LEADERS):
+        large = _apart(large, close)
+        if large.isEmpty():
+            return close
+        heads = large.groupBy("band", "key").agg(F.min_by(F.struct("k", "label"), F.xxhash64("k", F.lit(turn))).alias("head"))
+        star = large.join(heads, ["band", "key"]).where("label <> head.label").select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct()
+        close = cut(close.unionByName(pairs(nodes, star, threshold, key).select("a", "b")))
+    large = _apart(large, close)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    one = large.select("band", "key", F.col("k").alias("b"), F.col("label").alias("lb"), F.pmod(F.xxhash64("k"), blocks).alias("at"))
+    every = large.select("band", "key", F.col("k").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("at"))
+    rest = every.join(one, ["band", "key", "at"]).where("a < b AND la <> lb").select("a", "b").distinct()
+    return close.unionByName(pairs(nodes, rest, threshold, key).select("a", "b"))
+
+
+def _apart(large: DataFrame, close: DataFrame) -> DataFrame:
+    """Buckets whose nodes lie in several components of the links so far, with their labels."""
+    linked = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    labels = components(close, linked, "k")
+    told = large.select("k", "band", "key", "size").join(labels, "k", "left").select("k", "band", "key", "size", F.coalesce("dup_group", "k").alias("label"))
+    several = told.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return cut(told.join(several.select("band", "key"), ["band", "key"], "left_semi"))
+
+
+def near_duplicate_groups(df: DataFrame, k: int = 5, perms: int = 32, count: int = 8, threshold: float = 0.8, seed: int = 42, norm: str = "norm", key: str = "id", small: int = SMALL) -> DataFrame:
     """``df`` plus dup_group: the smallest id of the component of verified pairs.
-    Rows of equal shingles are one node, so a group of copies costs one row."""
+    Rows of equal shingles are one node, so a group of copies costs one row, and a family
+    of near copies is compared with its leaders, not in all pairs (``links``)."""
     signed = with_signatures(df, k, perms, seed, norm, key)
     signed = cut(signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh"), "\x1f"))))
     firsts = signed.groupBy("same").agg(F.min(key).alias("first"))
     nodes = cut(signed.join(firsts, "same").where(F.col(key) == F.col("first")).select(F.col("first").alias("n"), "sh", "sig"))
-    found = cut(pairs(nodes, candidates(nodes, perms, count, "n"), threshold, "n").select("a", "b"))
+    found = cut(links(nodes, perms, count, threshold, "n", small))
     # most nodes have no edge, and are their own groups
     linked = found.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     groups = components(found, linked, "n")
