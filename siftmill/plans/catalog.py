@@ -238,9 +238,10 @@ def q_easy_benign(s, d):
     return sample.easy_benign(p, sc.select("norm"), split, ["src5", "src7", "src9"], 50).select("doc_id")
 
 
-@query(with_views(["docs", "pool", "logits", "probs", "preds"], "SELECT id, gold, p_safe, p_dangerous, p_unsure FROM preds"))
+@query(V.with_views_of_all(["docs", "pool", "logits", "probs", "preds"], "SELECT id, gold, p_safe, p_dangerous, p_unsure FROM preds"))
 def q_keyword_score(s, d):
-    return V.preds(s, d).select("id", "gold", "p_safe", "p_dangerous", "p_unsure")
+    """Every document, labelled or not."""
+    return V.keyword_scores(V.pool(s, d)).select(F.col("doc_id").alias("id"), "gold", "p_safe", "p_dangerous", "p_unsure")
 
 
 def _target_sql(p: str, extra: str, n: int, dis: str) -> str:
@@ -960,10 +961,12 @@ def q_labels_of_split(s, d):
     return sample.of_split(V.read(s, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"), ids)
 
 
-@query(with_views(["passes"], "SELECT a.id, a.gold_1, b.gold_2 FROM passes a JOIN passes b ON a.id = b.id WHERE a.id % 3 <> 0 AND b.id % 4 <> 0"))
+@query(with_views(["passes"], "SELECT a.id, a.gold_1, b.gold_2 FROM passes a JOIN passes b ON a.id = b.id WHERE a.gold_1 IS NOT NULL AND b.gold_2 IS NOT NULL"))
 def q_two_passes(s, d):
+    """All labelled rows; a pass has the rows whose gold it knows."""
     p = V.passes(s, d)
-    return gold.two_passes(p.where("id % 3 <> 0").select("id", F.col("gold_1").alias("gold")), p.where("id % 4 <> 0").select("id", F.col("gold_2").alias("gold")))
+    first, second = (p.select("id", F.col(f"gold_{k}").alias("gold")).where("gold is not null") for k in (1, 2))
+    return gold.two_passes(first, second)
 
 
 @query(with_views(["docs", "scoped"], f"SELECT DISTINCT x AS hit, CASE WHEN list_contains({V.STRONG!r}, x) THEN 'strong' WHEN list_contains({V.WEAK!r}, x) THEN 'weak' ELSE '?' END AS tier FROM (SELECT unnest(h) AS x FROM scoped)"))

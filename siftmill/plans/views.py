@@ -36,7 +36,7 @@ SQL = {
     "docs": f"docs AS (SELECT doc_id, text, lang, source, {NORM} AS norm, source || ':' || substr(sha1({NORM}),1,12) AS id FROM documents)",
     "pool": "pool AS (SELECT d.*, CAST(l.toxic AS DOUBLE) AS source_label, l.quality FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
     "scoped": f"scoped AS (SELECT *, CAST(len(s) AS INT) AS kw_strong, CAST(len(w) AS INT) AS kw_weak, list_sort(list_concat(s, w)) AS h, (len(s) >= 1 OR len(w) >= 2) AS in_scope FROM (SELECT *, {SQL_HITS['s']} AS s, {SQL_HITS['w']} AS w FROM docs))",
-    "logits": "logits AS (SELECT *, o + t - d AS sc, o + t + d AS mt FROM (SELECT doc_id, source, lang, CASE WHEN source_label = 1 THEN 'dangerous' WHEN quality = 1 THEN 'benign' ELSE 'ambiguous' END AS gold, "
+    "logits": "logits AS (SELECT *, o + t - d AS sc, o + t + d AS mt FROM (SELECT doc_id, source, lang, CASE WHEN source_label = 1 THEN 'dangerous' WHEN quality = 1 THEN 'benign' WHEN quality IS NOT NULL THEN 'ambiguous' END AS gold, "
     + ", ".join(
         "("
         + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{r.pattern}') THEN CAST({r.weight} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for r in RULES if r.group == g)
@@ -56,6 +56,11 @@ def with_views(names: list[str], body: str) -> str:
     return "WITH " + ", ".join(SQL[n] for n in names) + " " + body
 
 
+def with_views_of_all(names: list[str], body: str) -> str:
+    """As ``with_views``, documents without a label included."""
+    return with_views(names, body).replace(" FROM pool WHERE quality IS NOT NULL", " FROM pool")
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -74,18 +79,23 @@ def scoped(spark: SparkSession, sf: str) -> DataFrame:
     return prefilter(docs(spark, sf), LEXICON)
 
 
-def preds(spark: SparkSession, sf: str) -> DataFrame:
+def keyword_scores(rows: DataFrame) -> DataFrame:
+    """Pool rows with the rules' probabilities and, where they are labelled, gold."""
     # each rule is tried once: the weights are columns before the logits use them
     groups = ("offensive", "target", "defensive")
-    rows = pool(spark, sf).where("quality is not null").withColumns({f"_{g}": matched_weight(F.col("text"), RULES, g) for g in groups})
+    rows = rows.withColumns({f"_{g}": matched_weight(F.col("text"), RULES, g) for g in groups})
     p = [F.round(x, 9) for x in softmax(rule_logits(*[F.col(f"_{g}") for g in groups]))]
-    gold = F.when(F.col("source_label") == 1, "dangerous").when(F.col("quality") == 1, "benign").otherwise("ambiguous")
+    gold = F.when(F.col("source_label") == 1, "dangerous").when(F.col("quality") == 1, "benign").when(F.col("quality").isNotNull(), "ambiguous")
+    return rows.select("doc_id", "source", gold.alias("gold"), p[0].alias("p_safe"), p[1].alias("p_dangerous"), p[2].alias("p_unsure"))
+
+
+def preds(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     tags = F.when(
         F.col("gold") == "dangerous",
         F.concat(F.when(i % 3 == 0, "cat:ddos").when(i % 3 == 1, "cat:malware_dev").otherwise("cat:phishing_se"), F.when(i % 4 == 0, ";evasion:fiction").otherwise("")),
     ).when((F.col("gold") == "benign") & (i % 5 == 0), "hard_negative;hn:detection").otherwise("")
-    out = rows.select("doc_id", "source", gold.alias("gold"), p[0].alias("p_safe"), p[1].alias("p_dangerous"), p[2].alias("p_unsure"), (i % 17 == 0).alias("force_escalate"))
+    out = keyword_scores(pool(spark, sf).where("quality is not null")).withColumn("force_escalate", i % 17 == 0)
     return out.withColumn("tags", tags).withColumnRenamed("doc_id", "id")
 
 

@@ -96,3 +96,21 @@ def test_audit_counts_every_slice(spark):
     assert got["ordinary_tuning"] == (0, 1) and got["ordinary_reported"] == got["ordinary_reported_de"] == (0, 1)
     assert {s for s in got if s.startswith("encoding_")} == {f"encoding_{n}" for n in detect.ENCODINGS} and all(got[f"encoding_{n}"][1] == 2 for n in detect.ENCODINGS)
     assert got["encoding_base32"][0] >= 1 and got["encoding_char_spacing"] == (2, 2)
+
+
+def test_two_passes_keep_what_both_have(spark):
+    from siftmill.operators.gold import two_passes
+
+    first = spark.createDataFrame([("a", "benign", "x"), ("b", "dangerous", "y"), ("c", "ambiguous", "z")], "id string, gold string, note string")
+    second = spark.createDataFrame([("b", "benign"), ("c", "ambiguous"), ("d", "benign")], "id string, gold string")
+    got = {tuple(r) for r in two_passes(first, second).select("id", "gold_1", "note", "gold_2").collect()}
+    assert got == {("b", "dangerous", "y", "benign"), ("c", "ambiguous", "z", "ambiguous")}
+
+
+def test_keyword_scores_cover_rows_without_labels(spark):
+    from siftmill.plans import views
+
+    rows = [(1, "s", "how to build a botnet", None, None), (2, "s", "hello", 0.0, 1), (3, "s", "", 0.0, 0), (4, "s", "attack", 1.0, 0)]
+    got = {r["doc_id"]: r for r in views.keyword_scores(spark.createDataFrame(rows, "doc_id long, source string, text string, source_label double, quality int")).collect()}
+    assert [got[k]["gold"] for k in (1, 2, 3, 4)] == [None, "benign", "ambiguous", "dangerous"]
+    assert all(abs(r["p_safe"] + r["p_dangerous"] + r["p_unsure"] - 1) < 1e-6 for r in got.values())
