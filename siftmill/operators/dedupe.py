@@ -26,6 +26,13 @@ def exact_dedupe(df: DataFrame, preference: list[str], norm: str = "norm", key:
     return keep_first(df.withColumn("_rank", rank_in(F.col("source"), preference)), [norm], ["_rank", key]).drop("_rank")
 
 
+def exact_ids(df: DataFrame, preference: list[str], norm: str = "norm", key: str = "id") -> DataFrame:
+    """(key) of the rows that ``exact_dedupe`` keeps, where ``key`` is unique: the texts stay where they
+    are, and their hashes (SHA-256) are exchanged."""
+    hashed = df.select(key, F.sha2(F.col(norm), 256).alias("_h"), rank_in(F.col("source"), preference).alias("_rank"))
+    return hashed.groupBy("_h").agg(F.min(F.struct("_rank", key)).alias("_first")).select(f"_first.{key}")
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, nulls first: a minimum that is combined before the exchange,
     so that a key of a third of all rows is one row a task there."""
@@ -79,6 +86,14 @@ def _meeting(each: DataFrame) -> DataFrame:
     return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
+def pairs_of_texts(texts: DataFrame, found: DataFrame, k: int = 5, threshold: float = 0.8, norm: str = "norm", key: str = "id") -> DataFrame:
+    """``pairs`` of texts (key, norm), of which only those of a candidate are cut into shingles. ``found`` is
+    read several times."""
+    asked = found.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = texts.join(asked.hint("merge"), key, "left_semi").select(key, shingles(F.col(norm), k).alias("sh"))
+    return pairs(sets, found, threshold, key)
+
+
 def pairs(signed: DataFrame, found: DataFrame, threshold: float = 0.8, key: str = "id") -> DataFrame:
     """Candidates verified by exact Jaccard: (a, b, jaccard)."""
     sets = signed.select(F.col(key).alias("k"), "sh")
