@@ -83,7 +83,7 @@ def candidates(signed: DataFrame, perms: int = 32, count: int = 8, key: str = "i
 
 def _meeting(each: DataFrame) -> DataFrame:
     left, right = (each.select(F.col("k").alias(name), "band", "key") for name in ("a", "b"))
-    return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    return left.join(right.hint("merge"), ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
 def pairs_of_texts(texts: DataFrame, found: DataFrame, k: int = 5, threshold: float = 0.8, norm: str = "norm", key: str = "id") -> DataFrame:
@@ -97,20 +97,22 @@ def pairs_of_texts(texts: DataFrame, found: DataFrame, k: int = 5, threshold: fl
 def pairs(signed: DataFrame, found: DataFrame, threshold: float = 0.8, key: str = "id") -> DataFrame:
     """Candidates verified by exact Jaccard: (a, b, jaccard)."""
     sets = signed.select(F.col(key).alias("k"), "sh")
-    out = found.join(sets.select(F.col("k").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("sh").alias("sb")), "b")
+    out = found.hint("merge").join(sets.select(F.col("k").alias("a"), F.col("sh").alias("sa")), "a").hint("merge").join(sets.select(F.col("k").alias("b"), F.col("sh").alias("sb")), "b")
     return out.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
-    """(key, group): smallest key reachable, by label spreading with pointer jumping."""
+    """(key, group): smallest key reachable, by label spreading with pointer jumping. Here and in what
+    leads here sides are merged: labels and links grow with the rows, and a side that is
+    broadcast goes through the driver whole, in every round."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = cut(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct())
     both = cut(both)
     while True:
-        near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("x"))
+        near = both.join(labels.hint("merge"), F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
+        step = labels.join(near.hint("merge"), F.col("n") == F.col("a"), "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("x"))
         jump = step.select(F.col("n").alias("n2"), F.col("x").alias("x2"))
-        nxt = cut(step.join(jump, F.col("x") == F.col("n2"), "left").select("n", F.least("x", F.coalesce("x2", "x")).alias("new"), "l"))
+        nxt = cut(step.join(jump.hint("merge"), F.col("x") == F.col("n2"), "left").select("n", F.least("x", F.coalesce("x2", "x")).alias("new"), "l"))
         changed = nxt.where("new <> l").limit(1).count()
         labels = nxt.select("n", F.col("new").alias("l"))
         if not changed:
@@ -127,7 +129,7 @@ def links(nodes: DataFrame, perms: int = 32, count: int = 8, threshold: float =
     a block of its nodes in a task."""
     each = buckets(nodes, perms, count, key)
     sizes = each.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    each = cut(each.join(sizes, ["band", "key"]))
+    each = cut(each.join(sizes.hint("merge"), ["band", "key"]))
     close = pairs(nodes, _meeting(each.where(F.col("size") <= small)), threshold, key).select("a", "b")
     large = each.where(F.col("size") > small)
     if large.isEmpty():
@@ -138,13 +140,13 @@ def links(nodes: DataFrame, perms: int = 32, count: int = 8, threshold: float =
         if large.isEmpty():
             return close
         heads = large.groupBy("band", "key").agg(F.min_by(F.struct("k", "label"), F.xxhash64("k", F.lit(turn))).alias("head"))
-        star = large.join(heads, ["band", "key"]).where("label <> head.label").select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct()
+        star = large.join(heads.hint("merge"), ["band", "key"]).where("label <> head.label").select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct()
         close = cut(close.unionByName(pairs(nodes, star, threshold, key).select("a", "b")))
     large = _apart(large, close)
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     one = large.select("band", "key", F.col("k").alias("b"), F.col("label").alias("lb"), F.pmod(F.xxhash64("k"), blocks).alias("at"))
     every = large.select("band", "key", F.col("k").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("at"))
-    rest = every.join(one, ["band", "key", "at"]).where("a < b AND la <> lb").select("a", "b").distinct()
+    rest = every.join(one.hint("merge"), ["band", "key", "at"]).where("a < b AND la <> lb").select("a", "b").distinct()
     return close.unionByName(pairs(nodes, rest, threshold, key).select("a", "b"))
 
 
@@ -152,22 +154,25 @@ def _apart(large: DataFrame, close: DataFrame) -> DataFrame:
     """Buckets whose nodes lie in several components of the links so far, with their labels."""
     linked = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     labels = components(close, linked, "k")
-    told = large.select("k", "band", "key", "size").join(labels, "k", "left").select("k", "band", "key", "size", F.coalesce("dup_group", "k").alias("label"))
+    told = large.select("k", "band", "key", "size").join(labels.hint("merge"), "k", "left").select("k", "band", "key", "size", F.coalesce("dup_group", "k").alias("label"))
     several = told.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return cut(told.join(several.select("band", "key"), ["band", "key"], "left_semi"))
+    return cut(told.join(several.select("band", "key").hint("merge"), ["band", "key"], "left_semi"))
 
 
 def near_duplicate_groups(df: DataFrame, k: int = 5, perms: int = 32, count: int = 8, threshold: float = 0.8, seed: int = 42, norm: str = "norm", key: str = "id", small: int = SMALL) -> DataFrame:
     """``df`` plus dup_group: the smallest id of the component of verified pairs.
     Rows of equal shingles are one node, so a group of copies costs one row, and a family
-    of near copies is compared with its leaders, not in all pairs (``links``)."""
-    signed = with_signatures(df, k, perms, seed, norm, key)
-    signed = cut(signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh"), "\x1f"))))
+    of near copies is compared with its leaders, not in all pairs (``links``). Shingles are kept
+    and compared as 64-bit hashes: two texts of a thousand shingles each have two that share
+    one by chance with a probability of 1e-13."""
+    sets = df.select(key, F.transform(shingles(F.col(norm), k), lambda g: F.xxhash64(g)).alias("sh"))
+    signed = sets.hint("merge").join(signatures(df, k, perms, seed, norm, key), key)
+    signed = cut(signed.withColumn("same", F.sha1(F.array_join(F.array_sort("sh").cast("array<string>"), ","))))
     firsts = signed.groupBy("same").agg(F.min(key).alias("first"))
-    nodes = cut(signed.join(firsts, "same").where(F.col(key) == F.col("first")).select(F.col("first").alias("n"), "sh", "sig"))
+    nodes = cut(signed.join(firsts.hint("merge"), "same").where(F.col(key) == F.col("first")).select(F.col("first").alias("n"), "sh", "sig"))
     found = cut(links(nodes, perms, count, threshold, "n", small))
     # most nodes have no edge, and are their own groups
     linked = found.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     groups = components(found, linked, "n")
-    members = signed.select(key, "same").join(firsts, "same").join(groups, F.col("first") == F.col("n"), "left").select(key, F.coalesce("dup_group", "first").alias("dup_group"))
-    return df.join(members, key)
+    members = signed.select(key, "same").join(firsts.hint("merge"), "same").join(groups.hint("merge"), F.col("first") == F.col("n"), "left").select(key, F.coalesce("dup_group", "first").alias("dup_group"))
+    return df.join(members.hint("merge"), key)
