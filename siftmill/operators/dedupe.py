@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import base_hash, jaccard, shingles
-from siftmill.operators.lineage import cut
+from siftmill.operators.lineage import filed as cut
 
 MODULUS = 2147483647
 #: Nodes of a bucket whose pairs are all compared at once; beyond it, leaders chosen before
