@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from siftmill.functions.text import base_hash, jaccard, shingles
 from siftmill.operators.lineage import filed as cut
@@ -13,6 +16,8 @@ MODULUS = 2147483647
 #: Nodes of a bucket whose pairs are all compared at once; beyond it, leaders chosen before
 #: the pairs that are left, and nodes of a block of those.
 SMALL, LEADERS, BLOCK = 64, 3, 1_000
+#: Cells of a sketch, a power of two, and the count from which on one is only known to be large.
+CELLS, FULL = 256, 65_535
 
 
 def rank_in(value: Column, order: list[str]) -> Column:
@@ -87,11 +92,48 @@ def _meeting(each: DataFrame) -> DataFrame:
 
 
 def pairs_of_texts(texts: DataFrame, found: DataFrame, k: int = 5, threshold: float = 0.8, norm: str = "norm", key: str = "id") -> DataFrame:
-    """``pairs`` of texts (key, norm), of which only those of a candidate are cut into shingles. ``found`` is
-    read several times."""
-    asked = found.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = texts.join(asked.hint("merge"), key, "left_semi").select(key, shingles(F.col(norm), k).alias("sh"))
-    return pairs(sets, found, threshold, key)
+    """``pairs`` of texts (key, norm), whose shingles are compared as 64-bit hashes, as in
+    ``near_duplicate_groups``. Most candidates are not alike: those that cannot reach the threshold by their
+    texts' ``sketches`` go first, and only the texts of the others are exchanged. ``found`` is read several times."""
+    hashed = F.transform(shingles(F.col(norm), k), lambda g: F.xxhash64(g)).alias("sh")
+    left = cut(possible(found, sketches(texts.select(F.col(key).alias("k"), hashed)), threshold))
+    asked = left.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = texts.join(asked.hint("merge"), key, "left_semi").select(key, hashed)
+    return pairs(sets, left, threshold, key)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(k, n, cells) of sets (k, sh) of hashes: their sizes, and how many hashes fall to each of ``CELLS``."""
+
+    def counted(batches):
+        for batch in batches:
+            lists = batch.column("sh")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            cells = [np.minimum(np.bincount(values[e - n : e] & (CELLS - 1), minlength=CELLS), FULL).astype("<u2").tobytes() for n, e in zip(sizes, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary())], names=["k", "n", "cells"])
+
+    schema = StructType([sets.schema["k"], StructField("n", IntegerType()), StructField("cells", BinaryType())])
+    return sets.select("k", "sh").mapInArrow(counted, schema)
+
+
+def possible(found: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of ``found`` that may reach the threshold: two sets share no more of a cell's
+    hashes than either has there."""
+
+    def bounded(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS) for c in ("ca", "cb"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            every = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy() - most
+            keep = (most >= (threshold - 1e-9) * every) | (x == FULL).any(axis=1) | (y == FULL).any(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    sides = [sketched.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")).hint("merge") for c in ("a", "b")]
+    near = F.when(F.greatest("na", "nb") == 0, True).otherwise(F.least("na", "nb") / F.greatest("na", "nb") >= threshold)
+    both = found.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(near)
+    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bounded, found.select("a", "b").schema)
 
 
 def pairs(signed: DataFrame, found: DataFrame, threshold: float = 0.8, key: str = "id") -> DataFrame:
